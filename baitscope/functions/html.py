@@ -14,6 +14,10 @@ SCRIPT_RE = r"(?is)<script[^>]*>(.*?)</script>"
 BASE64_RE = r"(?i)(?:data:[^;]+;base64,|[A-Za-z0-9+/]{50,}={0,2})"
 
 
+# Lower-case keyword each hidden-element pattern needs (same order).
+_HIDDEN_KEYWORDS = ["display", "visibility", "opacity", "height", "width", "font-size", "position"]
+
+
 def _external(u: Column) -> Column:
     return u.startswith("http://") | u.startswith("https://")
 
@@ -39,12 +43,20 @@ def strip_html_corpus(html: Column) -> Column:
 def html_columns(html: Column) -> Column:
     """HTM-01 .. HTM-09 as one struct."""
     def body(h):
+        return let(F.lower(h), lambda lh: _analyze(h, lh))
+
+    def _analyze(h, lh):
+        # Each regex runs only when its keyword occurs in the lower-cased
+        # page: a cheap substring scan that skips most regex passes.
+        def gated(keyword, expr, default):
+            return F.when(lh.contains(keyword), expr).otherwise(default)
+        empty = F.array().cast("array<string>")
         hidden = None
-        for p in L.HIDDEN_PATTERNS:
-            c = F.regexp_count(h, F.lit(p))
+        for kw, p in zip(_HIDDEN_KEYWORDS, L.HIDDEN_PATTERNS):
+            c = gated(kw, F.regexp_count(h, F.lit(p)), F.lit(0))
             hidden = c if hidden is None else hidden + c
-        forms = F.filter(F.regexp_extract_all(h, F.lit(FORM_RE), 1), _external)
-        tags = F.regexp_extract_all(h, F.lit(IMG_RE), 0)
+        forms = F.filter(gated("<form", F.regexp_extract_all(h, F.lit(FORM_RE), 1), empty), _external)
+        tags = gated("<img", F.regexp_extract_all(h, F.lit(IMG_RE), 0), empty)
         imgs = F.filter(
             F.transform(tags, lambda t: F.struct(t.alias("tag"), F.regexp_extract(t, IMG_RE, 1).alias("src"))),
             lambda x: _external(x["src"]))
@@ -52,8 +64,8 @@ def html_columns(html: Column) -> Column:
                                               | lt.contains('height="1"') | lt.contains('width="0"')
                                               | lt.contains('height="0"'))
                           | F.lower(x["src"]).contains("1x1"))
-        iframes = F.regexp_count(h, F.lit("(?i)<iframe"))
-        scripts = F.regexp_extract_all(h, F.lit(SCRIPT_RE), 1)
+        iframes = gated("<iframe", F.regexp_count(h, F.lit("(?i)<iframe")), F.lit(0))
+        scripts = gated("<script", F.regexp_extract_all(h, F.lit(SCRIPT_RE), 1), empty)
         js = F.array_distinct(F.flatten(F.transform(scripts, lambda s: F.array_compact(F.array(
             *[F.when(s.rlike(p), F.lit(name)) for name, p in L.JS_OBFUSCATION])))))
         b64 = F.regexp_count(h, F.lit(BASE64_RE))
