@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from baitscope.functions.core import at, dbl, flag
+from baitscope.functions.core import at, dbl, flag, let
 from baitscope.resources import lexicons as L
 
 c = F.col
@@ -91,15 +91,23 @@ def fit_length(vec: Column, n: int) -> Column:
 
 
 def heuristic_confidence(sem: Column, url: Column, hdr: Column, htm: Column) -> Column:
-    """CLS-01 (unrounded)."""
-    conf = sem * dbl(0.35) + url * dbl(0.30) + hdr * dbl(0.20) + htm * dbl(0.15)
-    mx = F.greatest(sem, url, hdr, htm)
-    conf = F.when(mx > 0.4, F.greatest(conf, mx * dbl(0.70))).otherwise(conf)
-    flagged = sum([F.when(x > 0.2, 1).otherwise(0) for x in (sem, url, hdr, htm)])
-    conf = F.when(flagged >= 2, conf * dbl(1.15)).otherwise(conf)
-    conf = F.when(flagged >= 3, conf * dbl(1.10)).otherwise(conf)
-    conf = F.when(conf > 0.2, dbl(0.2) + (conf - dbl(0.2)) * dbl(1.3)).otherwise(conf)
-    return F.least(F.greatest(conf, dbl(0.0)), dbl(1.0))
+    """CLS-01 (unrounded).  Each step is bound once with ``let`` so the
+    expression stays linear in size when the optimizer inlines it."""
+    def steps(x):
+        s, u, h, m = x["s"], x["u"], x["h"], x["m"]
+        conf = s * dbl(0.35) + u * dbl(0.30) + h * dbl(0.20) + m * dbl(0.15)
+        mx = F.greatest(s, u, h, m)
+        flagged = sum([F.when(v > 0.2, 1).otherwise(0) for v in (s, u, h, m)])
+        return let(F.struct(conf.alias("c"), mx.alias("mx"), flagged.alias("f")), lambda y: let(
+            F.when(y["mx"] > 0.4, F.greatest(y["c"], y["mx"] * dbl(0.70))).otherwise(y["c"]),
+            lambda c1: let(
+                F.when(y["f"] >= 2, c1 * dbl(1.15)).otherwise(c1),
+                lambda c2: let(
+                    F.when(y["f"] >= 3, c2 * dbl(1.10)).otherwise(c2),
+                    lambda c3: let(
+                        F.when(c3 > 0.2, dbl(0.2) + (c3 - dbl(0.2)) * dbl(1.3)).otherwise(c3),
+                        lambda c4: F.least(F.greatest(c4, dbl(0.0)), dbl(1.0)))))))
+    return let(F.struct(sem.alias("s"), url.alias("u"), hdr.alias("h"), htm.alias("m")), steps)
 
 
 def verdict(raw_conf: Column) -> Column:

@@ -102,23 +102,29 @@ def semantic_columns(raw: Column) -> dict[str, Column]:
     return out
 
 
-def combined_score(c) -> Column:
-    """LEX-14 over columns already holding the category scores/counts."""
+def combined_score(c=None) -> Column:
+    """LEX-14 over columns already holding the category scores/counts; steps
+    are bound with ``let`` so the expression stays linear in size."""
     u, a, p = F.col("urgency_score"), F.col("authority_score"), F.col("pressure_score")
     g, r, cr = F.col("generic_greetings_score"), F.col("reward_lures_score"), F.col("credential_requests_score")
     gram = F.col("grammar_score")
     weighted = (u * dbl(0.20) + a * dbl(0.15) + p * dbl(0.15) + g * dbl(0.10)
                 + r * dbl(0.10) + cr * dbl(0.20) + gram * dbl(0.10))
-    top = F.sort_array(F.array(u, a, p, cr, r), asc=False)
-    top0, top1 = top.getItem(0), top.getItem(1)
-    s1 = F.when(top0 >= 0.35, F.greatest(weighted, top0 * dbl(0.75))).otherwise(weighted)
-    n_flag = F.size(F.filter(top, lambda s: s >= 0.3))
-    s2 = F.when(n_flag >= 2, F.greatest(s1, (top0 + top1) / dbl(2) * dbl(0.85))).otherwise(s1)
     has_brand = F.size(F.col("brand_mentions")) > 0
     uc, cc = F.col("urgency_count") > 0, F.col("credential_requests_count") > 0
-    s3 = F.when(has_brand & (uc | cc), F.greatest(s2, dbl(0.45))).otherwise(s2)
-    s4 = F.when(has_brand & uc & cc, F.greatest(s3, dbl(0.60))).otherwise(s3)
-    return F.round(F.least(s4, dbl(1.0)), 4)
+
+    def body(top):
+        top0, top1 = at(top, 1), at(top, 2)
+        n_flag = F.size(F.filter(top, lambda s: s >= 0.3))
+        return let(weighted, lambda w0: let(
+            F.when(top0 >= 0.35, F.greatest(w0, top0 * dbl(0.75))).otherwise(w0),
+            lambda s1: let(
+                F.when(n_flag >= 2, F.greatest(s1, (top0 + top1) / dbl(2) * dbl(0.85))).otherwise(s1),
+                lambda s2: let(
+                    F.when(has_brand & (uc | cc), F.greatest(s2, dbl(0.45))).otherwise(s2),
+                    lambda s3: F.round(F.least(
+                        F.when(has_brand & uc & cc, F.greatest(s3, dbl(0.60))).otherwise(s3), dbl(1.0)), 4)))))
+    return let(F.sort_array(F.array(u, a, p, cr, r), asc=False), body)
 
 
 _DETAIL_PREFIX = [

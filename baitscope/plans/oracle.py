@@ -530,3 +530,195 @@ _ORACLE_SELECT = {
 
 def oracle_queries() -> dict[str, str]:
     return {k: with_chain(v) for k, v in _ORACLE_SELECT.items()}
+
+
+# ---------------------------------------------------------------------------
+# metrics, corpus, history and audit twins
+# ---------------------------------------------------------------------------
+
+PREDS = "preds AS (SELECT *, CASE WHEN verdict = 'phishing' THEN 1 ELSE 0 END AS pred FROM final)"
+
+
+def _dv(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) ELSE {D(0)} END)"
+
+
+def _metrics_select(src: str) -> str:
+    tp, tn, fp, fn = "CAST(tp AS DOUBLE)", "CAST(tn AS DOUBLE)", "CAST(fp AS DOUBLE)", "CAST(fn AS DOUBLE)"
+    n = f"({tp} + {tn} + {fp} + {fn})"
+    p_ph, r_ph = _dv(tp, f"{tp} + {fp}"), _dv(tp, f"{tp} + {fn}")
+    f_ph = _dv(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")
+    p_lg, r_lg = _dv(tn, f"{tn} + {fn}"), _dv(tn, f"{tn} + {fp}")
+    f_lg = _dv(f"2 * {p_lg} * {r_lg}", f"{p_lg} + {r_lg}")
+    f_lgm = _dv(f"2 * {tn}", f"2 * {tn} + {fn} + {fp}")
+    po = _dv(f"{tp} + {tn}", n)
+    pe = _dv(f"({tp} + {fp}) * ({tp} + {fn}) + ({tn} + {fn}) * ({tn} + {fp})", f"{n} * {n}")
+    kappa = _dv(f"{po} - {pe}", f"{D(1)} - {pe}")
+    r4 = lambda x: f"round({x}, 4)"
+    return (f"SELECT CAST({n} AS BIGINT) AS n_total, CAST({tp} + {fn} AS BIGINT) AS n_phishing, "
+            f"CAST({tn} + {fp} AS BIGINT) AS n_legit, tp, tn, fp, fn, {r4(po)} AS accuracy, "
+            f"{r4(f'({p_ph} + {p_lg}) / 2')} AS macro_precision, {r4(f'({r_ph} + {r_lg}) / 2')} AS macro_recall, "
+            f"{r4(f'({f_ph} + {f_lgm}) / 2')} AS macro_f1, "
+            f"{r4(_dv(f'{f_ph} * ({tp} + {fn}) + {f_lgm} * ({tn} + {fp})', n))} AS weighted_f1, "
+            f"{r4(_dv(fp, f'{fp} + {tn}'))} AS fpr, {r4(_dv(fn, f'{fn} + {tp}'))} AS fnr, {r4(kappa)} AS cohen_kappa, "
+            f"{r4(p_ph)} AS phishing_precision, {r4(r_ph)} AS phishing_recall, {r4(f_ph)} AS phishing_f1, "
+            f"{r4(p_lg)} AS legit_precision, {r4(r_lg)} AS legit_recall, {r4(f_lg)} AS legit_f1 FROM {src}")
+
+
+CM = ("cm AS (SELECT count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn, "
+      "count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn FROM preds)")
+GSCORE = ("g AS (SELECT confidence AS score, count(*) FILTER (WHERE label = 1) AS pos, "
+          "count(*) FILTER (WHERE label = 0) AS neg FROM preds GROUP BY confidence)")
+AUC = (f"{GSCORE}, g2 AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+       f"AS neg_below FROM g), auc AS (SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN "
+       f"round(sum(pos * (neg_below + neg * {D(0.5)})) / (sum(pos) * sum(neg)), 4) ELSE 'nan'::DOUBLE END AS roc_auc, "
+       f"CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM g2)")
+
+
+def _preds_sql(select: str) -> str:
+    return with_chain_plus(PREDS, select)
+
+
+def with_chain_plus(extra: str, select: str) -> str:
+    return "WITH " + ",".join([EMAILS, SEMANTIC, URLS, HEADERS, HTML, SCORED, extra]) + "\n" + select
+
+
+_FLAGS_CTE = "flags AS (SELECT email_id, " + ", ".join(_flags()) + " FROM final)"
+_UNPIV = ("SELECT indicator, CAST(sum(fired) AS BIGINT) AS fires, round(sum(fired) * 100.0::DOUBLE / count(*), 2) AS pct "
+          "FROM (UNPIVOT flags ON " + ", ".join(L.INDICATOR_NAMES) + " INTO NAME indicator VALUE fired) GROUP BY indicator")
+
+_CORPORA = f"""
+corp0 AS (SELECT doc_id AS row_id, {pick(FX.SUBJECTS, 'doc_id')} AS subject, coalesce(text, '') AS body,
+    CAST(CASE WHEN (doc_id % 12 IN ({', '.join(map(str, FX.PHISH_TAILS))})) <> (doc_id % 17 = 0) THEN 1 ELSE 0 END AS INTEGER) AS label,
+    {pick(['spamassassin', 'ceas', 'enron', 'ling', 'nazario', 'nigerian'], "CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT)")} AS corpus
+  FROM documents),
+corp AS (SELECT row_id, subject, body, corpus,
+    CAST(CASE WHEN corpus IN ('nazario', 'nigerian') AND sum(label) OVER (PARTITION BY corpus) = 0 THEN 1 ELSE label END AS INTEGER) AS label
+  FROM corp0),
+crank AS (SELECT *, CASE corpus {' '.join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(['spamassassin', 'ceas', 'enron', 'ling', 'nazario', 'nigerian', 'spaphish']))} ELSE 7 END AS source_rank FROM corp),
+dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY source_rank, row_id) AS rn FROM crank) WHERE rn = 1)"""
+
+
+def _order(seed: int) -> str:
+    return f"(((row_id % 1000003) * 999983 + {seed}) % 1000003)"
+
+
+def _split_sql(train=0.70, val=0.15, test=0.15) -> str:
+    vt = val + test
+    return (f"WITH {_CORPORA}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_order(42)}, row_id) AS rk, "
+            f"count(*) OVER (PARTITION BY label) AS n FROM dedup), "
+            f"r2 AS (SELECT *, ceil(n * {D(vt)}) AS rest FROM r), r3 AS (SELECT *, ceil(rest * {D(1.0 - val / vt)}) AS ntest FROM r2) "
+            f"SELECT CASE WHEN rk <= n - rest THEN 'train' WHEN rk <= n - ntest THEN 'val' ELSE 'test' END AS split, label, "
+            f"count(*) AS n_rows, CAST(sum(row_id) AS BIGINT) AS id_sum FROM r3 GROUP BY ALL")
+
+
+def _sample_sql(max_samples=500) -> str:
+    half = max_samples // 2
+    return (f"WITH {_CORPORA}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_order(42)}, row_id) AS rk FROM corp), "
+            f"first AS (SELECT row_id, label FROM r WHERE rk <= {half}), "
+            f"rest AS (SELECT row_id, label, row_number() OVER (ORDER BY {_order(43)}, row_id) AS rk2 FROM r WHERE rk > {half}), "
+            f"smp AS (SELECT * FROM first UNION ALL SELECT row_id, label FROM rest WHERE rk2 <= {max_samples} - (SELECT count(*) FROM first)) "
+            f"SELECT row_id, label, 'sample' AS part FROM smp UNION ALL "
+            f"SELECT row_id, label, 'remainder' AS part FROM corp WHERE row_id NOT IN (SELECT row_id FROM smp)")
+
+
+_URG = f"round(urgency_score * {D(0.4)} + authority_score * {D(0.3)} + pressure_score * {D(0.3)}, 4)"
+def _mean4(x: str) -> str:
+    return f"(floor((2 * sum(CAST(round(({x}) * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 10000.0::DOUBLE)"
+
+
+_KPI = ("SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE verdict = 'phishing') AS phishing_count, "
+        "count(*) FILTER (WHERE verdict = 'suspicious') AS suspicious_count, "
+        "count(*) FILTER (WHERE verdict = 'legitimate') AS legitimate_count, "
+        "coalesce(round(count(*) FILTER (WHERE verdict = 'phishing') / count(*) * 100, 1), 0.0::DOUBLE) AS phishing_rate, "
+        f"coalesce({_mean4('confidence')}, 0.0::DOUBLE) AS avg_confidence, "
+        f"{_mean4('url_score')} AS suspicious_urls_mean, {_mean4(_URG)} AS urgency_language_mean, "
+        f"{_mean4('header_score')} AS header_anomalies_mean, {_mean4('grammar_score')} AS grammatical_anomalies_mean, "
+        f"{_mean4('html_score')} AS html_suspicious_mean FROM final")
+
+_EXPORT = ("SELECT email_id AS id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(email_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, "
+           "'eml' AS input_type, substr(subject, 1, 200) AS subject, '' AS sender, verdict, round(confidence * 100, 2) AS confidence, "
+           "recommended_action, round(url_score * 100, 2) AS suspicious_urls_score, "
+           f"round({_URG} * 100, 2) AS urgency_language_score, round(header_score * 100, 2) AS header_anomalies_score, "
+           "round(grammar_score * 100, 2) AS grammatical_anomalies_score, round(html_score * 100, 2) AS html_suspicious_score "
+           "FROM final WHERE email_id <> 0 ORDER BY email_id DESC LIMIT 100000")
+
+
+def _audit_sql(key: str, select: str) -> str:
+    return (f"WITH s AS (SELECT event_id AS id, ts, sha256(CAST({key} AS VARCHAR)) AS body_hash, event_id % 2 AS submitted_label, "
+            f"least(value / {D(50)}, {D(1)}) AS conf FROM events), f AS (SELECT *, submitted_label = 0 AND conf > 0.7 AS flagged FROM s), "
+            f"w AS (SELECT *, coalesce(sum(CASE WHEN flagged THEN 1 ELSE 0 END) OVER (PARTITION BY body_hash ORDER BY ts, id "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, "
+            f"sum(CASE WHEN flagged THEN 1 ELSE 0 END) OVER (PARTITION BY body_hash) AS nflag FROM f) {select}")
+
+
+_AUDIT_SUMMARY = ("SELECT count(*) AS n_submissions, count(*) FILTER (WHERE flagged) AS n_flagged, "
+                  "count(*) FILTER (WHERE flagged AND prior = 0) AS n_held, "
+                  "count(*) FILTER (WHERE flagged AND prior >= 1) AS n_confirmed_at_insert, "
+                  "count(*) FILTER (WHERE flagged AND (prior >= 1 OR nflag >= 2)) AS n_confirmed, "
+                  "count(*) FILTER (WHERE NOT (flagged AND prior = 0)) AS n_admitted FROM w")
+_AUDIT_ROWS = ("SELECT id, flagged AS suspicious_flagged, flagged AND prior = 0 AS held, flagged AND prior >= 1 AS confirmed_at_insert, "
+               "flagged AND (prior >= 1 OR nflag >= 2) AS confirmed FROM w")
+
+_RATE = ("SELECT client, kind, strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute_start, count(*) AS n_requests, "
+         "CASE WHEN kind = 'train' THEN 5 ELSE 30 END AS max_per_minute, "
+         "count(*) > CASE WHEN kind = 'train' THEN 5 ELSE 30 END AS violation FROM ("
+         "SELECT user_id % 10 AS client, CASE WHEN event_type = 'signup' THEN 'train' ELSE 'analyse' END AS kind, "
+         "date_trunc('minute', ts) AS minute FROM events) GROUP BY client, kind, minute")
+
+
+def _system_sql() -> str:
+    from baitscope.operators.metrics import BASELINE_SYSTEMS
+    rows = ", ".join("(" + ", ".join([q(r[0])] + [("NULL::DOUBLE" if v is None else D(v)) for v in r[1:]]) + ")"
+                     for r in BASELINE_SYSTEMS)
+    return with_chain_plus(f"{PREDS}, {CM}, m AS ({_metrics_select('cm')}), {AUC}",
+                           f"SELECT * FROM (VALUES {rows}) t(system, accuracy, fpr, fnr, f1, auc) UNION ALL "
+                           "SELECT 'this_run', accuracy, fpr, fnr, macro_f1, (SELECT roc_auc FROM auc) FROM m")
+
+
+MORE_ORACLE = {
+    "evaluation_metrics": lambda: with_chain_plus(f"{PREDS}, {CM}", _metrics_select("cm")),
+    "roc_auc": lambda: with_chain_plus(f"{PREDS}, {AUC}", "SELECT * FROM auc"),
+    "roc_curve": lambda: with_chain_plus(
+        f"{PREDS}, {GSCORE}",
+        "SELECT score AS threshold, round(CASE WHEN sum(neg) OVER () <> 0 THEN CAST(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN "
+        "UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / sum(neg) OVER () ELSE 0.0::DOUBLE END, 6) AS fpr, "
+        "round(CASE WHEN sum(pos) OVER () <> 0 THEN CAST(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND CURRENT ROW) AS DOUBLE) / sum(pos) OVER () ELSE 0.0::DOUBLE END, 6) AS tpr FROM g"),
+    "indicator_fire_counts": lambda: with_chain_plus(_FLAGS_CTE, _UNPIV),
+    "fn_by_category": lambda: with_chain_plus(
+        PREDS, f"SELECT {_dominant()} AS dominant_category, count(*) AS n_false_negatives FROM preds "
+               "WHERE label = 1 AND pred = 0 GROUP BY ALL"),
+    "distributions": lambda: with_chain_plus(
+        PREDS, "SELECT 'verdict' AS kind, verdict AS value, count(*) AS n FROM preds GROUP BY verdict "
+               "UNION ALL SELECT 'method', 'heuristic', count(*) FROM preds"),
+    "run_summary": lambda: with_chain_plus(
+        PREDS, "SELECT count(*) AS n_total, count(*) AS n_degraded, 0::BIGINT AS n_errors, round(avg(confidence), 4) AS avg_confidence, "
+               "round(coalesce(avg(confidence) FILTER (WHERE pred = 1), 0.0::DOUBLE), 4) AS avg_conf_phishing, "
+               "round(coalesce(avg(confidence) FILTER (WHERE pred = 0), 0.0::DOUBLE), 4) AS avg_conf_legit FROM preds"),
+    "system_comparison": _system_sql,
+    "corpus_breakdown": lambda: (f"WITH {_CORPORA} SELECT corpus, count(*) AS total, CAST(sum(label) AS BIGINT) AS phishing, "
+                                 "count(*) - CAST(sum(label) AS BIGINT) AS legit, "
+                                 "round(CAST(sum(label) AS BIGINT) * 100.0::DOUBLE / count(*), 1) AS phishing_pct "
+                                 "FROM corp GROUP BY ROLLUP (corpus)"),
+    "corpus_dedup": lambda: f"WITH {_CORPORA} SELECT row_id, corpus, label FROM dedup",
+    "stratified_split": _split_sql,
+    "balanced_sample": _sample_sql,
+    "scan_kpi": lambda: with_chain(_KPI),
+    "history_page": lambda: with_chain("SELECT email_id AS id, verdict, confidence, recommended_action FROM final "
+                                       "ORDER BY email_id DESC LIMIT 20 OFFSET 10"),
+    "history_export": lambda: with_chain(_EXPORT),
+    "training_counts": lambda: with_chain("SELECT count(*) AS total_samples, count(*) FILTER (WHERE label = 1) AS phishing_samples, "
+                                          "count(*) FILTER (WHERE label = 0) AS legitimate_samples FROM emails"),
+    "label_audit": lambda: _audit_sql("user_id % 20", _AUDIT_SUMMARY),
+    "label_audit_by_user": lambda: _audit_sql("user_id", _AUDIT_ROWS),
+    "rate_violations": lambda: _RATE,
+}
+
+_base_oracle_queries = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries()
+    out.update({k: f() for k, f in MORE_ORACLE.items()})
+    return out

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baitscope.operators import audit as A
+from baitscope.operators import corpus as CO
+from baitscope.operators import history as H
+from baitscope.operators import metrics as M
 from baitscope.operators.scoring import score_emails
 from baitscope.resources import lexicons as L
 from baitscope.sources.fixtures import emails
@@ -119,6 +123,130 @@ def feature_vector(spark, sf_dir):
     return s.select("email_id", *[F.round(c("v")[i], 6).alias(f"f{i:02d}") for i in range(70)])
 
 
+def _preds(spark, sf_dir):
+    return M.predictions(scored(spark, sf_dir))
+
+
+def evaluation_metrics(spark, sf_dir):
+    """AGG-05..09: confusion counts and derived metrics."""
+    return M.evaluation_metrics(_preds(spark, sf_dir))
+
+
+def roc_auc(spark, sf_dir):
+    """AGG-10."""
+    return M.roc_auc(_preds(spark, sf_dir))
+
+
+def roc_curve(spark, sf_dir):
+    """AGG-12."""
+    return M.roc_curve(_preds(spark, sf_dir))
+
+
+def indicator_fire_counts(spark, sf_dir):
+    """AGG-13."""
+    return M.indicator_fire_counts(_preds(spark, sf_dir))
+
+
+def fn_by_category(spark, sf_dir):
+    """AGG-14 (LEX-16 categories)."""
+    return M.fn_by_category(_preds(spark, sf_dir))
+
+
+def distributions(spark, sf_dir):
+    """AGG-15."""
+    return M.distributions(_preds(spark, sf_dir))
+
+
+def run_summary(spark, sf_dir):
+    """AGG-16/17."""
+    return M.run_summary(_preds(spark, sf_dir))
+
+
+def mode_comparison(spark, sf_dir):
+    """AGG-20: default scoring vs the relaxed Received-chain option (HDR-07)."""
+    e = emails(spark, sf_dir)
+    full = M.evaluation_metrics(M.predictions(score_emails(e)))
+    relaxed = M.evaluation_metrics(M.predictions(score_emails(e, relax_received=True)))
+    return M.mode_comparison(full, relaxed, "full", "relaxed")
+
+
+def system_comparison(spark, sf_dir):
+    """AGG-21."""
+    p = _preds(spark, sf_dir)
+    return M.system_comparison(spark, M.evaluation_metrics(p), M.roc_auc(p))
+
+
+def _corpora(spark, sf_dir):
+    return CO.all_phishing_rule(CO.corpora(spark, sf_dir))
+
+
+def corpus_breakdown(spark, sf_dir):
+    """SRC-10, SET-01, AGG-01: per-corpus totals with a grand total row."""
+    return CO.corpus_breakdown(_corpora(spark, sf_dir))
+
+
+def corpus_dedup(spark, sf_dir):
+    """SET-02: rows surviving exact-body dedup."""
+    return CO.dedup_bodies(_corpora(spark, sf_dir)).select("row_id", "corpus", "label")
+
+
+def stratified_split(spark, sf_dir):
+    """SET-07 over the deduplicated corpus: rows per split and label."""
+    sp = CO.stratified_split(CO.dedup_bodies(_corpora(spark, sf_dir)))
+    return sp.groupBy("split", "label").agg(F.count("*").alias("n_rows"), F.sum("row_id").alias("id_sum"))
+
+
+def balanced_sample(spark, sf_dir):
+    """SET-04/05/08: balanced sample of 500 with top-up, and the remainder size."""
+    corp = _corpora(spark, sf_dir)
+    smp = CO.balanced_sample(corp, 500)
+    rem = CO.remainder(corp, smp)
+    return smp.select("row_id", "label", F.lit("sample").alias("part")).unionByName(
+        rem.select("row_id", "label", F.lit("remainder").alias("part")))
+
+
+def _history(spark, sf_dir):
+    return H.scan_records(scored(spark, sf_dir))
+
+
+def scan_kpi(spark, sf_dir):
+    """SNK-01, AGG-02/03: history KPIs, indicator means read back from JSON."""
+    return H.scan_kpi(_history(spark, sf_dir))
+
+
+def history_page(spark, sf_dir):
+    """ORD-01/04: newest 20 scans after skipping 10."""
+    return H.history_page(_history(spark, sf_dir), 20, 10).select("id", "verdict", "confidence", "recommended_action")
+
+
+def history_export(spark, sf_dir):
+    """SNK-04 (ORD-03 applied first: scan 0 deleted)."""
+    return H.export_history(H.delete_scan(_history(spark, sf_dir), 0))
+
+
+def training_counts(spark, sf_dir):
+    """SNK-02, SRC-18, AGG-04."""
+    return H.training_counts(H.load_training_samples(H.training_samples(scored(spark, sf_dir))))
+
+
+def label_audit(spark, sf_dir):
+    """STR-02 batch form (WIN-02, JOI-06/07): audit totals."""
+    return A.audit_summary(A.audit_labels(A.label_submissions(spark, sf_dir)))
+
+
+def label_audit_by_user(spark, sf_dir):
+    """STR-02 keyed by plain user_id: per-row audit flags."""
+    a = A.audit_labels(A.label_submissions(spark, sf_dir, key="user_id"))
+    return a.select("id", "suspicious_flagged", "held", "confirmed_at_insert", "confirmed")
+
+
+def rate_violations(spark, sf_dir):
+    """STR-03 batch form: requests per client, kind and minute vs limits."""
+    r = A.rate_counts(A.requests(spark, sf_dir))
+    return r.select("client", "kind", F.date_format("minute_start", "yyyy-MM-dd HH:mm:ss").alias("minute_start"),
+                    "n_requests", c("limit").alias("max_per_minute"), "violation")
+
+
 QUERIES = {
     "verdict_summary": verdict_summary,
     "email_scores": email_scores,
@@ -131,4 +259,24 @@ QUERIES = {
     "threat_indicators": threat_indicators,
     "indicator_flags": indicator_flags,
     "feature_vector": feature_vector,
+    "evaluation_metrics": evaluation_metrics,
+    "roc_auc": roc_auc,
+    "roc_curve": roc_curve,
+    "indicator_fire_counts": indicator_fire_counts,
+    "fn_by_category": fn_by_category,
+    "distributions": distributions,
+    "run_summary": run_summary,
+    "mode_comparison": mode_comparison,
+    "system_comparison": system_comparison,
+    "corpus_breakdown": corpus_breakdown,
+    "corpus_dedup": corpus_dedup,
+    "stratified_split": stratified_split,
+    "balanced_sample": balanced_sample,
+    "scan_kpi": scan_kpi,
+    "history_page": history_page,
+    "history_export": history_export,
+    "training_counts": training_counts,
+    "label_audit": label_audit,
+    "label_audit_by_user": label_audit_by_user,
+    "rate_violations": rate_violations,
 }
