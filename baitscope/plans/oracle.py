@@ -722,3 +722,92 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _base_oracle_queries()
     out.update({k: f() for k, f in MORE_ORACLE.items()})
     return out
+
+
+# ---------------------------------------------------------------------------
+# text, URL-model and OCR twins
+# ---------------------------------------------------------------------------
+
+def _label_sql() -> str:
+    from baitscope.functions.text import NEGATIVE_LOOSE, NEGATIVE_STRICT, POSITIVE_LOOSE, POSITIVE_STRICT
+    from baitscope.plans.queries import RAW_LABELS
+
+    def num(s):
+        return (f"(CASE WHEN NOT isnan(TRY_CAST({s} AS DOUBLE)) AND CAST(trunc(TRY_CAST({s} AS DOUBLE)) AS BIGINT) IN (0, 1) "
+                f"THEN CAST(trunc(TRY_CAST({s} AS DOUBLE)) AS INTEGER) END)")
+    st = strip("raw")
+    lo = f"lower({st})"
+    return (f"SELECT doc_id, raw AS raw_label, "
+            f"CASE WHEN {st} IN ({', '.join(q(x) for x in POSITIVE_STRICT)}) THEN 1 "
+            f"WHEN {st} IN ({', '.join(q(x) for x in NEGATIVE_STRICT)}) THEN 0 ELSE {num(st)} END AS label_strict, "
+            f"CASE WHEN {lo} IN ({', '.join(q(x) for x in POSITIVE_LOOSE)}) THEN 1 "
+            f"WHEN {lo} IN ({', '.join(q(x) for x in NEGATIVE_LOOSE)}) THEN 0 ELSE {num(lo)} END AS label_loose "
+            f"FROM (SELECT doc_id, {pick(RAW_LABELS, 'doc_id')} AS raw FROM documents)")
+
+
+def _strip_tags(x: str) -> str:
+    t = f"regexp_replace({x}, '(?is)<style[^>]*>.*?</style>', '', 'g')"
+    t = f"regexp_replace({t}, '(?is)<script[^>]*>.*?</script>', '', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    return strip(f"regexp_replace({t}, '\\s+', ' ', 'g')")
+
+
+def _strip_corpus(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for a, b in [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]:
+        t = f"replace({t}, {q(a)}, {q(b)})"
+    return strip(f"regexp_replace({t}, '\\s+', ' ', 'g')")
+
+
+_TEXT_PARSE = (
+    "SELECT page_id, subject, CASE WHEN is_html THEN " + _strip_tags("b") + " ELSE b END AS body_text, is_html AS has_html, "
+    "CASE WHEN subject = '' AND (CASE WHEN is_html THEN " + _strip_tags("b") + " ELSE b END) = '' "
+    "THEN 'Both subject and body are empty' END AS parse_error, " + _strip_corpus("html") + " AS corpus_text FROM ("
+    "SELECT page_id, html, " + strip("CASE WHEN page_id % 5 = 0 THEN '' ELSE coalesce(url, '') END") + " AS subject, "
+    + strip("coalesce(html, '')") + " AS b, " + strip("coalesce(html, '')") + " <> '' AND contains(lower("
+    + strip("coalesce(html, '')") + "), '<html') AS is_html FROM pages)")
+
+
+def _tokens_sql() -> str:
+    from baitscope.functions.urls import URL_VOCAB
+    return ("SELECT page_id, url, array_to_string(list_transform(list_concat(list_transform(string_split(coalesce(url, ''), '')[1:200], "
+            f"lambda ch: CASE WHEN length(ch) = 1 THEN instr({q(URL_VOCAB)}, ch) ELSE 0 END), "
+            "list_transform(range(greatest(200 - len(string_split(coalesce(url, ''), '')[1:200]), 0)), lambda i: 0))[1:200], "
+            "lambda t: CAST(t AS VARCHAR)), ',') AS tokens FROM pages")
+
+
+_BLEND = (
+    "mrows AS (SELECT e.email_id, unnest(CASE WHEN coalesce(e.body_html, '') <> '' THEN list_distinct(list_concat(u.t_urls, u.h_urls)) "
+    "ELSE u.t_urls END) AS url FROM emails e JOIN u0 u USING (email_id)), "
+    "b AS (SELECT m.email_id, m.url, (length(m.url) % 100) / 100.0::DOUBLE AS p, r.risk_score AS rule_risk FROM mrows m "
+    "LEFT JOIN url_rows r ON r.email_id = m.email_id AND r.url = m.url), "
+    "b2 AS (SELECT *, CASE WHEN rule_risk IS NOT NULL THEN round(0.6::DOUBLE * p + 0.4::DOUBLE * rule_risk, 4) ELSE round(p, 4) END AS risk, "
+    "CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM b)")
+_BLEND_SELECT = ("SELECT email_id, count(*) AS url_count, round(0.7::DOUBLE * max(risk) + 0.3::DOUBLE * (sum(risk) / count(*)), 4) AS url_score, "
+                 "count(*) FILTER (WHERE band = 'high') AS n_high, count(*) FILTER (WHERE band = 'medium') AS n_medium FROM b2 GROUP BY email_id")
+
+_OCR_LINES = ("lines AS (SELECT doc_id AS image_id, unnest(string_split(text, chr(10))) AS line, "
+              "generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), "
+              "words AS (SELECT image_id, line_no, unnest(string_split(line, ' ')) AS word, "
+              "generate_subscripts(string_split(line, ' '), 1) AS word_no FROM lines), "
+              "wc AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY line_no, word_no) - 1) % 101 - 1 AS conf FROM words)")
+_OCR_SUBJ = ("WITH lines AS (SELECT doc_id AS image_id, unnest(string_split(text, chr(10))) AS line, "
+             "generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), "
+             f"s AS (SELECT image_id, line_no, {strip('line')} AS line FROM lines), "
+             "s2 AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY line_no) AS rn FROM s WHERE line <> ''), "
+             "s3 AS (SELECT * FROM s2 WHERE rn <= 5), "
+             "h AS (SELECT image_id, arg_min(CASE WHEN starts_with(lower(line), 'subject:') THEN "
+             f"{strip('substr(line, 9)')} ELSE line END, rn) AS v FROM s3 WHERE starts_with(lower(line), 'subject:') "
+             "OR starts_with(lower(line), 're:') OR starts_with(lower(line), 'fw:') GROUP BY image_id), "
+             "f AS (SELECT image_id, arg_min(substr(line, 1, 100), rn) AS first FROM s3 GROUP BY image_id) "
+             "SELECT f.image_id, coalesce(h.v, f.first) AS subject FROM f LEFT JOIN h USING (image_id)")
+
+MORE_ORACLE.update({
+    "label_normalize": _label_sql,
+    "text_input_parse": lambda: _TEXT_PARSE,
+    "url_tokens": _tokens_sql,
+    "url_blend": lambda: with_chain_plus(_BLEND, _BLEND_SELECT),
+    "url_training_pairs": lambda: with_chain("SELECT unnest(t_urls) AS url, e.label FROM u0 JOIN emails e USING (email_id)"),
+    "ocr_confidence": lambda: f"WITH {_OCR_LINES} SELECT image_id, round(avg(conf) FILTER (WHERE conf > 0) / 100.0::DOUBLE, 6) AS ocr_confidence FROM wc GROUP BY image_id",
+    "ocr_subject": lambda: _OCR_SUBJ,
+})

@@ -14,7 +14,10 @@ from baitscope.operators import audit as A
 from baitscope.operators import corpus as CO
 from baitscope.operators import history as H
 from baitscope.operators import metrics as M
+from baitscope.operators import urls as U
 from baitscope.operators.scoring import score_emails
+from baitscope.session import table
+from baitscope.sources import ocr as OCR
 from baitscope.resources import lexicons as L
 from baitscope.sources.fixtures import emails
 
@@ -247,6 +250,63 @@ def rate_violations(spark, sf_dir):
                     "n_requests", c("limit").alias("max_per_minute"), "violation")
 
 
+# FIXED VALUES (test input): raw label spellings assigned to documents by id.
+RAW_LABELS = ["1", "0", "spam", "ham", "phishing", "legit", "Phishing Email", "Safe Email", "1.0", "0.0",
+              "2", "abc", " phish ", "Not Phishing", "SAFE", "legitimate", "0.5", "-1", "", "Spam"]
+
+
+def label_normalize(spark, sf_dir):
+    """PRJ-07a/b over raw label strings assigned to documents."""
+    from baitscope.functions.text import normalize_label_loose, normalize_label_strict
+    from baitscope.sources.fixtures import _pick
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    raw = _pick(RAW_LABELS, c("doc_id"))
+    return d.select("doc_id", raw.alias("raw_label"), normalize_label_strict(raw).alias("label_strict"),
+                    normalize_label_loose(raw).alias("label_loose"))
+
+
+def text_input_parse(spark, sf_dir):
+    """PRJ-02..05/08: pages as text input (HTML bodies detected and stripped),
+    plus the corpus stripper (PRJ-03)."""
+    from baitscope.functions.html import strip_html_corpus
+    from baitscope.functions.text import parse_text_input
+    p = table(spark, sf_dir, "pages")
+    subj = F.when(c("page_id") % 5 == 0, F.lit("")).otherwise(c("url"))
+    parsed = parse_text_input(subj, c("html"), normalize=False)
+    return p.select("page_id", parsed["subject"].alias("subject"), parsed["body_text"].alias("body_text"),
+                    (parsed["body_html"] != "").alias("has_html"), parsed["parse_error"].alias("parse_error"),
+                    strip_html_corpus(c("html")).alias("corpus_text"))
+
+
+def url_tokens(spark, sf_dir):
+    """URL-22 over every page URL."""
+    t = U.url_tokens(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return t.select("page_id", "url", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"))
+
+
+def url_blend(spark, sf_dir):
+    """URL-03b, URL-20, JOI-05: model-score blend per email."""
+    e = emails(spark, sf_dir)
+    rows = U.model_url_rows(e)
+    return U.blend_url_scores(rows, U.derived_model_scores(rows), U.analyzed_rows(e))
+
+
+def url_training_pairs(spark, sf_dir):
+    """URL-21: (url, label) for every URL in every email body."""
+    e = emails(spark, sf_dir).select(c("body_text").alias("body"), "label")
+    return U.url_training_pairs(e)
+
+
+def ocr_confidence(spark, sf_dir):
+    """SRC-16 over OCR words derived from documents."""
+    return OCR.ocr_confidence(OCR.ocr_words(spark, sf_dir))
+
+
+def ocr_subject(spark, sf_dir):
+    """SRC-17: subject line from OCR text lines."""
+    return OCR.ocr_subject(OCR.ocr_lines(OCR.ocr_words(spark, sf_dir)))
+
+
 QUERIES = {
     "verdict_summary": verdict_summary,
     "email_scores": email_scores,
@@ -279,4 +339,11 @@ QUERIES = {
     "label_audit": label_audit,
     "label_audit_by_user": label_audit_by_user,
     "rate_violations": rate_violations,
+    "label_normalize": label_normalize,
+    "text_input_parse": text_input_parse,
+    "url_tokens": url_tokens,
+    "url_blend": url_blend,
+    "url_training_pairs": url_training_pairs,
+    "ocr_confidence": ocr_confidence,
+    "ocr_subject": ocr_subject,
 }
