@@ -83,7 +83,7 @@ def rate_limit_stream(spark: SparkSession, req_dir: str, schema, query_name: str
                       watermark: str = "10 minutes"):
     """STR-03: per client, kind and minute counts over a 10-minute watermark;
     rows over the limit are emitted once their window closes."""
-    src = spark.readStream.schema(schema).parquet(req_dir)
+    src = spark.readStream.schema(schema).parquet(req_dir).withColumn("ts", c("ts").cast("timestamp"))
     g = (src.withWatermark("ts", watermark)
          .groupBy(F.window("ts", "1 minute").alias("w"), "client", "kind").agg(F.count("*").alias("n_requests")))
     limit = F.when(c("kind") == "train", F.lit(train_limit)).otherwise(F.lit(analyse_limit))
