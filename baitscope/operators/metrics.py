@@ -193,3 +193,61 @@ def per_indicator_accuracy(pred_flags: DataFrame, true_flags: DataFrame, key: st
         return df.selectExpr(key, stack)
     j = long(pred_flags, "pred").join(long(true_flags, "truth"), [key, "indicator"])
     return j.groupBy("indicator").agg(F.round(F.avg((c("pred") == c("truth")).cast("double")), 4).alias("accuracy"))
+
+
+def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: str = "roc_score") -> DataFrame:
+    """AGG-11: 95 % bootstrap intervals (2.5 / 97.5 percentiles) for accuracy,
+    macro F1, ROC-AUC, FPR and FNR; NaN replicates dropped.
+
+    Poisson bootstrap: a row's replicate weight is Poisson(1), so a group of
+    m identical (label, prediction, score) rows gets one Poisson(m) draw per
+    replicate.  Work is bounded by distinct groups x replicates, whatever
+    the number of rows (draws: inverse CDF for m <= 50, else a normal
+    approximation via Box-Muller; uniforms come from a seeded hash)."""
+    g = preds.groupBy("label", "predicted_label", c(score).alias("score")).agg(F.count("*").alias("m"))
+    g = g.withColumn("gid", F.xxhash64("label", "predicted_label", "score"))
+    rep = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+
+    def unif(salt):
+        h = F.xxhash64(c("gid"), c("b"), F.lit(seed), F.lit(salt))
+        return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rep = rep.withColumn("u1", unif(1)).withColumn("u2", unif(2))
+    m = c("m").cast("double")
+    kmax = (c("m") + 10 * F.sqrt(m) + 10).cast("int")
+    small = F.aggregate(
+        F.sequence(F.lit(0), kmax),
+        F.struct(F.lit(-1).alias("k"), dbl(0.0).alias("cdf"), F.exp(-m).alias("p")),
+        lambda acc, k: F.when(acc["k"] >= 0, acc).otherwise(
+            F.when(acc["cdf"] + acc["p"] >= c("u1"), F.struct(k.alias("k"), (acc["cdf"] + acc["p"]).alias("cdf"), acc["p"].alias("p")))
+            .otherwise(F.struct(F.lit(-1).alias("k"), (acc["cdf"] + acc["p"]).alias("cdf"), (acc["p"] * m / (k + 1)).alias("p")))),
+        lambda acc: F.when(acc["k"] < 0, kmax).otherwise(acc["k"]))
+    z = F.sqrt(-2 * F.log(c("u1"))) * F.cos(2 * 3.141592653589793 * c("u2"))
+    large = F.greatest(F.round(m + F.sqrt(m) * z), dbl(0.0)).cast("int")
+    rep = rep.withColumn("w", F.when(c("m") <= 50, small).otherwise(large).cast("long"))
+    y, p = c("label"), c("predicted_label")
+    cm = rep.groupBy("b").agg(
+        F.sum(F.when((y == 1) & (p == 1), c("w")).otherwise(0)).alias("tp"),
+        F.sum(F.when((y == 0) & (p == 0), c("w")).otherwise(0)).alias("tn"),
+        F.sum(F.when((y == 0) & (p == 1), c("w")).otherwise(0)).alias("fp"),
+        F.sum(F.when((y == 1) & (p == 0), c("w")).otherwise(0)).alias("fn"))
+    # per-replicate metrics, replicate id kept
+    tp, tn, fp, fn = [c(x).cast("double") for x in ("tp", "tn", "fp", "fn")]
+    n = tp + tn + fp + fn
+    f_ph, f_lg = _div(2 * tp, 2 * tp + fp + fn), _div(2 * tn, 2 * tn + fn + fp)
+    per_b = cm.select("b", _div(tp + tn, n).alias("accuracy"), ((f_ph + f_lg) / 2).alias("macro_f1"),
+                      _div(fp, fp + tn).alias("fpr"), _div(fn, fn + tp).alias("fnr"))
+    sc = rep.groupBy("b", "score").agg(F.sum(F.when(y == 1, c("w")).otherwise(0)).alias("pos"),
+                                       F.sum(F.when(y == 0, c("w")).otherwise(0)).alias("neg"))
+    w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sc = sc.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    auc = sc.groupBy("b").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                              F.sum(c("pos") * (c("neg_below") + c("neg") * dbl(0.5))).alias("U")) \
+        .select("b", F.when((c("P") > 0) & (c("N") > 0), c("U") / (c("P") * c("N"))).alias("roc_auc"))
+    allm = per_b.join(auc, "b", "left")
+    out = []
+    for k in ["accuracy", "macro_f1", "roc_auc", "fpr", "fnr"]:
+        q = F.percentile(F.when(~F.isnan(c(k)), c(k)), F.array(F.lit(0.025), F.lit(0.975)))
+        out.append(F.transform(q, lambda x: F.round(x, 4)).alias(k))
+    return allm.agg(*out).selectExpr(
+        "stack(5, 'accuracy', accuracy[0], accuracy[1], 'macro_f1', macro_f1[0], macro_f1[1], "
+        "'roc_auc', roc_auc[0], roc_auc[1], 'fpr', fpr[0], fpr[1], 'fnr', fnr[0], fnr[1]) as (metric, ci_low, ci_high)")

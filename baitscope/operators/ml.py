@@ -177,9 +177,9 @@ def url_chars(df: DataFrame, col: str = "url") -> DataFrame:
     return df.withColumn("_chars", F.split(F.lower(c(col)), ""))
 
 
-def train_url_model(pairs: DataFrame, seed: int = 42):
-    """URL-23: 90/10 split by a hash of the URL, fit, and test metrics."""
-    x = url_chars(pairs.withColumn("_h", F.abs(F.xxhash64("url", F.lit(seed))) % 10))
+def train_url_model(pairs: DataFrame, seed: int = 42, split_keys: tuple[str, ...] = ("url",)):
+    """URL-23: 90/10 split by a hash of ``split_keys``, fit, and test metrics."""
+    x = url_chars(pairs.withColumn("_h", F.pmod(F.xxhash64(*split_keys, F.lit(seed)), F.lit(10))))
     model = url_model().fit(x.filter(c("_h") != 0))
     test = model.transform(x.filter(c("_h") == 0))
     y, p = c("label"), (vector_to_array(c("probability")).getItem(1) >= 0.5).cast("int")

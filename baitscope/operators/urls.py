@@ -44,8 +44,11 @@ def blend_url_scores(model_rows: DataFrame, model_scores: DataFrame, rule_rows:
         F.count_if(c("band") == "high").alias("n_high"), F.count_if(c("band") == "medium").alias("n_medium"))
 
 
-def url_training_pairs(corpus: DataFrame) -> DataFrame:
-    """URL-21: every body URL with its row's label; rows without URLs drop out."""
+def url_training_pairs(corpus: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """URL-21: every body URL with its row's label; rows without URLs drop
+    out.  ``keep`` carries id columns along (with the URL's position)."""
+    if keep:
+        return corpus.select(*keep, F.posexplode(text_urls(c("body"))).alias("pos", "url"), c("label"))
     return corpus.select(F.explode(text_urls(c("body"))).alias("url"), c("label"))
 
 

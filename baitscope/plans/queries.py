@@ -307,6 +307,50 @@ def ocr_subject(spark, sf_dir):
     return OCR.ocr_subject(OCR.ocr_lines(OCR.ocr_words(spark, sf_dir)))
 
 
+def bootstrap_ci(spark, sf_dir):
+    """AGG-11 (rows-only): Poisson bootstrap intervals, 1000 replicates."""
+    return M.bootstrap_ci(_preds(spark, sf_dir), 1000)
+
+
+def _embedding_training(spark, sf_dir):
+    from baitscope.operators import ml as ML
+    emb = table(spark, sf_dir, "embeddings").select(
+        c("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"),
+        (c("label") >= 5).cast("int").alias("label"))
+    pca, _ = ML.fit_pca(emb, "emb", 16)
+    return pca.transform(ML.to_vector(emb, "emb", "_v")).select("row_id", "label", c("pca").alias("features"))
+
+
+def forest_cross_validation(spark, sf_dir):
+    """CLS-05/06/08/10/11 (rows-only): PCA-16 embeddings, weighted forest, 5 stratified folds."""
+    from baitscope.operators import ml as ML
+    x = _embedding_training(spark, sf_dir)
+    if not ML.training_gate(x, 10)["success"]:
+        raise ValueError("training gate failed")
+    return ML.cross_validate(x, k=5, num_trees=50, max_depth=10)
+
+
+def email_model_scores(spark, sf_dir):
+    """CLS-04/05/09/13 (rows-only): forest on the 70-d email feature vector
+    (train split), applied to every email with the heuristic as fallback."""
+    from baitscope.operators import ml as ML
+    s = scored(spark, sf_dir).withColumn("row_id", c("email_id"))
+    s = s.withColumn("features", F.concat("rule_vector", "structural_vector"))
+    s = ML.to_vector(s, "features", "features")
+    train = ML.class_weights(CO.stratified_split(s.select("row_id", "label", "features")).filter(c("split") == "train"))
+    model = ML.forest(num_trees=50, max_depth=10).fit(train)
+    out = ML.classify_with_model(s.select("email_id", "label", "features"), model)
+    return out.select("email_id", "label", "method", "model_verdict", "model_confidence", "model_action")
+
+
+def url_model_eval(spark, sf_dir):
+    """URL-21/23 (rows-only): n-gram URL model, test-split metrics."""
+    from baitscope.operators import ml as ML
+    e = emails(spark, sf_dir).select("email_id", c("body_text").alias("body"), "label")
+    _, m = ML.train_url_model(U.url_training_pairs(e, keep=("email_id",)), split_keys=("email_id", "pos"))
+    return m
+
+
 QUERIES = {
     "verdict_summary": verdict_summary,
     "email_scores": email_scores,
@@ -346,4 +390,8 @@ QUERIES = {
     "url_training_pairs": url_training_pairs,
     "ocr_confidence": ocr_confidence,
     "ocr_subject": ocr_subject,
+    "bootstrap_ci": bootstrap_ci,
+    "forest_cross_validation": forest_cross_validation,
+    "email_model_scores": email_model_scores,
+    "url_model_eval": url_model_eval,
 }
