@@ -147,3 +147,8 @@ def corpus_breakdown(df: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.sum("label").cast("long").alias("phishing"))
     return g.select("corpus", "total", "phishing", (c("total") - c("phishing")).alias("legit"),
                     F.round(c("phishing") * dbl(100.0) / c("total"), 1).alias("phishing_pct"))
+
+
+def write_splits(split_df: DataFrame, path: str) -> None:
+    """SNK-06: train/val/test files in one write, partitioned by split."""
+    split_df.write.mode("overwrite").partitionBy("split").option("header", True).csv(path)

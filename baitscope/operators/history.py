@@ -137,3 +137,20 @@ def training_counts(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("total_samples"),
                        F.count_if(c("label") == 1).alias("phishing_samples"),
                        F.count_if(c("label") == 0).alias("legitimate_samples"))
+
+
+def public_view(scans: DataFrame, expose_raw: bool = False) -> DataFrame:
+    """PRJ-13: the raw-features record stays in the table for audit but is
+    dropped from what callers see unless explicitly exposed."""
+    return scans if expose_raw else scans.drop("raw_features")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """SNK-05: metrics as JSON (one file per metrics table)."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_predictions(preds: DataFrame, path: str) -> None:
+    """SNK-05: per-sample CSV with the body cut to 200 characters."""
+    cols = [F.substring(c(x), 1, 200).alias(x) if x == "body_text" else c(x) for x in preds.columns]
+    preds.select(*cols).write.mode("overwrite").option("header", True).csv(path)

@@ -251,3 +251,19 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
     return allm.agg(*out).selectExpr(
         "stack(5, 'accuracy', accuracy[0], accuracy[1], 'macro_f1', macro_f1[0], macro_f1[1], "
         "'roc_auc', roc_auc[0], roc_auc[1], 'fpr', fpr[0], fpr[1], 'fnr', fnr[0], fnr[1]) as (metric, ci_low, ci_high)")
+
+
+def adversarial_evaluation(baseline: DataFrame, variants: DataFrame) -> DataFrame:
+    """AGG-22: per technique, how many emails detected as phishing in the
+    baseline are no longer detected in their variant (evasion success).
+    ``variants`` carries (email_id, technique, predicted_label); both inputs
+    are given tables, joined on email_id."""
+    b = baseline.select("email_id", c("predicted_label").alias("base_pred"), "label")
+    j = variants.select("email_id", "technique", c("predicted_label").alias("var_pred")).join(b, "email_id")
+    detected = c("base_pred") == 1
+    return j.groupBy("technique").agg(
+        F.count("*").alias("n_pairs"),
+        F.count_if(detected).alias("baseline_detected"),
+        F.count_if(c("var_pred") == 1).alias("variant_detected"),
+        F.count_if(detected & (c("var_pred") == 0)).alias("evasions"),
+    ).withColumn("evasion_rate", F.round(_div(c("evasions").cast("double"), c("baseline_detected")), 4))

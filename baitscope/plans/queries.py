@@ -351,6 +351,33 @@ def url_model_eval(spark, sf_dir):
     return m
 
 
+def adversarial_evaluation(spark, sf_dir):
+    """AGG-22 (rows-only): signal-stripping variants of the given emails
+    (subject removed, HTML removed, header block removed) against the baseline."""
+    e = emails(spark, sf_dir)
+    base = M.predictions(score_emails(e))
+    parts = []
+    for name, v in [("no_subject", e.withColumn("subject", F.lit(""))),
+                    ("no_html", e.withColumn("body_html", F.lit(""))),
+                    ("no_headers", e.withColumn("received_hops", F.lit(None).cast("int")))]:
+        parts.append(M.predictions(score_emails(v)).select("email_id", F.lit(name).alias("technique"),
+                                                           "predicted_label"))
+    return M.adversarial_evaluation(base, CO.union_corpora(parts))
+
+
+def indicator_model_accuracy(spark, sf_dir):
+    """CLS-07, AGG-19 (rows-only): 20 indicator forests on the 70-d vector,
+    per-indicator agreement with the rule flags."""
+    from baitscope.operators import ml as ML
+    s = scored(spark, sf_dir)
+    s = ML.to_vector(s.withColumn("fv", F.concat("rule_vector", "structural_vector")), "fv", "features")
+    base = s.select("email_id", "features", *L.INDICATOR_NAMES)
+    models = ML.fit_indicator_models(base, num_trees=20, max_depth=8)
+    pred = ML.predict_indicators(base, models)
+    pf = pred.select("email_id", *[c(f"pred_{n}").alias(n) for n in L.INDICATOR_NAMES])
+    return M.per_indicator_accuracy(pf, base.select("email_id", *L.INDICATOR_NAMES))
+
+
 QUERIES = {
     "verdict_summary": verdict_summary,
     "email_scores": email_scores,
@@ -394,4 +421,6 @@ QUERIES = {
     "forest_cross_validation": forest_cross_validation,
     "email_model_scores": email_model_scores,
     "url_model_eval": url_model_eval,
+    "adversarial_evaluation": adversarial_evaluation,
+    "indicator_model_accuracy": indicator_model_accuracy,
 }
