@@ -8,8 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v)
+
+
 def lit_array(values: Sequence) -> Column:
-    """Array literal, kept in list order."""
+    """Array literal, kept in list order (one parsed SQL expression instead of
+    one JVM call per element)."""
+    values = list(values)
+    if values and all(isinstance(v, str) for v in values):
+        return F.expr("array(" + ", ".join(_sql_literal(v) for v in values) + ")")
     return F.array(*[F.lit(v) for v in values])
 
 

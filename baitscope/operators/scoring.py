@@ -10,6 +10,7 @@ partitioning for whatever comes next.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +56,31 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=32)
+def _raw_matches_expr(subject: str, body: str):
+    return S.raw_matches(S.analysis_text(c(subject), c(body)))
+
+
+@lru_cache(maxsize=32)
+def _semantic_exprs():
+    return S.semantic_columns(c("_raw"))
+
+
+@lru_cache(maxsize=32)
+def _structural_exprs(cols: EmailColumns, present: frozenset, relax_received: bool):
+    def opt(name, typ="string"):
+        return c(name) if name in present else F.lit(None).cast(typ)
+    body, html = opt(cols.body), opt(cols.html)
+    hdr = header_columns(opt(cols.from_hdr), opt(cols.reply_to), opt(cols.auth), opt(cols.x_mailer),
+                         opt(cols.message_id), opt(cols.date_hdr), opt(cols.hops, "int"),
+                         relax_received=relax_received)
+    return analyze_urls(extract_urls(body, html)), hdr, html_columns(html), url_rollup(c("urls"))
+
+
 def semantic_stage(df: DataFrame, subject: str = "subject", body: str = "body_text") -> DataFrame:
     """LEX-01..16 columns added to ``df``."""
-    raw = df.withColumn("_raw", S.raw_matches(S.analysis_text(c(subject), c(body))))
-    cols = S.semantic_columns(c("_raw"))
+    raw = df.withColumn("_raw", _raw_matches_expr(subject, body))
+    cols = _semantic_exprs()
     out = raw.select("*", *[v.alias(k) for k, v in cols.items()]).drop("_raw")
     out = out.withColumn("semantic_score", S.combined_score(None))
     return out.withColumn("semantic_details", S.semantic_details()) \
@@ -67,13 +89,9 @@ def semantic_stage(df: DataFrame, subject: str = "subject", body: str = "body_te
 
 def structural_stage(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False) -> DataFrame:
     """URL, header and HTML columns added to ``df`` (URL-*, HDR-*, HTM-*)."""
-    body, html = _opt(df, cols.body), _opt(df, cols.html)
-    hdr = header_columns(_opt(df, cols.from_hdr), _opt(df, cols.reply_to), _opt(df, cols.auth),
-                         _opt(df, cols.x_mailer), _opt(df, cols.message_id), _opt(df, cols.date_hdr),
-                         _opt(df, cols.hops, "int"), relax_received=relax_received)
-    step = df.select("*", analyze_urls(extract_urls(body, html)).alias("urls"),
-                     hdr.alias("_hdr"), html_columns(html).alias("_htm"))
-    step = step.select("*", url_rollup(c("urls")).alias("_url"))
+    urls, hdr, htm, rollup = _structural_exprs(cols, frozenset(df.columns), relax_received)
+    step = df.select("*", urls.alias("urls"), hdr.alias("_hdr"), htm.alias("_htm"))
+    step = step.select("*", rollup.alias("_url"))
     return step.select("*", "_url.*", "_hdr.*", "_htm.*").drop("_url", "_hdr", "_htm")
 
 
@@ -86,16 +104,20 @@ def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_recei
     """
     base = spread_for_cpu(df) if spread else df
     scored = structural_stage(semantic_stage(base, cols.subject, cols.body), cols, relax_received)
+    first, second, third = _fusion_exprs()
+    return scored.select("*", *first).select("*", *second).select("*", *third)
+
+
+@lru_cache(maxsize=1)
+def _fusion_exprs():
     raw_conf = FU.heuristic_confidence(c("semantic_score"), c("url_score"), c("header_score"), c("html_score"))
-    scored = scored.select(
-        "*",
+    first = [
         FU.structural_score().alias("structural_score"),
         FU.structural_details().alias("structural_details"),
         FU.verdict(raw_conf).alias("verdict"),
         F.round(raw_conf, 4).alias("confidence"),
-    )
-    scored = scored.select(
-        "*",
+    ]
+    second = [
         FU.recommended_action(c("verdict"), c("confidence")).alias("recommended_action"),
         F.lit("heuristic").alias("method"),
         F.lit("heuristic").alias("feature_mode"),
@@ -103,11 +125,11 @@ def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_recei
         FU.rule_vector().alias("rule_vector"),
         FU.structural_vector().alias("structural_vector"),
         *FU.indicator_flags(),
-    )
-    return scored.select(
-        "*",
+    ]
+    third = [
         FU.action_description(c("recommended_action")).alias("action_description"),
         FU.explanation().alias("explanation"),
         FU.education_note().alias("education_note"),
         FU.threat_indicators().alias("threat_indicators"),
-    )
+    ]
+    return first, second, third
