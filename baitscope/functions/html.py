@@ -69,7 +69,15 @@ def html_columns(html: Column) -> Column:
         js = F.array_distinct(F.flatten(F.transform(scripts, lambda s: F.array_compact(F.array(
             *[F.when(s.rlike(p), F.lit(name)) for name, p in L.JS_OBFUSCATION])))))
         b64 = F.regexp_count(h, F.lit(BASE64_RE))
-        n_forms, n_pix, n_img = F.size(forms), F.size(pixels), F.size(imgs)
+        # measure once, then derive score and details from the bound values
+        # (lambda bodies get no common-subexpression elimination)
+        base = F.struct(hidden.alias("hidden"), forms.alias("forms"), F.size(pixels).alias("n_pix"),
+                        F.size(imgs).alias("n_img"), iframes.alias("iframes"), js.alias("js"), b64.alias("b64"))
+        return let(base, _finish)
+
+    def _finish(b):
+        hidden, forms, iframes, js, b64 = b["hidden"], b["forms"], b["iframes"], b["js"], b["b64"]
+        n_forms, n_pix, n_img = F.size(forms), b["n_pix"], b["n_img"]
         has_js = F.size(js) > 0
 
         def w(cond, v):
