@@ -85,3 +85,27 @@ def test_url_model(spark):
     model, m = ML.train_url_model(pairs)
     scored = ML.score_urls(model, pairs.select("url").distinct())
     assert scored.filter(~F.col("probability").between(0, 1)).count() == 0
+
+
+def test_scoring_stream_matches_batch(spark):
+    from baitscope.operators.history import scan_records
+    from baitscope.operators.scoring import score_emails
+    from baitscope.sources.fixtures import emails
+    e = emails(spark, SF)
+    d = _scratch("emails-")
+    e.write.parquet(os.path.join(d, "in"))
+    out = os.path.join(d, "out")
+    q = J.scoring_stream(spark, os.path.join(d, "in"), e.schema, out, name=f"score{os.getpid()}")
+    q.awaitTermination()
+    got = spark.read.parquet(out).select("id", "verdict", "confidence")
+    want = scan_records(score_emails(e)).select("id", "verdict", "confidence")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_brand_keyword_table(spark):
+    from baitscope.resources.brands import brand_keywords
+    from baitscope.sources.brands import brand_table, keyword_table
+    got = {r.keyword: (list(r.domains), r.brand_ordinal) for r in keyword_table(brand_table(spark)).collect()}
+    want = {kw: doms for _, kw, doms in brand_keywords()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k] for k in want)
