@@ -17,11 +17,17 @@ INDICATOR_KEYS = ["suspicious_urls", "urgency_language", "header_anomalies", "gr
                   "html_suspicious"]
 
 
+def _scan_ts() -> F.Column:
+    """UTC wall-clock time as TIMESTAMP_NTZ (2024-01-01 + id minutes for the
+    derived table): independent of the session time zone."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=c("email_id"))
+
+
 def scan_records(scored: DataFrame, input_type: str = "eml") -> DataFrame:
     """SNK-01: history rows from scored emails: subject <= 200 and body <= 500
     characters, JSON payloads, UTC timestamp (2024-01-01 + id minutes for the
     derived table)."""
-    ts = F.timestamp_seconds(F.lit(1704067200) + c("email_id") * 60)
+    ts = _scan_ts()
     raw = F.struct(
         F.struct(c("semantic_score").alias("overall_score"), F.lit(False).alias("has_transformer_embedding"))
         .alias("semantic"),
@@ -118,7 +124,7 @@ def write_export(export: DataFrame, path: str) -> None:
 def training_samples(scored: DataFrame) -> DataFrame:
     """SNK-02: training rows: id, timestamp, subject, body preview, label and
     the 70-d feature vector (rule + structural)."""
-    ts = F.timestamp_seconds(F.lit(1704067200) + c("email_id") * 60)
+    ts = _scan_ts()
     return scored.select(
         c("email_id").alias("id"), ts.alias("timestamp"),
         F.substring(F.coalesce(c("subject"), F.lit("")), 1, 200).alias("subject"),
