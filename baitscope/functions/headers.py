@@ -53,7 +53,7 @@ def brand_mismatch(from_hdr: Column, from_domain: Column, strict: bool = False)
 
 def header_columns(from_hdr: Column, reply_to: Column, auth: Column, x_mailer: Column,
                    message_id: Column, date_hdr: Column, hops: Column,
-                   relax_received: bool = False) -> Column:
+                   relax_received: bool = False, strict_brands: bool = False) -> Column:
     """HDR-01 .. HDR-10 as one struct.  A row whose ``hops`` is NULL has no
     header block at all (text input) and takes the HDR-09 defaults."""
     def body(h):
@@ -127,7 +127,7 @@ def header_columns(from_hdr: Column, reply_to: Column, auth: Column, x_mailer: C
             blank_to_null(message_id).alias("message_id"),
             blank_to_null(date_hdr).alias("date"),
             hops.alias("hops"),
-            F.when(frm.isNotNull(), brand_mismatch(frm, from_domain)).alias("mismatch"),
+            F.when(frm.isNotNull(), brand_mismatch(frm, from_domain, strict_brands)).alias("mismatch"),
         )
 
     present = let(parsed(), body)

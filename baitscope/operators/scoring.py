@@ -67,13 +67,13 @@ def _semantic_exprs():
 
 
 @lru_cache(maxsize=32)
-def _structural_exprs(cols: EmailColumns, present: frozenset, relax_received: bool):
+def _structural_exprs(cols: EmailColumns, present: frozenset, relax_received: bool, strict_brands: bool = False):
     def opt(name, typ="string"):
         return c(name) if name in present else F.lit(None).cast(typ)
     body, html = opt(cols.body), opt(cols.html)
     hdr = header_columns(opt(cols.from_hdr), opt(cols.reply_to), opt(cols.auth), opt(cols.x_mailer),
                          opt(cols.message_id), opt(cols.date_hdr), opt(cols.hops, "int"),
-                         relax_received=relax_received)
+                         relax_received=relax_received, strict_brands=strict_brands)
     return analyze_urls(extract_urls(body, html)), hdr, html_columns(html), url_rollup(c("urls"))
 
 
@@ -87,23 +87,26 @@ def semantic_stage(df: DataFrame, subject: str = "subject", body: str = "body_te
         .withColumn("dominant_category", S.dominant_category())
 
 
-def structural_stage(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False) -> DataFrame:
-    """URL, header and HTML columns added to ``df`` (URL-*, HDR-*, HTM-*)."""
-    urls, hdr, htm, rollup = _structural_exprs(cols, frozenset(df.columns), relax_received)
+def structural_stage(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False,
+                     strict_brands: bool = False) -> DataFrame:
+    """URL, header and HTML columns added to ``df`` (URL-*, HDR-*, HTM-*).
+    ``strict_brands`` also skips the very common brand words (one, app, best,
+    home) in the sender check (HDR-03 option)."""
+    urls, hdr, htm, rollup = _structural_exprs(cols, frozenset(df.columns), relax_received, strict_brands)
     step = df.select("*", urls.alias("urls"), hdr.alias("_hdr"), htm.alias("_htm"))
     step = step.select("*", rollup.alias("_url"))
     return step.select("*", "_url.*", "_hdr.*", "_htm.*").drop("_url", "_hdr", "_htm")
 
 
 def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False,
-                 spread: bool = True) -> DataFrame:
+                 spread: bool = True, strict_brands: bool = False) -> DataFrame:
     """CLS-12: every analysis column, the heuristic verdict and explanations.
 
     Text input (no header block) is marked by a NULL hop count.  The rule
     vector and the 50-d structural vector are attached for the ML operators.
     """
     base = spread_for_cpu(df) if spread else df
-    scored = structural_stage(semantic_stage(base, cols.subject, cols.body), cols, relax_received)
+    scored = structural_stage(semantic_stage(base, cols.subject, cols.body), cols, relax_received, strict_brands)
     first, second, third = _fusion_exprs()
     return scored.select("*", *first).select("*", *second).select("*", *third)
 

@@ -115,3 +115,9 @@ def test_tar_members(spark):
         tf.add(src, arcname="corpus")
     rows = FS.read_tar_members(spark, tpath).collect()
     assert sorted(r.label for r in rows) == [0, 1]
+
+
+def test_raw_bytes_fallback(spark):
+    df = spark.createDataFrame([("", bytearray(b"raw body")), ("kept", bytearray(b"x"))], "body string, content binary")
+    out = [r.body for r in FS.raw_bytes_body_fallback(df).collect()]
+    assert out == ["raw body", "kept"]

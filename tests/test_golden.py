@@ -131,3 +131,11 @@ def test_nfkc(spark):
     df = spark.createDataFrame([("раypal",), ("ｐaypal",), (None,)], "t string")
     out = [r[0] for r in df.select(nfkc("t")).collect()]
     assert out[0] == "раypal" and out[1] == "paypal" and out[2] is None
+
+
+def test_strict_brand_option(spark):
+    rows = [(1, "", "x", "", "Best Deals <a@shop.example>", None, None, None, "<1@x>", DATE, 3)]
+    df = spark.createDataFrame(rows, EMAIL_SCHEMA)
+    loose = score_emails(df, spread=False).first()
+    strict = score_emails(df, spread=False, strict_brands=True).first()
+    assert loose.brand_mismatch_keyword == "best" and strict.brand_mismatch_keyword is None
