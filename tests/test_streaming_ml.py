@@ -109,3 +109,26 @@ def test_brand_keyword_table(spark):
     want = {kw: doms for _, kw, doms in brand_keywords()}
     assert set(got) == set(want)
     assert all(got[k][0] == want[k] for k in want)
+
+
+def test_bootstrap_brackets_point_estimates(spark):
+    from baitscope.operators import metrics as M
+    from baitscope.plans.queries import scored
+    p = M.predictions(scored(spark, SF)).cache()
+    point = M.evaluation_metrics(p).first()
+    auc = M.roc_auc(p).first().roc_auc
+    ci = {r.metric: (r.ci_low, r.ci_high) for r in M.bootstrap_ci(p, 200).collect()}
+    for k, v in [("accuracy", point.accuracy), ("macro_f1", point.macro_f1), ("fpr", point.fpr),
+                 ("fnr", point.fnr), ("roc_auc", auc)]:
+        lo, hi = ci[k]
+        assert lo <= v + 0.02 and v - 0.02 <= hi, (k, lo, v, hi)
+
+
+def test_model_url_list_duplicates(spark):
+    from baitscope.functions.urls import extract_urls_model
+    df = spark.createDataFrame([("a http://x.io/p b http://x.io/p", ""),
+                                ("a http://x.io/p b http://x.io/p", '<a href="http://y.io">y</a>')],
+                               "body string, html string")
+    out = [r[0] for r in df.select(extract_urls_model(F.col("body"), F.col("html"))).collect()]
+    assert out[0] == ["http://x.io/p", "http://x.io/p"]
+    assert sorted(out[1]) == ["http://x.io/p", "http://y.io"]
