@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,14 @@ from baitscope.session import ensure_checkpoint_dir
 PIECE_CHARS = 4_000_000
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it (a cluster has it installed there too)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path under the shared ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
@@ -46,7 +57,7 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
 def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no piece holds much more than ``most`` characters of ``text``."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             n = n or 0
@@ -64,6 +75,7 @@ def arrow_map(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
     from pyspark.sql.types import _parse_datatype_string
 
     struct = _parse_datatype_string(schema)
+    workers_import(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(struct)
