@@ -5,15 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe
+from baitscope.llm import bpe, tokenstore
 from baitscope.session import table
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to token-id files and read back, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    path = tokenstore.tokenize_to_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenstore.read_store(spark, path)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+QUERIES = {"op1_token_store": op1_token_store, "op10_bpe": op10_bpe}
 ORACLE: dict[str, str] = {}
