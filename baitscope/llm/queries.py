@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, tokenstore
+from baitscope.llm import bpe, langid, quality, tokenstore
 from baitscope.session import table
 
 
@@ -16,11 +16,27 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, path)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, with a calibrated score."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op3_quality": op3_quality,
+    "op9_langid": op9_langid,
+    "op10_bpe": op10_bpe,
+}
 ORACLE: dict[str, str] = {}
