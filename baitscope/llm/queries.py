@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, langid, quality, tokenstore
+from baitscope.llm import bpe, langid, quality, tokenstore, urlfilter, vecdup, warc
 from baitscope.session import table
 
 
@@ -22,6 +22,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, as digests."""
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules, else by the language-model ratio."""
+    return urlfilter.judge(table(spark, sf_dir, "pages")).drop("ratio")
+
+
+def op8_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings within their labels."""
+    return vecdup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, with a calibrated score."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -36,7 +51,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
+    "op6_url_filter": op6_url_filter,
+    "op8_vector_links": op8_vector_links,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE_SQL, "op8_vector_links": vecdup.ORACLE_SQL}
