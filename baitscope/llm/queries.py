@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, langid, quality, tokenstore, urlfilter, vecdup, warc
+from baitscope.llm import bpe, langid, probminhash, quality, tokenstore, urlfilter, vecdup, warc
 from baitscope.session import table
 
 
@@ -32,6 +32,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("ratio")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return probminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings within their labels."""
     return vecdup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op6_url_filter": op6_url_filter,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_vector_links": op8_vector_links,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
