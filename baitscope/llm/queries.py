@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, langid, probminhash, quality, tokenstore, urlfilter, vecdup, warc
+from baitscope.llm import bpe, decontam, langid, probminhash, quality, tokenstore, urlfilter, vecdup, warc
 from baitscope.session import table
 
 
@@ -27,6 +27,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that contaminate each document."""
+    return decontam.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by rules, else by the language-model ratio."""
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("ratio")
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_vector_links": op8_vector_links,
