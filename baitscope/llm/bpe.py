@@ -28,7 +28,7 @@ from baitscope.llm.common import RecentCache, arrow_map
 #: FIXED VALUE: the published split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units kept per generation in a Python worker (a unit takes about 200 bytes).
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 #: Position lists under this length are short; after so many of them the rest is merged position by position.
 SHORT_LIST, SHORT_LISTS = 40, 300
 
@@ -245,10 +245,14 @@ def load(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-def _codes(path: str):
+def _codes(path: str, decode: bool = False):
     def make(batch: pa.RecordBatch) -> dict:
-        packed = load(path).encode(batch.column("text").to_pylist())
-        return {**{c: batch.column(c) for c in batch.schema.names}, "ids": packed}
+        bpe = load(path)
+        packed = bpe.encode(batch.column("text").to_pylist())
+        made = {"doc_id": batch.column("doc_id"), "ids": packed}
+        if decode:
+            made["decoded"] = [bpe.decode_bytes(x).decode("utf-8", "replace") for x in packed]
+        return made
     return make
 
 
@@ -260,10 +264,13 @@ def _decoded(path: str):
     return make
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (packed little-endian 32-bit integers) of each row; other columns are left out."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return arrow_map(rows, "text", "doc_id long, text string, ids binary", _codes(path)).drop("text")
+    return arrow_map(_rows(docs, key, text), "text", "doc_id long, ids binary", _codes(path))
 
 
 def decode_ids(codes: DataFrame, path: str) -> DataFrame:
@@ -272,8 +279,11 @@ def decode_ids(codes: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and decoded for each row, in one pass without a shuffle."""
-    rows = decode_ids(encode_texts(docs, path), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and decoded for each row, in one pass without a shuffle.
+
+    Encoding and decoding share a Python worker, so that a task holds one vocabulary and one cache.
+    """
+    rows = arrow_map(_rows(docs, "doc_id", "text"), "text", "doc_id long, ids binary, decoded string", _codes(path, decode=True))
     return rows.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "decoded")

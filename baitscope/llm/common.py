@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from baitscope.session import ensure_checkpoint_dir
 
 #: Texts of one Arrow batch are handled in pieces of at most this many characters (one longer text is a piece of its own).
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 2_000_000
 
 
 def workers_import(spark: SparkSession) -> None:
