@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, decontam, langid, probminhash, quality, tokenstore, urlfilter, vecdup, warc
+from baitscope.llm import bpe, decontam, langid, probminhash, quality, runindex, tokenstore, urlfilter, vecdup, warc
 from baitscope.session import table
 
 
@@ -16,6 +16,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, path)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings, as digests."""
+    return runindex.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -60,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_repeats": op2_repeats,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
