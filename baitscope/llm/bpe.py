@@ -278,12 +278,12 @@ def decode_ids(codes: DataFrame, path: str) -> DataFrame:
     return arrow_map(codes, "ids", "doc_id long, ids binary, decoded string", _decoded(path))
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and decoded for each row, in one pass without a shuffle.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded (and ids) for each row, in one pass without a shuffle.
 
     Encoding and decoding share a Python worker, so that a task holds one vocabulary and one cache.
     """
     rows = arrow_map(_rows(docs, "doc_id", "text"), "text", "doc_id long, ids binary, decoded string", _codes(path, decode=True))
     return rows.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "decoded")
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "decoded", *["ids"] * with_ids)

@@ -223,8 +223,8 @@ def link_table(reps: DataFrame, sets_of, least: float = LEAST) -> DataFrame:
     return links.union(all_pairs(last, sets, least))
 
 
-def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, kept for every row of (doc_id, text)."""
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, t (a hash of the text), class_id, kept for every row."""
     c = F.col
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
     schema = "doc_id long, t long, f1 long, f2 long, bands array<long>"
@@ -250,6 +250,19 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     of = reps.join(found, "node", "left").select("f1", "f2", "doc_id", F.coalesce("component", "node").alias("component"))
     names = of.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     facts = of.join(names, "component").select("f1", "f2", "class_id")
-    out = sketches.select("doc_id", "f1", "f2").join(facts, ["f1", "f2"], "left")
-    out = out.select("doc_id", F.when(c("f1").isNull(), c("doc_id")).otherwise(c("class_id")).alias("class_id"))
+    out = sketches.select("doc_id", "t", "f1", "f2").join(facts, ["f1", "f2"], "left")
+    out = out.select("doc_id", "t", F.when(c("f1").isNull(), c("doc_id")).otherwise(c("class_id")).alias("class_id"))
     return out.withColumn("kept", c("class_id").isNull() | F.coalesce(c("doc_id") == c("class_id"), F.lit(False)))
+
+
+def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id, kept for every row of (doc_id, text)."""
+    return _classes(docs, least).drop("t")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, of the document that each class keeps."""
+    known = F.coalesce("doc_id", F.lit(-1)).cast("long")
+    gone = _classes(docs, least).where("NOT kept").select(known.alias("_gone_doc"), F.col("t").alias("_gone_text")).distinct()
+    same = (known == F.col("_gone_doc")) & (F.xxhash64("text") == F.col("_gone_text"))
+    return docs.join(stored(gone, "duplicates"), same, "left_anti")
