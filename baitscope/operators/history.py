@@ -17,17 +17,12 @@ INDICATOR_KEYS = ["suspicious_urls", "urgency_language", "header_anomalies", "gr
                   "html_suspicious"]
 
 
-def _scan_ts() -> F.Column:
-    """UTC wall-clock time as TIMESTAMP_NTZ (2024-01-01 + id minutes for the
-    derived table): independent of the session time zone."""
-    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=c("email_id"))
-
-
-def scan_records(scored: DataFrame, input_type: str = "eml") -> DataFrame:
-    """SNK-01: history rows from scored emails: subject <= 200 and body <= 500
-    characters, JSON payloads, UTC timestamp (2024-01-01 + id minutes for the
-    derived table)."""
-    ts = _scan_ts()
+def scan_records(scored: DataFrame, input_type: str = "eml", time_col: str = "received_at") -> DataFrame:
+    """SNK-01: history rows from scored emails: whole subject, a 500-character
+    preview of the body beside its SHA-256, JSON payloads, and the time of
+    ``time_col`` (TIMESTAMP_NTZ in UTC, so it does not depend on the session
+    time zone)."""
+    ts = c(time_col)
     raw = F.struct(
         F.struct(c("semantic_score").alias("overall_score"), F.lit(False).alias("has_transformer_embedding"))
         .alias("semantic"),
@@ -40,8 +35,9 @@ def scan_records(scored: DataFrame, input_type: str = "eml") -> DataFrame:
     return scored.select(
         c("email_id").alias("id"), ts.alias("timestamp"), F.to_date(ts).alias("scan_date"),
         F.lit(input_type).alias("input_type"),
-        F.substring(F.coalesce(c("subject"), F.lit("")), 1, 200).alias("subject"),
+        F.coalesce(c("subject"), F.lit("")).alias("subject"),
         F.substring(F.coalesce(c("body_text"), F.lit("")), 1, 500).alias("body_preview"),
+        F.sha2(F.coalesce(c("body_text"), F.lit("")), 256).alias("body_hash"),
         "verdict", "confidence", "recommended_action", "explanation", "education_note",
         F.to_json(c("threat_indicators")).alias("threat_indicators"),
         F.to_json(raw).alias("raw_features"),
@@ -104,13 +100,13 @@ def delete_scan(history: DataFrame, scan_id: int) -> DataFrame:
     return history.filter(c("id") != scan_id)
 
 
-def export_history(history: DataFrame, cap: int = 100_000) -> DataFrame:
+def export_history(history: DataFrame, cap: int | None = None) -> DataFrame:
     """SNK-04: 13 export columns, scores x100 rounded to 2, missing -> 0;
-    ``sender`` is always empty (the history has no such column); newest
-    ``cap`` rows."""
+    ``sender`` is always empty (the history has no such column).  All rows are
+    exported by a partitioned write; ``cap`` asks for the newest rows only."""
     def pct(k):
         return F.round(indicator_score("threat_indicators", k) * 100, 2).alias(f"{k}_score")
-    top = history_page(history, cap, 0)
+    top = history if cap is None else history_page(history, cap, 0)
     return top.select(
         "id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "input_type", "subject",
         F.lit("").alias("sender"), "verdict", F.round(F.coalesce(c("confidence"), dbl(0.0)) * 100, 2).alias("confidence"),
@@ -121,14 +117,14 @@ def write_export(export: DataFrame, path: str) -> None:
     export.write.mode("overwrite").option("header", True).csv(path)
 
 
-def training_samples(scored: DataFrame) -> DataFrame:
-    """SNK-02: training rows: id, timestamp, subject, body preview, label and
-    the 70-d feature vector (rule + structural)."""
-    ts = _scan_ts()
+def training_samples(scored: DataFrame, time_col: str = "received_at") -> DataFrame:
+    """SNK-02: training rows: id, timestamp, subject, body preview and hash,
+    label and the 70-d feature vector (rule + structural)."""
     return scored.select(
-        c("email_id").alias("id"), ts.alias("timestamp"),
-        F.substring(F.coalesce(c("subject"), F.lit("")), 1, 200).alias("subject"),
+        c("email_id").alias("id"), c(time_col).alias("timestamp"),
+        F.coalesce(c("subject"), F.lit("")).alias("subject"),
         F.substring(F.coalesce(c("body_text"), F.lit("")), 1, 500).alias("body_preview"),
+        F.sha2(F.coalesce(c("body_text"), F.lit("")), 256).alias("body_hash"),
         c("label"), F.to_json(F.concat("rule_vector", "structural_vector")).alias("features"))
 
 
@@ -156,7 +152,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_predictions(preds: DataFrame, path: str) -> None:
-    """SNK-05: per-sample CSV with the body cut to 200 characters."""
-    cols = [F.substring(c(x), 1, 200).alias(x) if x == "body_text" else c(x) for x in preds.columns]
+def write_predictions(preds: DataFrame, path: str, max_body: int | None = None) -> None:
+    """SNK-05: per-sample CSV; ``max_body`` cuts the body."""
+    cols = [F.substring(c(x), 1, max_body).alias(x) if x == "body_text" and max_body else c(x) for x in preds.columns]
     preds.select(*cols).write.mode("overwrite").option("header", True).csv(path)

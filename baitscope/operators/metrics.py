@@ -187,12 +187,11 @@ def system_comparison(spark: SparkSession, ours: DataFrame, auc: DataFrame) -> D
 
 def per_indicator_accuracy(pred_flags: DataFrame, true_flags: DataFrame, key: str = "email_id") -> DataFrame:
     """AGG-19: agreement of predicted and rule indicator flags, per indicator."""
-    def long(df, alias):
-        stack = "stack({n}, {pairs}) as (indicator, {a})".format(
-            n=len(L.INDICATOR_NAMES), a=alias, pairs=", ".join(f"'{x}', `{x}`" for x in L.INDICATOR_NAMES))
-        return df.selectExpr(key, stack)
-    j = long(pred_flags, "pred").join(long(true_flags, "truth"), [key, "indicator"])
-    return j.groupBy("indicator").agg(F.round(F.avg((c("pred") == c("truth")).cast("double")), 4).alias("accuracy"))
+    both = pred_flags.select(key, *[c(n).alias(f"p_{n}") for n in L.INDICATOR_NAMES]).join(
+        true_flags.select(key, *[c(n).alias(f"t_{n}") for n in L.INDICATOR_NAMES]), key)
+    one = both.agg(*[F.round(F.avg((c(f"p_{n}") == c(f"t_{n}")).cast("double")), 4).alias(n) for n in L.INDICATOR_NAMES])
+    pairs = ", ".join(f"'{n}', `{n}`" for n in L.INDICATOR_NAMES)
+    return one.selectExpr(f"stack({len(L.INDICATOR_NAMES)}, {pairs}) as (indicator, accuracy)")
 
 
 def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: str = "roc_score") -> DataFrame:
@@ -202,8 +201,8 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
     Poisson bootstrap: a row's replicate weight is Poisson(1), so a group of
     m identical (label, prediction, score) rows gets one Poisson(m) draw per
     replicate.  Work is bounded by distinct groups x replicates, whatever
-    the number of rows (draws: inverse CDF for m <= 50, else a normal
-    approximation via Box-Muller; uniforms come from a seeded hash)."""
+    the number of rows (draws: inverse CDF at every m, started ten standard
+    deviations below the mean; uniforms come from a seeded hash)."""
     g = preds.groupBy("label", "predicted_label", c(score).alias("score")).agg(F.count("*").alias("m"))
     g = g.withColumn("gid", F.xxhash64("label", "predicted_label", "score"))
     rep = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
@@ -211,19 +210,22 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
     def unif(salt):
         h = F.xxhash64(c("gid"), c("b"), F.lit(seed), F.lit(salt))
         return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rep = rep.withColumn("u1", unif(1)).withColumn("u2", unif(2))
+    rep = rep.withColumn("u1", unif(1))
     m = c("m").cast("double")
-    kmax = (c("m") + 10 * F.sqrt(m) + 10).cast("int")
-    small = F.aggregate(
-        F.sequence(F.lit(0), kmax),
-        F.struct(F.lit(-1).alias("k"), dbl(0.0).alias("cdf"), F.exp(-m).alias("p")),
+    # Inverse CDF over the ten standard deviations around the mean (what lies outside has a probability under 1e-20).
+    reach = 10 * F.sqrt(m) + 10
+    low = F.floor(F.greatest(dbl(0.0), m - reach))
+    k0 = low.cast("double")
+    stirling = (k0 + 0.5) * F.log(k0) - k0 + 0.9189385332046728 + 1 / (12 * k0) - 1 / (360 * k0 * k0 * k0)
+    log_factorial = F.when(k0 <= 20, F.log(F.factorial(F.least(low, F.lit(20)).cast("int")).cast("double"))).otherwise(stirling)
+    drawn = F.aggregate(
+        F.sequence(low, F.ceil(m + reach)),
+        F.struct(F.lit(-1).cast("long").alias("k"), dbl(0.0).alias("cdf"), F.exp(-m + k0 * F.log(m) - log_factorial).alias("p")),
         lambda acc, k: F.when(acc["k"] >= 0, acc).otherwise(
             F.when(acc["cdf"] + acc["p"] >= c("u1"), F.struct(k.alias("k"), (acc["cdf"] + acc["p"]).alias("cdf"), acc["p"].alias("p")))
-            .otherwise(F.struct(F.lit(-1).alias("k"), (acc["cdf"] + acc["p"]).alias("cdf"), (acc["p"] * m / (k + 1)).alias("p")))),
-        lambda acc: F.when(acc["k"] < 0, kmax).otherwise(acc["k"]))
-    z = F.sqrt(-2 * F.log(c("u1"))) * F.cos(2 * 3.141592653589793 * c("u2"))
-    large = F.greatest(F.round(m + F.sqrt(m) * z), dbl(0.0)).cast("int")
-    rep = rep.withColumn("w", F.when(c("m") <= 50, small).otherwise(large).cast("long"))
+            .otherwise(F.struct(F.lit(-1).cast("long").alias("k"), (acc["cdf"] + acc["p"]).alias("cdf"), (acc["p"] * m / (k + 1)).alias("p")))),
+        lambda acc: F.when(acc["k"] < 0, F.ceil(m + reach)).otherwise(acc["k"]))
+    rep = rep.withColumn("w", drawn.cast("long"))
     y, p = c("label"), c("predicted_label")
     cm = rep.groupBy("b").agg(
         F.sum(F.when((y == 1) & (p == 1), c("w")).otherwise(0)).alias("tp"),

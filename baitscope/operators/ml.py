@@ -31,7 +31,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("_nc"))
     every = Window.partitionBy()  # over the per-class counts: one row per class
     w = counts.select(label, (F.sum("_nc").over(every) / (F.count("*").over(every) * c("_nc"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def training_gate(df: DataFrame, min_samples: int = 10, label: str = "label") -> dict:
@@ -97,12 +97,13 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
 
 
 def fit_pca(df: DataFrame, array_col: str, k: int, min_rows: int | None = None):
-    """CLS-08: mean-centre then PCA to ``k`` components (only with at least
-    2k rows); returns (model or None, explained variance total)."""
+    """CLS-08: mean-centre then PCA to ``k`` components; returns (model,
+    explained variance total).  Under ``min_rows`` rows (2k by default) it
+    raises a ValueError."""
     min_rows = min_rows if min_rows is not None else 2 * k
     n = df.count()
     if n < min_rows:
-        return None, None
+        raise ValueError(f"PCA to {k} components needs at least {min_rows} rows; there are {n}")
     vec = to_vector(df, array_col, "_v")
     pipe = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_centred", withMean=True, withStd=False),
                             PCA(k=k, inputCol="_centred", outputCol="pca")])

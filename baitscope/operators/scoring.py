@@ -44,18 +44,6 @@ def _opt(df: DataFrame, name: str, typ: str = "string"):
     return c(name) if name in df.columns else F.lit(None).cast(typ)
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Scoring is CPU-bound per row.  When the input arrives in fewer
-    partitions than the cluster has cores (a single small file, say), spread
-    it round-robin; on real inputs with many splits this is a no-op, so no
-    shuffle is added at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 @lru_cache(maxsize=32)
 def _raw_matches_expr(subject: str, body: str):
     return S.raw_matches(S.analysis_text(c(subject), c(body)))
@@ -99,14 +87,13 @@ def structural_stage(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_r
 
 
 def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False,
-                 spread: bool = True, strict_brands: bool = False) -> DataFrame:
+                 strict_brands: bool = False) -> DataFrame:
     """CLS-12: every analysis column, the heuristic verdict and explanations.
 
     Text input (no header block) is marked by a NULL hop count.  The rule
     vector and the 50-d structural vector are attached for the ML operators.
     """
-    base = spread_for_cpu(df) if spread else df
-    scored = structural_stage(semantic_stage(base, cols.subject, cols.body), cols, relax_received, strict_brands)
+    scored = structural_stage(semantic_stage(df, cols.subject, cols.body), cols, relax_received, strict_brands)
     first, second, third = _fusion_exprs()
     return scored.select("*", *first).select("*", *second).select("*", *third)
 

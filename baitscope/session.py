@@ -44,7 +44,8 @@ def get_spark(app: str = "baitscope", cpus: int | None = None) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only
-    when none is configured (local tests)."""
+    when none is configured in a local session (tests).  A cluster session
+    without the setting is an error: a machine-local folder would be lost."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="baitscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

@@ -60,6 +60,12 @@ def _pick(values, key):
     return expr
 
 
+def received_at(key) -> F.Column:
+    """Fixture time: 2024-01-01 and a minute for each id, over a century."""
+    minute = F.pmod(key, F.lit(100 * 365 * 1440)).cast("int")
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minute)
+
+
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One email per document; page HTML joined on ``doc_id % n_pages``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -87,4 +93,5 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d % 11).cast("int").alias("received_hops"),
         label.cast("int").alias("label"),
         c("source"),
+        received_at(d).alias("received_at"),
     )

@@ -53,7 +53,7 @@ def golden(spark):
     rows.append((303, "", "", '<div style="display:none">x</div><iframe src="http://a.example/f"></iframe>',
                  None, None, None, None, "<1@x>", DATE, 3))
     df = spark.createDataFrame(rows, EMAIL_SCHEMA)
-    return {r.email_id: r for r in score_emails(df, spread=False).collect()}
+    return {r.email_id: r for r in score_emails(df).collect()}
 
 
 def test_url_risk_golden(golden):
@@ -136,6 +136,6 @@ def test_nfkc(spark):
 def test_strict_brand_option(spark):
     rows = [(1, "", "x", "", "Best Deals <a@shop.example>", None, None, None, "<1@x>", DATE, 3)]
     df = spark.createDataFrame(rows, EMAIL_SCHEMA)
-    loose = score_emails(df, spread=False).first()
-    strict = score_emails(df, spread=False, strict_brands=True).first()
+    loose = score_emails(df).first()
+    strict = score_emails(df, strict_brands=True).first()
     assert loose.brand_mismatch_keyword == "best" and strict.brand_mismatch_keyword is None

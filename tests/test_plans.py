@@ -8,7 +8,7 @@ from baitscope.operators.scoring import score_emails
 def test_scoring_has_no_exchange(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     df = docs.select(F.col("doc_id").alias("email_id"), F.lit("").alias("subject"), F.col("text").alias("body_text"))
-    plan = score_emails(df, spread=False).select("email_id", "verdict")._jdf.queryExecution().executedPlan().toString()
+    plan = score_emails(df).select("email_id", "verdict")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
