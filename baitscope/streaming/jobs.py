@@ -29,7 +29,7 @@ def scoring_stream(spark: SparkSession, emails_dir: str, schema, out_dir: str, n
     """STR-01: arriving emails -> score -> append to the scan history
     (partitioned by scan date).  Stateless, so it scales with the input."""
     src = spark.readStream.schema(schema).parquet(emails_dir)
-    records = H.scan_records(score_emails(src, spread=False))
+    records = H.scan_records(score_emails(src))
     return (records.writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", _ckpt(spark, name)).partitionBy("scan_date")
             .outputMode("append").trigger(availableNow=True).start())
@@ -38,7 +38,7 @@ def scoring_stream(spark: SparkSession, emails_dir: str, schema, out_dir: str, n
 def audit_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
     """One micro-batch of the label audit: a flagged row is held when it is
     the first flagged row of its hash in this batch and the hash was never
-    flagged before (``seen`` holds one row per flagged hash so far)."""
+    flagged before (``seen`` holds the hashes flagged so far)."""
     firsts = batch.filter("suspicious_flagged").groupBy("body_hash").agg(
         F.min(F.struct("timestamp", "id")).alias("_f"))
     if seen is not None:
@@ -52,61 +52,84 @@ def audit_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
                     (c("suspicious_flagged") & ~held).alias("confirmed_at_insert"))
 
 
+def _by_batch(df: DataFrame, path: str) -> None:
+    """Write one batch of a table; a replay overwrites its own partition."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def quarantine_stream(spark: SparkSession, subs_dir: str, schema, out_dir: str, state_dir: str,
-                      name: str = "quarantine"):
+                      name: str = "quarantine", max_files: int | None = None):
     """STR-02: label quarantine over a submission stream.
 
-    Each micro-batch is audited with ``audit_batch`` against the table of
-    hashes already flagged; both writes are keyed by batch id, so a replayed
-    batch overwrites its own output instead of duplicating it."""
+    Each micro-batch is audited with ``audit_batch`` against the hashes that
+    earlier batches flagged.  Output and state are tables partitioned by batch id;
+    a batch reads only the state of the batches before it and overwrites its own
+    partitions, so a replay gives the same rows.  State is read through Spark, on
+    whatever file system it lies, and holds each hash once for the batch that
+    flagged it first."""
+    state = "body_hash string, batch_id long"
+    spark.createDataFrame([], state).write.mode("append").partitionBy("batch_id").parquet(state_dir)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        seen = s.read.parquet(state_dir).select("body_hash").distinct() \
-            if os.path.exists(state_dir) and any(p.startswith("batch_id=") for p in os.listdir(state_dir)) else None
-        if seen is not None:
-            seen = seen.filter(c("batch_id") != batch_id) if "batch_id" in seen.columns else seen
+        seen = batch.sparkSession.read.schema(state).parquet(state_dir).where(c("batch_id") < batch_id).select("body_hash")
         flagged = batch.withColumn("suspicious_flagged",
                                    (c("submitted_label") == 0) & (c("confidence_raw") > A.FLAG_CONFIDENCE))
-        audited = audit_batch(flagged, seen).withColumn("batch_id", F.lit(batch_id))
-        audited.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(out_dir)
-        flagged.filter("suspicious_flagged").select("body_hash").distinct().withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(state_dir)
+        _by_batch(audit_batch(flagged, seen).withColumn("batch_id", F.lit(batch_id).cast("long")), out_dir)
+        new = flagged.filter("suspicious_flagged").select("body_hash").distinct().join(seen, "body_hash", "left_anti")
+        _by_batch(new.withColumn("batch_id", F.lit(batch_id).cast("long")), state_dir)
 
-    src = spark.readStream.schema(schema).parquet(subs_dir)
-    return (src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
+    src = spark.readStream.schema(schema)
+    src = src if max_files is None else src.option("maxFilesPerTrigger", max_files)
+    return (src.parquet(subs_dir).writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
             .trigger(availableNow=True).start())
 
 
-def rate_limit_stream(spark: SparkSession, req_dir: str, schema, query_name: str = "rate_violations",
+def confirmed_labels(audited: DataFrame) -> DataFrame:
+    """JOI-07: a flagged row is confirmed once its hash was flagged again, at its insert or later."""
+    often = audited.filter("suspicious_flagged").groupBy("body_hash").agg(F.count("*").alias("_n")).where("_n >= 2")
+    j = audited.join(often, "body_hash", "left")
+    return j.withColumn("confirmed", c("suspicious_flagged") & c("_n").isNotNull()).drop("_n")
+
+
+def rate_limit_stream(spark: SparkSession, req_dir: str, schema, out_dir: str, name: str = "rate_violations",
                       analyse_limit: int = A.ANALYSE_LIMIT, train_limit: int = A.TRAIN_LIMIT,
                       watermark: str = "10 minutes"):
     """STR-03: per client, kind and minute counts over a 10-minute watermark;
-    rows over the limit are emitted once their window closes."""
+    rows over the limit are appended to a table once their window closes."""
     src = spark.readStream.schema(schema).parquet(req_dir).withColumn("ts", c("ts").cast("timestamp"))
     g = (src.withWatermark("ts", watermark)
          .groupBy(F.window("ts", "1 minute").alias("w"), "client", "kind").agg(F.count("*").alias("n_requests")))
     limit = F.when(c("kind") == "train", F.lit(train_limit)).otherwise(F.lit(analyse_limit))
     out = g.select("client", "kind", c("w.start").alias("minute_start"), "n_requests", limit.alias("max_per_minute")) \
         .filter(c("n_requests") > c("max_per_minute"))
-    return (out.writeStream.format("memory").queryName(query_name).outputMode("append")
-            .option("checkpointLocation", _ckpt(spark, query_name)).trigger(availableNow=True).start())
+    return (out.writeStream.format("parquet").option("path", out_dir).outputMode("append")
+            .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
 
 
-def kpi_stream(spark: SparkSession, history_dir: str, schema, query_name: str = "running_kpi"):
-    """STR-04: running KPIs over the history stream (complete mode; the
-    aggregate state is one row)."""
+def kpi_stream(spark: SparkSession, history_dir: str, schema, out_dir: str, name: str = "running_kpi"):
+    """STR-04: running KPIs over the history stream.  The aggregate state is one
+    row of exact sums; each batch overwrites the one-row KPI table."""
     src = spark.readStream.schema(schema).parquet(history_dir)
     n = F.count("*")
     agg = src.agg(n.alias("total_analyzed"),
                   F.count_if(c("verdict") == "phishing").alias("phishing_count"),
                   F.count_if(c("verdict") == "suspicious").alias("suspicious_count"),
                   F.count_if(c("verdict") == "legitimate").alias("legitimate_count"),
-                  F.sum(F.round(c("confidence") * 10000).cast("long")).alias("confidence_sum_e4"),
+                  F.sum(F.round(c("confidence") * 10000).cast("long")).alias("confidence_sum"),
                   *[F.sum(F.round(H.indicator_score("threat_indicators", k) * 10000).cast("long"))
-                    .alias(f"{k}_sum_e4") for k in H.INDICATOR_KEYS])
-    return (agg.writeStream.format("memory").queryName(query_name).outputMode("complete")
-            .option("checkpointLocation", _ckpt(spark, query_name)).trigger(availableNow=True).start())
+                    .alias(f"{k}_sum") for k in H.INDICATOR_KEYS])
+
+    def mean(name: str) -> F.Column:
+        return F.floor((2 * c(name) + c("total_analyzed")) / (2 * c("total_analyzed"))) / F.lit(10000.0)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rate = F.round(c("phishing_count") / c("total_analyzed") * 100, 1)
+        batch.select("total_analyzed", "phishing_count", "suspicious_count", "legitimate_count", rate.alias("phishing_rate"),
+                     mean("confidence_sum").alias("avg_confidence"), *[mean(f"{k}_sum").alias(f"{k}_mean") for k in H.INDICATOR_KEYS]) \
+            .coalesce(1).write.mode("overwrite").parquet(out_dir)
+
+    return (agg.writeStream.foreachBatch(run).outputMode("complete")
+            .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
 
 
 def retrain_trigger_stream(spark: SparkSession, samples_dir: str, schema, on_ready, min_samples: int = 6,

@@ -1,7 +1,6 @@
 """Corpus operators (properties) and file sources on small generated files."""
 
 import os
-import tarfile
 import tempfile
 
 from pyspark.sql import functions as F
@@ -42,47 +41,48 @@ def test_all_phishing_rule(spark):
     assert out == {1: 1, 2: 1, 3: 0}
 
 
-EML_PHISH = b"""From: PayPal <help@paypa1.com>
-To: you@example.com
-Subject: Account suspended
-Message-ID: <a@b>
-Date: Mon, 1 Jan 2024 00:00:00 +0000
-Received: from a
-Received: from b
-Authentication-Results: mx; spf=fail; dkim=fail; dmarc=fail
-Content-Type: multipart/alternative; boundary="XX"
-
---XX
-Content-Type: text/plain; charset=utf-8
-
-Verify now at http://paypa1.com/verify
---XX
-Content-Type: text/html; charset=utf-8
-
-<html><body><form action="http://evil.xyz/post"></form></body></html>
---XX--
-"""
-EML_HAM = b"""From: Alice <alice@example.com>
-Subject: Team lunch
-Content-Type: text/html; charset=utf-8
-
-<html><body><p>See you at noon</p></body></html>
-"""
-
-
-def test_eml_tree(spark):
-    root = tempfile.mkdtemp(prefix="eml-", dir="/tmp")
-    for sub, name, data in [("phishing", "a.eml", EML_PHISH), ("ham", "b.eml", EML_HAM), ("other", "c.eml", EML_HAM)]:
-        os.makedirs(os.path.join(root, sub), exist_ok=True)
-        with open(os.path.join(root, sub, name), "wb") as f:
-            f.write(data)
-    rows = {r.subject: r for r in FS.read_eml_tree(spark, root).collect()}
-    assert set(rows) == {"Account suspended", "Team lunch"}
-    p = rows["Account suspended"]
-    assert p.label == 1 and p.received_hops == 2 and "paypa1.com/verify" in p.body_text
-    assert "evil.xyz/post" in p.body_html and p.auth_results.startswith("mx; spf=fail")
-    h = rows["Team lunch"]
-    assert h.label == 0 and h.body_text == "See you at noon"
+def test_folder_labels(spark):
+    rows = [("/r/easy_ham/1", 0, 0, 0), ("/r/spam_2/x/1", 1, 1, 1), ("/r/phishing_corpus/1", 1, None, None),
+            ("/r/a+b/inbox/1", None, None, 0), ("/r/plain.eml", None, None, None), ("/r/SAFE/spam.eml", 0, 1, 1)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "path string")
+    got = {r.path: r.label for r in FS.labelled_mail(df, "/r").collect()}
+    assert got == {r[0]: r[1] for r in rows if r[1] is not None}
+    got = df.select("path", FS.archive_label(F.col("path")).alias("a"), FS.component_label(F.col("path")).alias("c")).collect()
+    assert [(r.path, r.a, r.c) for r in got] == [(r[0], r[2], r[3]) for r in rows]
+    flat = spark.createDataFrame([("file:/x.(y/1.eml",), ("file:/x.(y/2.eml",)], "path string")
+    assert [r.label for r in FS.labelled_mail(flat, "file:/x.(y").collect()] == [1, 1]
+
+
+def test_mail_bodies(spark):
+    df = spark.createDataFrame([("plain", "<p>no</p>"), ("", "<p>See you at noon</p>"), (None, None)], "body_text string, body_html string")
+    assert [r.body_text for r in FS.mail_bodies(df).collect()] == ["plain", "See you at noon", ""]
+
+
+def test_bodies_are_kept_whole(spark):
+    df = spark.createDataFrame([("s" * 900, "b" * 20000, "1")], "subject string, body string, label string")
+    for out in (FS.corpus_rows(df, "subject", "body", "label", "x"), FS.detect_layout(df), FS.trainer_csv(df)):
+        r = out.first()
+        assert (len(r.subject), len(r.body)) == (900, 20000)
+    assert len(FS.trainer_csv(df, max_body=3000).first().body) == 3000
+
+
+def test_seeded_order_is_not_the_id_order(spark):
+    df = spark.range(4000).withColumnRenamed("id", "row_id").withColumn("label", (F.col("row_id") % 2).cast("int"))
+    a = {r.row_id: r._rank for r in CO.ranked(df, None, seed=42).collect()}
+    b = {r.row_id: r._rank for r in CO.ranked(df, None, seed=43).collect()}
+    assert sorted(a.values()) == list(range(1, 4001))
+    n, mean = 4000, 2000.5
+    corr = lambda x, y: sum((x[i] - mean) * (y[i] - mean) for i in x) / (n * (n * n - 1) / 12)
+    ids = {i: i + 1 for i in a}
+    assert abs(corr(a, ids)) < 0.06 and abs(corr(a, b)) < 0.06 and a != b
+    text = spark.createDataFrame([("x%d" % i, 0) for i in range(50)], "row_id string, label int")
+    assert sorted(r._rank for r in CO.ranked(text, "label").collect()) == list(range(1, 51))
+
+
+def test_single_class_sample(spark):
+    df = spark.range(100).select(F.col("id").alias("row_id"), F.lit(1).alias("label"))
+    assert CO.balanced_sample(df, 40, top_up=False).count() == 40
+    assert CO.balanced_sample(df, 40).count() == 40
 
 
 def test_csv_and_layouts(spark):
@@ -103,20 +103,6 @@ def test_csv_and_layouts(spark):
     assert "enron" in disc
 
 
-def test_tar_members(spark):
-    d = tempfile.mkdtemp(prefix="tar-", dir="/tmp")
-    src = os.path.join(d, "src")
-    os.makedirs(os.path.join(src, "spam")), os.makedirs(os.path.join(src, "easy_ham"))
-    for sub in ("spam", "easy_ham"):
-        with open(os.path.join(src, sub, "m1"), "wb") as f:
-            f.write(EML_HAM)
-    tpath = os.path.join(d, "corpus.tar")
-    with tarfile.open(tpath, "w") as tf:
-        tf.add(src, arcname="corpus")
-    rows = FS.read_tar_members(spark, tpath).collect()
-    assert sorted(r.label for r in rows) == [0, 1]
-
-
 def test_raw_bytes_fallback(spark):
     df = spark.createDataFrame([("", bytearray(b"raw body")), ("kept", bytearray(b"x"))], "body string, content binary")
     out = [r.body for r in FS.raw_bytes_body_fallback(df).collect()]
