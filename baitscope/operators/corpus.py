@@ -7,7 +7,8 @@ Scale notes: no operator here puts one key's rows into one task.
 * Per-class ranks (split, sample) are computed inside (label, bucket) cells
   of a hash order, plus a prefix count of the cells before; the window over
   cells has at most ``2 * buckets`` rows.
-* Per-corpus label totals are a tiny aggregate broadcast back by corpus.
+* Per-corpus label totals are a small aggregate joined back by corpus; the
+  planner broadcasts it where its size allows.
 """
 
 from __future__ import annotations
@@ -27,14 +28,10 @@ c = F.col
 CORPORA = ["spamassassin", "ceas", "enron", "ling", "nazario", "nigerian", "spaphish"]
 ALL_PHISHING = ["nazario", "nigerian"]
 
-PRIME = 1000003
-MULT = 999983
-
-
 def hash_order(key: str, seed: int = 42) -> F.Column:
-    """Deterministic pseudo-random order key (a permutation of ids modulo a
-    prime; ties broken by the id itself)."""
-    return ((c(key) % PRIME) * MULT + seed) % PRIME
+    """Seeded shuffle: SHA-256 (hex) of the seed and the key as text, for keys
+    of any type; ties are broken by the key itself."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(c(key).cast("string"), F.lit(""))), 256)
 
 
 def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +55,7 @@ def all_phishing_rule(df: DataFrame) -> DataFrame:
     """SRC-10: in the all-phishing corpora, a corpus whose labels sum to 0 is
     relabelled 1."""
     totals = df.groupBy("corpus").agg(F.sum("label").alias("_label_sum"))
-    j = df.join(F.broadcast(totals), "corpus", "left")  # one row per corpus
+    j = df.join(totals, "corpus", "left")
     fix = c("corpus").isin(ALL_PHISHING) & (c("_label_sum") == 0)
     return j.withColumn("label", F.when(fix, F.lit(1)).otherwise(c("label")).cast("int")).drop("_label_sum")
 
@@ -92,13 +89,14 @@ def ranked(df: DataFrame, by: str | None = "label", key: str = "row_id", seed: i
         buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     grp = c(by) if by else F.lit(0)
     x = df.withColumn("_g", grp).withColumn("_o", hash_order(key, seed))
-    x = x.withColumn("_b", F.floor(c("_o") * buckets / PRIME).cast("int"))  # contiguous ranges of _o
+    # Contiguous ranges of the hash, so cells are even whatever the keys are.
+    x = x.withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     cells = x.groupBy("_g", "_b").agg(F.count("*").alias("_cnt"))
     wcum = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("_g", "_b", F.coalesce(F.sum("_cnt").over(wcum), F.lit(0)).alias("_before"),
                          F.sum("_cnt").over(Window.partitionBy("_g")).alias("_n"))
     w = Window.partitionBy("_g", "_b").orderBy("_o", key)
-    out = x.join(F.broadcast(cells), ["_g", "_b"]).withColumn("_rank", c("_before") + F.row_number().over(w))
+    out = x.join(cells, ["_g", "_b"]).withColumn("_rank", c("_before") + F.row_number().over(w))
     return out.drop("_g", "_o", "_b", "_before")
 
 
@@ -127,9 +125,11 @@ def balanced_sample(df: DataFrame, max_samples: int, seed: int = 42, top_up: boo
     ``top_up`` the deficit is filled from the remaining rows in a second hash
     order.  (A single-class input gets the top-up from its own rows.)"""
     r = class_ranks(df, seed=seed)
-    first = r.filter(c("_rank") <= max_samples // 2).drop("_rank", "_n")
+    single = r.agg(F.count_distinct("label")).scalar() == 1
     if not top_up:
-        return first
+        # A single class fills the whole request.
+        return r.filter(c("_rank") <= F.when(single, max_samples).otherwise(max_samples // 2)).drop("_rank", "_n")
+    first = r.filter(c("_rank") <= max_samples // 2).drop("_rank", "_n")
     deficit = first.select((F.lit(max_samples) - F.count("*")).alias("d")).scalar()
     rest = ranked(r.filter(c("_rank") > max_samples // 2).drop("_rank", "_n"), None, seed=seed + 1)
     return first.unionByName(rest.filter(c("_rank") <= deficit).drop("_rank", "_n"))

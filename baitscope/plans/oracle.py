@@ -528,8 +528,6 @@ _ORACLE_SELECT = {
 }
 
 
-def oracle_queries() -> dict[str, str]:
-    return {k: with_chain(v) for k, v in _ORACLE_SELECT.items()}
 
 
 # ---------------------------------------------------------------------------
@@ -600,7 +598,7 @@ dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _order(seed: int) -> str:
-    return f"(((row_id % 1000003) * 999983 + {seed}) % 1000003)"
+    return f"sha256(concat('{seed}:', CAST(row_id AS VARCHAR)))"
 
 
 def _split_sql(train=0.70, val=0.15, test=0.15) -> str:
@@ -622,6 +620,39 @@ def _sample_sql(max_samples=500) -> str:
             f"SELECT row_id, label, 'remainder' AS part FROM corp WHERE row_id NOT IN (SELECT row_id FROM smp)")
 
 
+def _small_sample_sql() -> str:
+    return (f"WITH {_CORPORA}, m AS (SELECT count(*) - 10 AS k FROM corp), "
+            f"r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_order(42)}, row_id) AS rk FROM corp), "
+            f"first AS (SELECT row_id FROM r, m WHERE rk <= k // 2), "
+            f"rest AS (SELECT row_id, row_number() OVER (ORDER BY {_order(43)}, row_id) AS rk2 FROM r, m WHERE rk > k // 2) "
+            f"SELECT row_id, 'top_up' AS part FROM first UNION ALL "
+            f"SELECT row_id, 'top_up' FROM rest, m WHERE rk2 <= k - (SELECT count(*) FROM first) UNION ALL "
+            f"SELECT row_id, 'single' FROM r WHERE label = 1 AND rk <= 60")
+
+
+def _split_rows_sql(train=0.70, val=0.15, test=0.15) -> str:
+    vt = val + test
+    return (f"WITH {_CORPORA}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_order(42)}, row_id) AS rk, "
+            f"count(*) OVER (PARTITION BY label) AS n FROM dedup), "
+            f"r2 AS (SELECT *, ceil(n * {D(vt)}) AS rest FROM r), r3 AS (SELECT *, ceil(rest * {D(1.0 - val / vt)}) AS ntest FROM r2) "
+            f"SELECT row_id, corpus, label, CASE WHEN rk <= n - rest THEN 'train' WHEN rk <= n - ntest THEN 'val' ELSE 'test' END AS split, "
+            f"corpus = 'spamassassin' AS no_subject FROM r3 WHERE corpus IS NOT NULL")
+
+
+def _paths_sql() -> str:
+    from baitscope.plans.queries import FOLDERS
+    from baitscope.sources.files import HAM_WORDS, PHISH_WORDS
+    words = lambda x, ws: "(" + " OR ".join(f"contains({x}, '{w}')" for w in ws) + ")"
+    label = f"CASE WHEN inside AND {words('top', PHISH_WORDS)} THEN 1 WHEN inside AND {words('top', HAM_WORDS)} THEN 0"
+    return (f"WITH f AS (SELECT doc_id, source, {pick(FOLDERS, 'doc_id')} AS folder FROM documents), "
+            f"p AS (SELECT doc_id, CASE WHEN folder = '' THEN doc_id || '.eml' ELSE folder || '/' || coalesce(source, 'x') || '/' || "
+            f"CASE WHEN doc_id % 7 = 0 THEN 'Inbox/' ELSE '' END || doc_id || '.eml' END AS path FROM f), "
+            f"w AS (SELECT *, lower(path) AS low, lower(split_part(path, '/', 1)) AS top, contains(path, '/') AS inside FROM p) "
+            f"SELECT doc_id, path, {label} END AS folder_label, {label} WHEN NOT inside THEN 1 END AS flat_label, "
+            f"CASE WHEN contains(low, 'spam') THEN 1 WHEN contains(low, 'ham') THEN 0 END AS archive_label, "
+            f"CASE WHEN contains(low, 'spam') THEN 1 WHEN contains(low, 'ham') OR contains(low, 'inbox') THEN 0 END AS component_label FROM w")
+
+
 _URG = f"round(urgency_score * {D(0.4)} + authority_score * {D(0.3)} + pressure_score * {D(0.3)}, 4)"
 def _mean4(x: str) -> str:
     return f"(floor((2 * sum(CAST(round(({x}) * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 10000.0::DOUBLE)"
@@ -637,11 +668,11 @@ _KPI = ("SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE verdict = 'ph
         f"{_mean4('html_score')} AS html_suspicious_mean FROM final")
 
 _EXPORT = ("SELECT email_id AS id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(email_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, "
-           "'eml' AS input_type, substr(subject, 1, 200) AS subject, '' AS sender, verdict, round(confidence * 100, 2) AS confidence, "
+           "'eml' AS input_type, subject, '' AS sender, verdict, round(confidence * 100, 2) AS confidence, "
            "recommended_action, round(url_score * 100, 2) AS suspicious_urls_score, "
            f"round({_URG} * 100, 2) AS urgency_language_score, round(header_score * 100, 2) AS header_anomalies_score, "
            "round(grammar_score * 100, 2) AS grammatical_anomalies_score, round(html_score * 100, 2) AS html_suspicious_score "
-           "FROM final WHERE email_id <> 0 ORDER BY email_id DESC LIMIT 100000")
+           "FROM final WHERE email_id <> 0")
 
 
 def _audit_sql(key: str, select: str) -> str:
@@ -705,6 +736,14 @@ MORE_ORACLE = {
     "stratified_split": _split_sql,
     "balanced_sample": _sample_sql,
     "scan_kpi": lambda: with_chain(_KPI),
+    "small_sample": _small_sample_sql,
+    "corpus_chain": lambda: _split_rows_sql(),
+    "path_labels": lambda: _paths_sql(),
+    "class_weights": lambda: with_chain(
+        "SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight, true AS gate FROM emails GROUP BY label"),
+    "scan_lookup": lambda: with_chain(
+        "SELECT email_id AS id, verdict, 1::BIGINT AS n FROM final WHERE email_id = 17 UNION ALL "
+        "SELECT -1, 'left', count(*) FROM final WHERE email_id <> 17"),
     "history_page": lambda: with_chain("SELECT email_id AS id, verdict, confidence, recommended_action FROM final "
                                        "ORDER BY email_id DESC LIMIT 20 OFFSET 10"),
     "history_export": lambda: with_chain(_EXPORT),
@@ -715,11 +754,8 @@ MORE_ORACLE = {
     "rate_violations": lambda: _RATE,
 }
 
-_base_oracle_queries = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries()
+def oracle_queries() -> dict[str, str]:
+    out = {k: with_chain(v) for k, v in _ORACLE_SELECT.items()}
     out.update({k: f() for k, f in MORE_ORACLE.items()})
     return out
 

@@ -208,6 +208,59 @@ def balanced_sample(spark, sf_dir):
         rem.select("row_id", "label", F.lit("remainder").alias("part")))
 
 
+# FIXED VALUES (test input): folders and file names of a derived path column.
+FOLDERS = ["easy_ham", "spam_2", "phishing_corpus", "Legit-Mail", "nazario", "inbox", "misc", "SAFE_box", "nigerian419", ""]
+
+
+def path_labels(spark, sf_dir):
+    """SRC-06, SRC-07, SRC-08: labels by first folder, by whole name and by any component of a derived path."""
+    from baitscope.sources import files as FI
+    from baitscope.sources.fixtures import _pick
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    folder = _pick(FOLDERS, c("doc_id"))
+    name = F.concat(F.coalesce(c("source"), F.lit("x")), F.lit("/"), F.when(c("doc_id") % 7 == 0, "Inbox/").otherwise(""),
+                    c("doc_id").cast("string"), F.lit(".eml"))
+    path = F.when(folder == "", F.concat(c("doc_id").cast("string"), F.lit(".eml"))).otherwise(F.concat(folder, F.lit("/"), name))
+    return d.select("doc_id", path.alias("path"), FI.folder_label(path).alias("folder_label"),
+                    FI.folder_label(path, True).alias("flat_label"), FI.archive_label(path).alias("archive_label"),
+                    FI.component_label(path).alias("component_label"))
+
+
+def corpus_chain(spark, sf_dir):
+    """SET-01, SRC-10, SET-02, SET-07: corpora stacked by name from their parts, relabelled, deduplicated and split."""
+    rows = CO.corpora(spark, sf_dir)
+    parts = [rows.where(c("corpus") == n) for n in CO.CORPORA]
+    # The parts differ in their columns, as files do; the union fills the gaps.
+    parts[0] = parts[0].drop("subject")
+    whole = CO.all_phishing_rule(CO.union_corpora(parts))
+    return CO.stratified_split(CO.dedup_bodies(whole)).select("row_id", "corpus", "label", "split", (c("subject").isNull()).alias("no_subject"))
+
+
+def small_sample(spark, sf_dir):
+    """SET-04/05/06: a request above what one class holds (top-up), and one from a single class."""
+    corp = _corpora(spark, sf_dir)
+    n = corp.count()
+    one = corp.where("label = 1")
+    return (CO.balanced_sample(corp, n - 10).select("row_id", F.lit("top_up").alias("part"))
+            .union(CO.balanced_sample(one, 60, top_up=False).select("row_id", F.lit("single").alias("part"))))
+
+
+def class_weights(spark, sf_dir):
+    """CLS-06, CLS-11: balanced weights by label, and the training gate."""
+    from baitscope.operators import ml as ML
+    rows = emails(spark, sf_dir).select("email_id", "label")
+    gate = ML.training_gate(rows, 10)
+    return (ML.class_weights(rows).groupBy("label").agg(F.count("*").alias("n"), F.round(F.first("weight"), 6).alias("weight"))
+            .withColumn("gate", F.lit(gate["success"])))
+
+
+def scan_lookup(spark, sf_dir):
+    """ORD-02, ORD-03: one scan by id, and the number of scans left without it."""
+    h = _history(spark, sf_dir)
+    left = H.delete_scan(h, 17).agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("id"), F.lit("left").alias("verdict"), "n")
+    return H.scan_by_id(h, 17).select("id", "verdict", F.lit(1).cast("long").alias("n")).union(left)
+
+
 def _history(spark, sf_dir):
     return H.scan_records(scored(spark, sf_dir))
 
@@ -347,7 +400,7 @@ def url_model_eval(spark, sf_dir):
     """URL-21/23 (rows-only): n-gram URL model, test-split metrics."""
     from baitscope.operators import ml as ML
     e = emails(spark, sf_dir).select("email_id", c("body_text").alias("body"), "label")
-    _, m = ML.train_url_model(U.url_training_pairs(e, keep=("email_id",)), split_keys=("email_id", "pos"))
+    _, m = ML.train_url_model(U.url_training_pairs(e))
     return m
 
 
@@ -403,6 +456,11 @@ QUERIES = {
     "corpus_dedup": corpus_dedup,
     "stratified_split": stratified_split,
     "balanced_sample": balanced_sample,
+    "small_sample": small_sample,
+    "corpus_chain": corpus_chain,
+    "path_labels": path_labels,
+    "class_weights": class_weights,
+    "scan_lookup": scan_lookup,
     "scan_kpi": scan_kpi,
     "history_page": history_page,
     "history_export": history_export,
