@@ -166,8 +166,16 @@ def url_flags_text(x: Column) -> Column:
 
 
 def analyze_urls(urls: Column) -> Column:
-    """Array of per-URL structs with risk attached."""
-    return F.transform(urls, lambda u: let(analyze_url(u), lambda x: x.withField("risk_score", url_risk(x))))
+    """Array of per-URL structs with risk attached.  A URL whose authority has an
+    unmatched bracket cannot be taken apart: its risk is .5 and it resembles no brand."""
+    def one(x):
+        authority = F.regexp_extract(x["url"], _NETLOC_RE, 1)
+        broken = F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]"))
+        risk = F.when(broken, dbl(0.5)).otherwise(url_risk(x))
+        return (x.withField("typosquatting_score", F.when(broken, dbl(0.0)).otherwise(x["typosquatting_score"]))
+                .withField("typosquatting_target", F.when(~broken, x["typosquatting_target"])).withField("risk_score", risk))
+
+    return F.transform(urls, lambda u: let(analyze_url(u), one))
 
 
 def url_rollup(infos: Column) -> Column:
