@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from baitscope.llm.common import RecentCache, arrow_map, crc_mod
 
 #: Labelled documents learned from, at most about; hashed vectors (a power of two) and their length.
-TRAIN_ROWS, BUCKETS, WIDTH = 3_000, 1 << 16, 12
+TRAIN_ROWS, BUCKETS, WIDTH = 2_400, 1 << 16, 12
 #: Character n-grams of a word, with its boundary marks.
 ORDERS = (3, 4, 5)
 RATE, EPOCHS, SEED = 0.4, 5, 7
@@ -72,8 +72,9 @@ def sparse_counts(batch: pa.RecordBatch) -> dict:
         where, which = word_vectors_at(words.tolist())
         counts = np.bincount(where, weights=times[which], minlength=BUCKETS)
         held = np.flatnonzero(counts)
-        at.append(held)
-        n.append(counts[held].astype(np.int64))
+        # Packed: a bucket takes two bytes, a count four.
+        at.append(held.astype("<u2").tobytes())
+        n.append(counts[held].astype("<u4").tobytes())
     return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": at, "n": n}
 
 
@@ -131,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
     share = min(1.0, train_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * train_rows)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    made = arrow_map(rows, "text", "doc_id long, label int, at array<int>, n array<int>", sparse_counts)
+    made = arrow_map(rows, "text", "doc_id long, label int, at binary, n binary", sparse_counts)
     got = made.limit(4 * train_rows).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["label"], len(r["at"]), sum(r["n"])))
-    return QualityScorer(train([(r["label"], np.array(r["at"]), np.array(r["n"], float)) for r in got]))
+    got.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["at"]), bytes(r["n"])))
+    return QualityScorer(train([(r["label"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in got]))
 
 
 def score_documents(docs: DataFrame, scorer: QualityScorer, least: float = 0.3) -> DataFrame:
