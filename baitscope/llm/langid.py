@@ -62,8 +62,8 @@ def sparse_counts(batch: pa.RecordBatch) -> dict:
     for text in batch.column("text").to_pylist():
         counts = gram_counts(text or "")
         held = np.flatnonzero(counts)
-        at.append(held)
-        n.append(counts[held])
+        at.append(held.astype("<u2").tobytes())
+        n.append(counts[held].astype("<u4").tobytes())
     return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "at": at, "n": n}
 
 
@@ -153,10 +153,10 @@ def fit(docs: DataFrame, eligible=None, train_rows: int = TRAIN_ROWS) -> Languag
     for lang, n in sizes.items():
         below = F.when(F.col("lang") == lang, int(min(1, share / n) * (1 << 30))).otherwise(below)
     sample = rows.where(place < below).limit(2 * train_rows + 100)
-    made = arrow_map(sample, "text", "doc_id long, lang string, at array<int>, n array<int>", sparse_counts)
+    made = arrow_map(sample, "text", "doc_id long, lang string, at binary, n binary", sparse_counts)
     got = made.collect()
-    got.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"], len(r["at"])))
-    return train([(r["lang"], np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in got])
+    got.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"], bytes(r["at"]), bytes(r["n"])))
+    return train([(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in got])
 
 
 def hash_order(doc_id: int | None) -> int:
