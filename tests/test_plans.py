@@ -12,8 +12,38 @@ def test_scoring_has_no_exchange(spark):
     assert "Exchange" not in plan
 
 
-def test_header_query_prunes_text(spark):
+def _scans(df, name):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("ReadSchema:")[-1] for line in plan.split("\n") if name in line]
+
+
+def test_headers_prune_text(spark):
+    from baitscope.sources.fixtures import emails
+    df = score_emails(emails(spark, "/root/testdata/sf0.001")).select("email_id", "header_score", "x_mailer_suspicious")
+    scans = _scans(df, "documents.parquet")
+    assert scans and all("text" not in s for s in scans)
+
+
+def test_queries_prune_the_scored_table(spark):
+    import __spark_entry__ as E
+    scans = _scans(E.queries()["header_features"](spark, "/root/testdata/sf0.001"), "/scored-")
+    assert scans and all("body_text" not in s and "urls" not in s for s in scans)
+
+
+def test_building_a_score_plan_starts_no_job(spark):
+    from baitscope.sources.fixtures import emails
+    sc = spark.sparkContext
+    rows = emails(spark, "/root/testdata/sf0.001")  # reads the files' schemas
+    sc.setJobGroup("plan-only", "building a plan")
+    df = score_emails(rows)
+    assert "verdict" in df.columns
+    assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    plan = df.select("email_id", "verdict")._jdf.queryExecution().executedPlan().toString()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "RoundRobin" not in plan
+
+
+def test_export_reads_all_rows(spark):
     import __spark_entry__ as E
-    plan = E.queries()["header_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.split("\n") if "documents.parquet" in line]
-    assert scans and all("text" not in s.split("ReadSchema:")[-1] for s in scans)
+    plan = E.queries()["history_export"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
