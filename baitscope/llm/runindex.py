@@ -41,7 +41,7 @@ from baitscope.llm.common import arrow_map, stored, workers_import
 
 LENGTH, GRAM = 400, 32
 #: Windows of a text that are anchored at a time; distinct contexts of an anchor in one task; bytes of an index, about.
-SEGMENT, CROWD, INDEX_BYTES = 1 << 18, 2000, 1 << 20
+SEGMENT, CROWD, INDEX_BYTES = 1 << 18, 2000, 1 << 17
 #: Bits of the fixed-size maps that keep texts without a match out of shuffles.
 MAP_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -124,16 +124,19 @@ class RunIndex:
         sizes = np.array([len(p) for p in parts])
         n = int(sizes.sum()) + len(parts)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
-        self.text = np.empty(n, np.int64)
+        # Bytes by rank among those that occur, from 1; a string ends with 0.
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        codes = np.cumsum(np.bincount(raw, minlength=256) > 0)
+        self.text = np.zeros(n, np.int64)
         inner = np.ones(n, bool)
         inner[self.starts + sizes] = False
-        self.text[inner] = np.frombuffer(b"".join(parts), np.uint8)
-        # Each string ends with a symbol of its own.
-        self.text[~inner] = 256 + np.arange(len(parts))
+        self.text[inner] = codes[raw]
+        self.left = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)
         rows = self._sort()
         before = self.text[rows - 1]
-        before[rows == 0] = -1
-        change = before[1:] != before[:-1]
+        before[rows == 0] = 0
+        # What stands before a whole string is no symbol of it, so it is a run of its own.
+        change = (before[1:] != before[:-1]) | (before[1:] == 0)
         self.heads = np.flatnonzero(np.concatenate(([True], change)))
         self.symbols = before[self.heads]
         ends = np.flatnonzero(np.concatenate((change, [True])))
@@ -146,40 +149,44 @@ class RunIndex:
         self.levels = []
 
     def _sort(self) -> np.ndarray:
-        """Suffixes in order, by doubling; keeps the ranks of each step for ``_match``."""
-        n = len(self.text)
-        padded = np.concatenate((self.text + 1, np.zeros(8, np.int64)))
-        width = int(padded.max()).bit_length()
-        size = max(1, 63 // width)
-        key = np.zeros(n, np.int64)
+        """Suffixes (up to the end of their strings, then by position) in order, by doubling; keeps the ranks for ``_match``."""
+        n, place = len(self.text), np.arange(len(self.text))
+        width = int(self.text.max(initial=1)).bit_length()
+        size = max(1, 63 // width - 1)
+        padded = np.concatenate((self.text, np.zeros(size, np.int64)))
+        key, alive = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(size):
-            key = key << width | padded[k:k + n]
+            symbol = padded[k:k + n]
+            key = key << width | symbol * alive
+            alive &= symbol > 0
         self.levels: list[tuple[int, np.ndarray]] = []
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate(([0], key[order[1:]] != key[order[:-1]]))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            self.levels.append((size, rank.astype(np.int32)))
+            order = np.argsort(key)
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            self.levels.append((size, rank))
             if rank[order[-1]] == n - 1:
                 return order
+            if size > self.left.max():
+                return np.argsort(rank * np.int64(n) + place)
             ahead = np.zeros(n, np.int64)
             ahead[:n - size] = rank[size:] + 1
-            key = rank * (n + 1) + ahead
+            key = rank * np.int64(n + 1) + ahead * (self.left >= size)
             size *= 2
 
     def _match(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of suffixes."""
-        x, y, n = x.copy(), y.copy(), len(self.text)
+        n, most = len(self.text), np.minimum(self.left[x], self.left[y])
+        x, y = x.copy(), y.copy()
         length = np.zeros(len(x), np.int64)
-        steps = self.levels[::-1] + [(1, self.text)] * (self.levels[0][0] - 1)
-        for size, rank in steps:
-            inside = (x < n) & (y < n)
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            length += size * same
-            x += size * same
-            y += size * same
-        return length
+        for size, rank in self.levels[::-1] + [(1, self.text)] * (self.levels[0][0] - 1):
+            same = (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]) & (np.maximum(x, y) < n)
+            step = size * same
+            length += step
+            x += step
+            y += step
+        return np.minimum(length, most)
 
     def statistics(self) -> np.ndarray:
         """For each text position the longest match of its suffix with any other suffix."""
