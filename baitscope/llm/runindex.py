@@ -289,7 +289,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD)
     c = F.col
     schema = "key long, p long, windows int, a long, c1 long, c2 long"
     met = stored(arrow_map(texts, "text", schema, contexts_of(length)), "contexts")
-    often = met.groupBy("a").count().where("count > 1").select("a")
+    # A table of its own: joined straight to the shuffled contexts, so that a hot anchor's rows can be split.
+    often = stored(met.groupBy("a").count().where("count > 1").select("a"), "shared-anchors")
     met = stored(met.join(often, "a", "left_semi"), "shared-contexts")
     distinct = met.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min("windows").alias("windows"), F.min(F.struct("key", "p")).alias("at"))
     distinct = stored(distinct, "distinct-contexts")
