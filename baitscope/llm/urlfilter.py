@@ -82,7 +82,8 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
     keys = [(n, F.concat(F.lit("g"), F.substring(c("gram"), F.lit(order + 2 - n), F.lit(n)))) for n in range(1, order + 2)]
     keys += [(-n, F.concat(F.lit("c"), F.substring(c("gram"), F.lit(order + 1 - n), F.lit(n)))) for n in range(1, order + 1)]
     wanted = full.select("gram", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), k.alias("key")) for n, k in keys])).alias("w"))
-    met = wanted.select("gram", "w.n", "w.key").join(stats, "key")
+    # Tables of n-grams have no size bound, whatever their files suggest, so none is broadcast.
+    met = wanted.select("gram", "w.n", "w.key").join(stats.hint("merge"), "key")
     pick = lambda n, col: F.coalesce(F.max(F.when(c("n") == n, c(col))), F.lit(0))
     wide = met.groupBy("gram").agg(
         *[pick(n, col).alias(f"{col}{n}") for n in range(1, order + 2) for col in ("x", "y")],
@@ -111,7 +112,7 @@ def url_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
     grams = stored(_grams(urls.select("url", kind.alias("kind")), order), "url-positions")
     deltas = gram_scores(grams, order)
     salted = deltas.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = grams.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    rows = grams.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["gram", "salt"])
     return rows.groupBy("k1", "k2", "kind").agg((F.sum("delta") / F.count("*")).alias("ratio"))
 
 
@@ -138,7 +139,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: in
     classes = {r["sign"] for r in scores.where("kind != 0").select(F.signum("kind").alias("sign")).distinct().collect()}
     least = threshold(scores) if len(classes) == 2 else None
     rows = rows.withColumns({"k1": F.xxhash64("url"), "k2": F.xxhash64(F.lit("2"), "url")})
-    judged = rows.where("decided IS NULL").join(scores.where("kind = 0").select("k1", "k2", "ratio"), ["k1", "k2"], "left")
+    judged = rows.where("decided IS NULL").join(scores.where("kind = 0").select("k1", "k2", "ratio").hint("merge"), ["k1", "k2"], "left")
     found = F.lit("allow") if least is None else F.when(F.col("ratio") >= least, "allow").otherwise("block")
     judged = judged.select("page_id", "host", "path", "rule", found.alias("verdict"), "ratio")
     ruled = rows.where("decided IS NOT NULL").select("page_id", "host", "path", "rule", F.col("decided").alias("verdict"),
