@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from baitscope.llm.bpe import byte_symbols
 from baitscope.llm.common import RecentCache, arrow_map, pieces, scratch, stored, workers_import
 
 MAGIC = b"SVB1"
@@ -39,6 +41,8 @@ HEAD = struct.Struct("<4s5I")
 BLOCK_IDS, SHARD_BYTES = 1_000_000, 16 << 20
 #: Pieces of text kept per generation in a Python worker.
 CACHE_PIECES = 400_000
+#: FIXED VALUE: ASCII punctuation without the apostrophe, which starts contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Lengths of the four ids that a control byte describes, where each starts, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 STARTS = np.cumsum(LENGTHS, axis=1) - LENGTHS
@@ -98,24 +102,69 @@ class PieceEncoder:
             and "\\s" not in steps[0]["pattern"]["Regex"].replace("[^\\s", "")
         self.lower = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
         self.lower &= not any(t["content"] != t["content"].lower() for t in spec["added_tokens"])
+        # A run of marks after a letter or digit is a word of its own to the pre-tokenizer.
+        self.marks = self.by_piece and steps[0]["pattern"]["Regex"].endswith("[^\\s\\p{L}\\p{N}]+")
+        # A word of lower-case letters is one word to the pre-tokenizer as well: it can go straight to the library's model.
+        bytes_only = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not (steps[1]["use_regex"] or steps[1]["add_prefix_space"])
+        self.whole_words = self.lower and bytes_only and "[\\p{L}]+" in steps[0]["pattern"]["Regex"].split("|")
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache = RecentCache(cache_pieces)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, self.width).tobytes() for e in found]
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.symbols)
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
+
+    def _lower(self, text: str) -> str:
+        """Lower case for Latin-1 texts, where it is the normaliser's own (each character alone, nothing to compose)."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """A piece before and from the marks at its end."""
+        if self.marks and piece[-1:] in MARKS and not any(a in piece for a in self.added):
+            core = piece.rstrip(MARKS)
+            if core and core[-1].isascii() and core[-1].isalnum():
+                return core, piece[len(core):]
+        return piece, ""
+
+    def _learn(self, absent: list[str]) -> None:
+        split = {p: parts for p in absent if (parts := self._parts(p))[1]}
+        plain = [p for p in absent if p not in split]
+        known = set(plain)
+        plain += [x for x in {x for parts in split.values() for x in parts} if x not in known and x not in self.cache]
+        rest = []
+        for piece in plain:
+            if self.whole_words and piece.isalpha() and piece.islower() and max(piece) <= "\xff":
+                self.cache[piece] = self._word(piece)
+            else:
+                rest.append(piece)
+        for start in range(0, len(rest), 20_000):
+            some = rest[start:start + 20_000]
+            self.cache.update(zip(some, self._library(some), strict=True))
+        for piece, (core, marks) in split.items():
+            self.cache[piece] = self.cache[core] + self.cache[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
+        """Packed little-endian ids of each text, as wide as ``width``."""
         if not self.by_piece:
             return self._library([t or "" for t in texts])
-        rows = [(t.lower() if self.lower and t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        absent = self.cache.absent(p for row in rows for p in row)
-        for start in range(0, len(absent), 20_000):
-            some = absent[start:start + 20_000]
-            self.cache.update(zip(some, self._library(some), strict=True))
+        rows = [(self._lower(t) if self.lower else t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        self._learn(self.cache.absent(chain.from_iterable(rows)))
         get = self.cache.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
@@ -127,24 +176,24 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids: each row's whole text as packed 32-bit ids, the end id last."""
-    end = end_id.to_bytes(4, "little")
-
+    """doc_id, ids: each row's whole text as packed ids of the encoder's width, the end id last."""
     def make(batch: pa.RecordBatch) -> dict:
-        ids = encoder(path).encode(batch.column("text").to_pylist())
+        own = encoder(path)
+        end = np.array([end_id], own.width).tobytes()
+        ids = own.encode(batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "ids": [x + end for x in ids]}
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return arrow_map(rows, "text", "doc_id long, ids binary", make)
 
 
-def id_counts(codes: DataFrame) -> DataFrame:
+def id_counts(codes: DataFrame, width: str) -> DataFrame:
     """id, n: how often each id occurs in all rows; every task sends one row for each id it has met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for piece in pieces(batches, "ids"):
             # Rows lie one after the other in the column's buffer.
-            ids = np.frombuffer(b"".join(piece.column("ids").to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(piece.column("ids").to_pylist()), width)
             got = np.bincount(ids, minlength=len(n))
             got[:len(n)] += n
             n = got
@@ -155,27 +204,29 @@ def id_counts(codes: DataFrame) -> DataFrame:
     return codes.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def make_block(shard: int, number: int, held: list[tuple[int | None, bytes]], rank_of: np.ndarray) -> bytes:
+def make_block(shard: int, number: int, held: list[tuple[int | None, bytes]], rank_of: np.ndarray, width: str) -> bytes:
     """One block of documents (doc_id, packed ids)."""
-    ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+    size = np.dtype(width).itemsize
+    ids = np.frombuffer(b"".join(x for _, x in held), width)
     control, data = pack(rank_of[ids])
     head = HEAD.pack(MAGIC, shard, number, len(held), len(ids), len(data))
     docs = np.array([d or 0 for d, _ in held], "<i8").tobytes()
     nulls = bytes(d is None for d, _ in held)
-    lengths = np.array([len(x) // 4 for _, x in held], "<u4").tobytes()
+    lengths = np.array([len(x) // size for _, x in held], "<u4").tobytes()
     return head + docs + nulls + lengths + control + data
 
 
-def write_store(codes: DataFrame, path: str) -> None:
-    """Write a store from rows (doc_id, ids).  The rank table is bounded by the vocabulary."""
+def write_store(codes: DataFrame, path: str, width: str = "<u4") -> None:
+    """Write a store from rows (doc_id, ids packed as ``width``).  The rank table is bounded by the vocabulary."""
     spark = codes.sparkSession
-    counted = id_counts(codes).orderBy(F.desc("n"), "id").collect()
+    counted = id_counts(codes, width).orderBy(F.desc("n"), "id").collect()
     by_rank = np.array([r["id"] for r in counted], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     total = sum(r["n"] for r in counted)
     table = [(int(k), int(i)) for k, i in enumerate(by_rank)]
     spark.createDataFrame(table, "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    size = np.dtype(width).itemsize
     shards = max(1, -(-total * 3 // 2 // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +234,12 @@ def write_store(codes: DataFrame, path: str) -> None:
         for piece in pieces(batches, "ids"):
             for doc, ids in zip(piece.column("doc_id").to_pylist(), piece.column("ids").to_pylist(), strict=True):
                 held.append((doc, ids))
-                n += len(ids) // 4
+                n += len(ids) // size
                 if n >= BLOCK_IDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([make_block(shard, number, held, rank_of)], pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([make_block(shard, number, held, rank_of, width)], pa.binary())], ["value"])
                     number, held, n = number + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([make_block(shard, number, held, rank_of)], pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([make_block(shard, number, held, rank_of, width)], pa.binary())], ["value"])
 
     workers_import(spark)
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
@@ -257,5 +308,5 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 def tokenize_to_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> str:
     """Encode every text, write a store, and return its folder."""
     path = path or scratch(docs.sparkSession, "token-store")
-    write_store(stored(encode_texts(docs, tokenizer, end_id), "token-ids"), path)
+    write_store(stored(encode_texts(docs, tokenizer, end_id), "token-ids"), path, encoder(tokenizer).width)
     return path
