@@ -2,17 +2,20 @@
 
 Texts become templates: numbers, names (capitalised words within a sentence) and
 units (after a number) are typed placeholders, everything else stays a lower-cased
-word.  Windows of ``WINDOW`` template tokens with at least ``LITERALS`` words are
-hash-joined with those of the benchmark.  Matches of a document and an item at one
-offset are an alignment; it counts if the item's slot values map to the document's
-as a function, so a question asked again with other numbers or names is caught and
-an accidental match is not.  A document is contaminated by an item if consistent
-alignments cover at least ``SHARE`` of the item's windows.
+word.  Windows of ``WINDOW`` tokens are hash-joined with those of the benchmark in
+two forms.  With its lower-cased tokens as they are, any window counts wherever a
+document repeats it.  As a template, a window with a placeholder and at least
+``LITERALS`` words counts too: matches of a document and an item at one offset are
+an alignment; it counts if the item's slot values map to the document's as a
+function, so a question asked again with other numbers or names is caught and an
+accidental match is not.  A document is contaminated by an item if it covers at
+least ``SHARE`` of the item's windows, or of those with ``LITERALS`` words, as a
+question asked again can match no others.
 
 Document windows pass a bitmap of the benchmark's window hashes (a fixed 2**22 bits,
 however large the benchmark) before they are joined; the join decides.
 
-Edge cases: an item of fewer than ``LITERALS`` words is never matched, one of fewer
+Edge cases: an item of fewer than ``LITERALS`` tokens is never matched, one of fewer
 than ``WINDOW`` tokens is a single shorter window; null and empty texts match
 nothing; equal items are one item, named by the smallest id; an empty benchmark
 flags nothing; repeated rows get the same result.
@@ -44,6 +47,8 @@ TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[%$€£]")
 LITERAL, NAME, NUMBER, UNIT = 0, 1, 2, 3
 PLACE = np.array([0, 0x51ED270B, 0x2545F491, 0x6C62272E], np.uint64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Seed of the hashes of windows with their tokens as they are.
+VERBATIM = 1 << 32
 
 
 def _analysed(raw: str) -> list[tuple[int, int]]:
@@ -97,18 +102,22 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return value, kind, np.bincount(text, minlength=len(texts))
 
 
-def windows(value: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the template window of ``size`` at each token, and whether it has enough words."""
-    m = len(value) - size + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    token = np.where(kind == LITERAL, value, PLACE[kind])
-    h = np.full(m, size, np.uint64)
+def rolled(token: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hash of the ``size`` tokens from each token on."""
+    m = max(0, len(token) - size + 1)
+    h = np.full(m, seed, np.uint64)
     for k in range(size):
         h = (h ^ token[k:k + m]) * GOLD
         h ^= h >> np.uint64(29)
+    return h
+
+
+def windows(value: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the tokens and of the template of the window of ``size`` at each token, and its number of words."""
     words = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    return h, words[size:] - words[:-size] >= LITERALS
+    plain = rolled(value, size, VERBATIM + size)
+    typed = rolled(np.where(kind == LITERAL, value, PLACE[kind]), size, size)
+    return plain, typed, words[size:] - words[:len(plain)]
 
 
 def slots(value: np.ndarray, kind: np.ndarray, at: int, size: int) -> list[int]:
@@ -118,49 +127,74 @@ def slots(value: np.ndarray, kind: np.ndarray, at: int, size: int) -> list[int]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, total, place, h, filled of every window of each distinct item."""
+    """Every window of each distinct item, as it is and as a template.
+
+    item_id, size, total (windows of the item), wordy (those with ``LITERALS`` words), place, good (it is one of
+    these), typed (as a template), h, filled (slot values of a template).
+    """
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("text IS NOT NULL")
+    names = ["item_id", "size", "total", "wordy", "place", "good", "typed", "h", "filled"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            out = [[] for _ in range(6)]
+            out = [[] for _ in names]
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 value, kind, _ = templates([text])
                 size = min(WINDOW, len(value))
-                h, good = windows(value, kind, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                for at in np.flatnonzero(good).tolist():
-                    row = (item, size, int(good.sum()), at, int(h[at].view(np.int64)), slots(value, kind, at, size))
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)],
-                                             ["item_id", "size", "total", "place", "h", "filled"])
+                if size < LITERALS:
+                    continue
+                plain, typed, words = windows(value, kind, size)
+                wordy = int((words >= LITERALS).sum())
+                for at in range(len(plain)):
+                    good = bool(words[at] >= LITERALS)
+                    rows = [(False, int(plain[at].view(np.int64)), [])]
+                    if good and words[at] < size:
+                        rows.append((True, int(typed[at].view(np.int64)), slots(value, kind, at, size)))
+                    for row in rows:
+                        for column, x in zip(out, (item, size, len(plain), wordy, at, good, *row), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
     workers_import(benchmark.sparkSession)
-    return stored(items.mapInArrow(run, "item_id long, size int, total int, place int, h long, filled array<long>"), "benchmark")
+    schema = "item_id long, size int, total int, wordy int, place int, good boolean, typed boolean, h long, filled array<long>"
+    return stored(items.mapInArrow(run, schema), "benchmark")
 
 
 def document_windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
-    """key, at, h, values of the windows of (key, text) whose hash is in the bitmap."""
+    """key, at, typed, h, found (slot values) of the windows of (key, text) whose hash is in the bitmap.
+
+    A text's equal windows are one row (with ``at`` 0) if they are not templates.
+    """
     def make(batch: pa.RecordBatch) -> dict:
         keys = batch.column("key").to_pylist()
         value, kind, n = templates(batch.column("text").to_pylist())
         ends = np.cumsum(n)
-        out = {"key": [], "at": [], "h": [], "found": []}
-        for size in sizes:
-            h, good = windows(value, kind, size)
+        out = {"key": [], "at": [], "typed": [], "h": [], "found": []}
+
+        def add(d: int, at: int, typed: bool, h: int, found: list[int]) -> None:
+            for column, x in zip(out.values(), (keys[d], at, typed, h, found), strict=True):
+                column.append(x)
+
+        def marked(h: np.ndarray, size: int, wanted: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
+            """Places of the windows within one text that are in the bitmap, and their texts."""
             bit = h >> np.uint64(64 - BITS)
-            hit = np.flatnonzero(good & ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1) > 0))
+            hit = np.flatnonzero(wanted & ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1) > 0))
             doc = np.searchsorted(ends, hit, side="right")
             inside = hit + size <= ends[doc] if len(hit) else np.zeros(0, bool)
-            for at, d in zip(hit[inside].tolist(), doc[inside].tolist(), strict=True):
-                out["key"].append(keys[d])
-                out["at"].append(at - int(ends[d] - n[d]))
-                out["h"].append(int(h[at].view(np.int64)))
-                out["found"].append(slots(value, kind, at, size))
+            return hit[inside], doc[inside]
+
+        for size in sizes:
+            plain, typed, words = windows(value, kind, size)
+            hit, doc = marked(plain, size, True)
+            for d, h in sorted(set(zip(doc.tolist(), plain[hit].view(np.int64).tolist(), strict=True))):
+                add(d, 0, False, h, [])
+            hit, doc = marked(typed, size, (words >= LITERALS) & (words < size))
+            for at, d in zip(hit.tolist(), doc.tolist(), strict=True):
+                add(d, at - int(ends[d] - n[d]), True, int(typed[at].view(np.int64)), slots(value, kind, at, size))
         return out
 
-    return arrow_map(rows, "text", "key long, at int, h long, found array<long>", make)
+    return arrow_map(rows, "text", "key long, at int, typed boolean, h long, found array<long>", make)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -174,17 +208,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     bits[np.array(marked, np.int64)] = True
     bitmap = np.packbits(bits, bitorder="little")
     rows = docs.select(document_key().alias("key"), "text").where("text IS NOT NULL")
-    found = document_windows(rows, sizes, bitmap)
-    met = found.join(bench, "h").where(F.size("found") == F.size("filled"))
-    met = met.select("key", "item_id", "total", (c("at") - c("place")).alias("offset"), "place",
-                     F.arrays_zip("filled", "found").alias("slots"))
+    met = stored(document_windows(rows, sizes, bitmap).join(bench, ["typed", "h"]).where(F.size("found") == F.size("filled")), "met")
+    item = ["key", "item_id", "total", "wordy"]
     # An alignment has at most one match for each place of the item.
-    aligned = met.groupBy("key", "item_id", "total", "offset").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = met.where("typed").groupBy(*item, (c("at") - c("place")).alias("offset")).agg(
+        F.collect_set("place").alias("places"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("filled", "found")))).alias("slots"))
     function = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["filled"])))
-    hits = (aligned.where(function).groupBy("key", "item_id", "total")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
-            .withColumn("share", c("n") / c("total")).where(c("share") >= share))
+    covered = met.where("NOT typed").select(*item, "place", "good").union(
+        aligned.where(function).select(*item, F.explode("places").alias("place"), F.lit(True).alias("good")))
+    of_all = F.size(F.collect_set("place")) / c("total")
+    of_wordy = F.size(F.collect_set(F.when(c("good"), c("place")))) / F.nullif(c("wordy"), F.lit(0))
+    hits = covered.groupBy(*item).agg(F.greatest(of_all, of_wordy).alias("share")).where(c("share") >= share)
     return hits.groupBy("key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"),
                                    F.max("share").alias("share"))
 

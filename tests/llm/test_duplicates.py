@@ -231,3 +231,17 @@ def test_decontamination_against_plain_windows(spark, odd_docs, no_docs):
         want[r.doc_id] = sorted(set().union(*[index.get(tuple(w[k:k + 8]), set()) for k in range(len(w) - 7)]))
     assert {r.doc_id: r["items"] for r in decontam.flag(docs, bench).collect()} == want
     assert decontam.flag(odd_docs, bench).count() == odd_docs.count() and decontam.clean(no_docs, bench).count() == 0
+
+
+def test_windows_with_few_words_match_verbatim(spark):
+    numbers = " ".join(str(17 * k) for k in range(1, 31))
+    title = "Annual Report Of The Grand Northern Railway Company Board And Its Honoured Guests"
+    bench = spark.createDataFrame([(1, "12 + 35 + 48 = 95 and " + numbers), (2, title), (3, "Name the largest planet of all"), (4, "3 m 4 kg")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "see 12 + 35 + 48 = 95 and " + numbers + " there"), (2, "see 12 + 35 + 48 = 96 and " + " ".join(str(19 * k) for k in range(1, 31))),
+        (3, "at the " + title + " it was said"), (4, "please Name the largest planet of all today"), (5, "name the largest Planet of all"),
+        (6, "a bit of 3 m 4 kg here"), (7, "a bit of 3 m 5 kg here"), (8, "0 " * 300), (9, "Annual Report Of The Small Southern Road Firm")],
+        "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.flag(docs, bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [3], 5: [3], 6: [4], 7: [], 8: [], 9: []}
