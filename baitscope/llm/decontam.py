@@ -6,8 +6,10 @@ word.  Windows of ``WINDOW`` tokens are hash-joined with those of the benchmark
 two forms.  With its lower-cased tokens as they are, any window counts wherever a
 document repeats it.  As a template, a window with a placeholder and at least
 ``LITERALS`` words counts too: matches of a document and an item at one offset are
-an alignment; it counts if the item's slot values map to the document's as a
-function, so a question asked again with other numbers or names is caught and an
+an alignment, in which an item's slot value stands for the document value it meets
+at most of its places (of two at half each, the one in more windows); a value that
+meets none at half of them stands for nothing.  Windows that contradict this do not
+count, so a question asked again with other numbers or names is caught and an
 accidental match is not.  A document is contaminated by an item if it covers at
 least ``SHARE`` of the item's windows, or of those with ``LITERALS`` words, as a
 question asked again can match no others.
@@ -24,6 +26,7 @@ flags nothing; repeated rows get the same result.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,15 +129,33 @@ def slots(value: np.ndarray, kind: np.ndarray, at: int, size: int) -> list[int]:
     return own.view(np.int64).tolist()
 
 
+def agreeing(matches: list[dict]) -> list[int]:
+    """Places of an alignment's windows (place, spots, filled, found) whose slot values agree with the alignment's map."""
+    met, windows_of = {}, Counter()
+    for w in matches:
+        triples = list(zip(w["spots"], w["filled"], w["found"], strict=True))
+        met.update({spot: (own, other) for spot, own, other in triples})
+        windows_of.update({(own, other) for _, own, other in triples})
+    places_of = Counter(met.values())
+    values, all_places = defaultdict(list), Counter()
+    for (own, other), n in places_of.items():
+        values[own].append((n, windows_of[own, other], other))
+        all_places[own] += n
+    best = {own: max(found) for own, found in values.items()}
+    stands = {(own, other) for own, (n, _, other) in best.items() if 2 * n >= all_places[own]}
+    return [w["place"] for w in matches if all(pair in stands for pair in zip(w["filled"], w["found"], strict=True))]
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Every window of each distinct item, as it is and as a template.
 
     item_id, size, total (windows of the item), wordy (those with ``LITERALS`` words), place, good (it is one of
-    these), typed (as a template), h, filled (slot values of a template).
+    these), typed (as a template), h, filled and spots (slot values of a template, and their places in the item).
     """
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("text IS NOT NULL")
-    names = ["item_id", "size", "total", "wordy", "place", "good", "typed", "h", "filled"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+    names = ["item_id", "size", "total", "wordy", "place", "good", "typed", "h", "filled", "spots"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()),
+             pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -148,16 +169,18 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 wordy = int((words >= LITERALS).sum())
                 for at in range(len(plain)):
                     good = bool(words[at] >= LITERALS)
-                    rows = [(False, int(plain[at].view(np.int64)), [])]
+                    rows = [(False, int(plain[at].view(np.int64)), [], [])]
                     if good and words[at] < size:
-                        rows.append((True, int(typed[at].view(np.int64)), slots(value, kind, at, size)))
+                        rows.append((True, int(typed[at].view(np.int64)), slots(value, kind, at, size),
+                                     (at + np.flatnonzero(kind[at:at + size] != LITERAL)).tolist()))
                     for row in rows:
                         for column, x in zip(out, (item, size, len(plain), wordy, at, good, *row), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
     workers_import(benchmark.sparkSession)
-    schema = "item_id long, size int, total int, wordy int, place int, good boolean, typed boolean, h long, filled array<long>"
+    schema = ("item_id long, size int, total int, wordy int, place int, good boolean, typed boolean, h long, filled array<long>, "
+              "spots array<int>")
     return stored(items.mapInArrow(run, schema), "benchmark")
 
 
@@ -197,6 +220,20 @@ def document_windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray) -> D
     return arrow_map(rows, "text", "key long, at int, typed boolean, h long, found array<long>", make)
 
 
+def agreed(aligned: DataFrame) -> DataFrame:
+    """key, item_id, total, wordy, place, good of the agreeing windows of alignments (key, item_id, total, wordy, matches)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [agreeing(matches) for matches in batch.column("matches").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
+            place = pa.array([x for p in places for x in p], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k).take(of) for k in range(4)] + [place, pa.array([True] * len(place), pa.bool_())],
+                [*batch.schema.names[:4], "place", "good"])
+
+    return aligned.mapInArrow(run, "key long, item_id long, total int, wordy int, place int, good boolean")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """key, n_items, items, share of contaminated documents; ``key`` is ``document_key``."""
     c = F.col
@@ -212,11 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     item = ["key", "item_id", "total", "wordy"]
     # An alignment has at most one match for each place of the item.
     aligned = met.where("typed").groupBy(*item, (c("at") - c("place")).alias("offset")).agg(
-        F.collect_set("place").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("filled", "found")))).alias("slots"))
-    function = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["filled"])))
-    covered = met.where("NOT typed").select(*item, "place", "good").union(
-        aligned.where(function).select(*item, F.explode("places").alias("place"), F.lit(True).alias("good")))
+        F.collect_set(F.struct("place", "spots", "filled", "found")).alias("matches"))
+    covered = met.where("NOT typed").select(*item, "place", "good").union(agreed(aligned.select(*item, "matches")))
     of_all = F.size(F.collect_set("place")) / c("total")
     of_wordy = F.size(F.collect_set(F.when(c("good"), c("place")))) / F.nullif(c("wordy"), F.lit(0))
     hits = covered.groupBy(*item).agg(F.greatest(of_all, of_wordy).alias("share")).where(c("share") >= share)

@@ -245,3 +245,25 @@ def test_windows_with_few_words_match_verbatim(spark):
         "doc_id long, text string")
     got = {r.doc_id: r["items"] for r in decontam.flag(docs, bench).collect()}
     assert got == {1: [1], 2: [], 3: [2], 4: [3], 5: [3], 6: [4], 7: [], 8: [], 9: []}
+
+
+def test_a_contradiction_costs_only_its_windows(spark):
+    filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "so") for b in ("ba", "de", "fi", "go", "hu", "ly", "mo", "pa")]
+    long = " ".join(["Once"] + filler[:20] + ["it cost 450 coins"] + filler[20:] + ["then 450 coins more"])
+    asked = "Tom has 5 apples and gives 5 to his sister How many apples remain now"
+    bench = spark.createDataFrame([(1, long), (2, asked)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "so " + long.replace("then 450", "then 451")), (2, "so " + long.replace("cost 450", "cost 449")),
+        (3, asked.replace("has 5", "has 7").replace("gives 5", "gives 3")), (4, asked.replace("5", "7")),
+        (5, "Once upon a time it cost 9 coins")], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.flag(docs, bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [2], 5: []}
+
+
+def test_agreeing_windows():
+    match = lambda place, *slots: dict(zip(("place", "spots", "filled", "found"), (place, *map(list, zip(*slots, strict=True))), strict=True))
+    # 5 stands for 3 (at two of three places); 8 meets three values and stands for none.
+    rows = [match(0, (0, 5, 3)), match(1, (1, 5, 3), (2, 5, 7)), match(2, (1, 5, 3)), match(3, (4, 8, 1)), match(4, (5, 8, 2), (6, 8, 4))]
+    assert decontam.agreeing(rows) == [0, 2]
+    # Half of the places each: the value in more windows.
+    assert decontam.agreeing([match(0, (2, 5, 7)), match(1, (2, 5, 7)), match(2, (6, 5, 3))]) == [0, 1]
