@@ -17,7 +17,8 @@ no linkable pair of a bucket is left out and no task holds a bucket.
 Edge cases: a text of one to four words is one shingle; a text without words (null,
 empty) is a class of its own; rows that repeat a doc_id are one document; a class is
 named by its smallest doc_id, and rows without doc_id are kept only where the whole
-class has none.
+class has none.  ``near_classes`` marks all rows of a kept document; ``keep_one``
+leaves a single row of each class, also where rows repeat or have no doc_id.
 """
 
 from __future__ import annotations
@@ -224,7 +225,7 @@ def link_table(reps: DataFrame, sets_of, least: float = LEAST) -> DataFrame:
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
-    """doc_id, t (a hash of the text), class_id, kept for every row."""
+    """doc_id, t (a hash of the text), component (null for texts without words), class_id for every row."""
     c = F.col
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
     schema = "doc_id long, t long, f1 long, f2 long, bands array<long>"
@@ -249,20 +250,31 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     found = components(link_table(reps.select("node", "bands"), sets_of, least))
     of = reps.join(found, "node", "left").select("f1", "f2", "doc_id", F.coalesce("component", "node").alias("component"))
     names = of.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    facts = of.join(names, "component").select("f1", "f2", "class_id")
+    facts = of.join(names, "component").select("f1", "f2", "component", "class_id")
     out = sketches.select("doc_id", "t", "f1", "f2").join(facts, ["f1", "f2"], "left")
-    out = out.select("doc_id", "t", F.when(c("f1").isNull(), c("doc_id")).otherwise(c("class_id")).alias("class_id"))
-    return out.withColumn("kept", c("class_id").isNull() | F.coalesce(c("doc_id") == c("class_id"), F.lit(False)))
+    return out.select("doc_id", "t", "component", F.when(c("f1").isNull(), c("doc_id")).otherwise(c("class_id")).alias("class_id"))
 
 
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id, kept for every row of (doc_id, text)."""
-    return _classes(docs, least).drop("t")
+    kept = F.col("class_id").isNull() | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))
+    return _classes(docs, least).select("doc_id", "class_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, all columns, of the document that each class keeps."""
-    known = F.coalesce("doc_id", F.lit(-1)).cast("long")
-    gone = _classes(docs, least).where("NOT kept").select(known.alias("_gone_doc"), F.col("t").alias("_gone_text")).distinct()
-    same = (known == F.col("_gone_doc")) & (F.xxhash64("text") == F.col("_gone_text"))
-    return docs.join(stored(gone, "duplicates"), same, "left_anti")
+    """One row of ``docs``, all columns, of each class; rows with neither words nor doc_id are classes of their own."""
+    c = F.col
+    texts = _classes(docs, least).groupBy("doc_id", "t", "component").agg(F.count("*").alias("n"))
+    texts = stored(texts.where("component IS NOT NULL OR (n > 1 AND doc_id IS NOT NULL)"), "class-texts")
+    # The text that a class keeps; of texts without words, each.
+    first = texts.where("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(c("doc_id").isNull().alias("z"), "doc_id", "t")).alias("r"))
+    marked = texts.join(first, "component", "left").withColumn(
+        "stays", c("r").isNull() | (c("doc_id").eqNullSafe(c("r.doc_id")) & (c("t") == c("r.t"))))
+    marked = marked.where("NOT stays OR n > 1").select(c("doc_id").alias("_doc"), c("t").alias("_text"), "stays")
+    gone, often = stored(marked.where("NOT stays").drop("stays"), "duplicates"), stored(marked.where("stays").drop("stays"), "repeated")
+    same = c("doc_id").cast("long").eqNullSafe(c("_doc")) & (F.xxhash64("text") == c("_text"))
+    single = docs.join(gone.union(often), same, "left_anti")
+    # Repeated rows of a text that stays become one, partly before they are shuffled.
+    one = docs.join(often, same).groupBy("_doc", "_text").agg(F.min(F.struct(*[docs[n] for n in docs.columns])).alias("_row"))
+    return single.union(one.select("_row.*"))

@@ -139,6 +139,19 @@ def test_near_edges(odd_docs, no_docs):
     assert probminhash.near_classes(no_docs).count() == 0 and probminhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_each_class(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(1, " ".join(base), "en"), (1, " ".join(base), "en"), (1, " ".join(base), "fr"), (1, near, "en"), (2, near, "en"),
+            (None, " ".join(base), "en"), (None, "five words without any id", None), (None, "five words without any id", None),
+            (-1, "a", "en"), (None, "a", "en"), (7, "...", None), (7, "...", None), (8, "...", None), (None, "...", None), (None, "...", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in probminhash.keep_one(docs).collect()]
+    first = [r for r in got if r[0] == 1]
+    assert len(first) == 1 and first[0] in rows
+    assert sorted(map(str, got)) == sorted(map(str, first + [rows[6], rows[8], rows[10], rows[12], rows[13], rows[14]]))
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(4)
     value = rng.integers(1, 2**63, 60).astype(np.uint64)

@@ -45,3 +45,12 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
             stage(spark, rows, SF).write.parquet(path)
             rows = spark.read.parquet(path)
     assert rows.count() == 0
+
+
+def test_repeated_rows_keep_their_text(spark):
+    """Exact copies of a row, with its id or without any, reach the third stage once and lose nothing there."""
+    texts = [" ".join(f"{w}{k}" for k in range(80)) for w in ("plain", "other")]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.repeated_passages(spark, P.near_duplicates(spark, docs, SF), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", texts[0]), ("None", texts[1])]
