@@ -5,9 +5,11 @@ A document is its set of word shingles (five lower-cased words), each weighted b
 rate is its weight, each to a random register; a register keeps the shingle of its
 first arrival, and a shingle stops once its next arrival is later than what every
 register holds.  Two documents agree in a register with the probability Jaccard of
-their weighted shingles.  Documents that agree in all registers of a band are
-candidates; a candidate pair is linked if the Jaccard of the shingle sets, computed
-exactly, is ``LEAST`` or more.
+their weighted shingles.  A document with a repeated shingle has a second signature
+in which all weights are 1, so that documents agree with the Jaccard of their shingle
+sets too, however often a line is repeated.  Documents that agree in all registers of
+a band of either are candidates; a candidate pair is linked if the Jaccard of the
+shingle sets, computed exactly, is ``LEAST`` or more.
 
 Documents with equal shingles and counts are one candidate.  A bucket's members are
 first compared with its smallest member, then with a random one; only the pairs that
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from baitscope.llm.common import arrow_map, stored, workers_import
 from baitscope.llm.graph import components
 
-#: Words of a shingle, least Jaccard; bands and registers of a band (a pair at 0.8 is missed 3 times in a million).
+#: Words of a shingle, least Jaccard; bands and registers of a band (a pair at 0.8 is missed 3 times in
+#: a million, by the signatures of equal weights).
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
 #: Members of a chunk of a bucket.
 CHUNK = 256
@@ -106,6 +109,15 @@ def signatures(n: int, doc: np.ndarray, value: np.ndarray, times: np.ndarray, re
     return held.reshape(n, registers)
 
 
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """A key of each band of each signature."""
+    bands = held.reshape(len(held), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD, (len(held), BANDS))
+    for k in range(ROWS):
+        key = mixed(key * GOLD + bands[:, :, k])
+    return np.ascontiguousarray(key).view(np.int64)
+
+
 def sketch(batch: pa.RecordBatch) -> dict:
     """Fingerprints of the weighted set and band keys; both null for texts without words."""
     n = batch.num_rows
@@ -117,13 +129,15 @@ def sketch(batch: pa.RecordBatch) -> dict:
     if len(doc):
         prints[0, fill] = np.add.reduceat(weighted, starts).view(np.int64)
         prints[1, fill] = np.add.reduceat(mixed(weighted + MIX), starts).view(np.int64)
-    bands = signatures(n, doc, value, times).reshape(n, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD, (n, BANDS))
-    for k in range(ROWS):
-        key = mixed(key * GOLD + bands[:, :, k])
-    keys = np.ascontiguousarray(key.view(np.int64))
+    bands = [k if f else None for k, f in zip(band_keys(signatures(n, doc, value, times)).tolist(), fill.tolist(), strict=True)]
+    # Without repeated shingles the signature of equal weights is the same.
+    repeats = np.bincount(doc[times > 1], minlength=n) > 0
+    own = repeats[doc]
+    again = signatures(int(repeats.sum()), (np.cumsum(repeats) - 1)[doc[own]], value[own], np.ones(int(own.sum()), np.int64))
+    for i, more in zip(np.flatnonzero(repeats).tolist(), band_keys(again).tolist(), strict=True):
+        bands[i] = sorted({*bands[i], *more})
     return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "f1": pa.array(prints[0], mask=~fill), "f2": pa.array(prints[1], mask=~fill),
-            "bands": [keys[i].tolist() if fill[i] else None for i in range(n)]}
+            "bands": bands}
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

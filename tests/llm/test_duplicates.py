@@ -152,6 +152,15 @@ def test_keep_one_leaves_one_row_of_each_class(spark):
     assert sorted(map(str, got)) == sorted(map(str, first + [rows[6], rows[8], rows[10], rows[12], rows[13], rows[14]]))
 
 
+def test_copies_that_repeat_a_line_are_linked(spark):
+    rows = []
+    for k in range(16):
+        w = [f"w{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[-20:] * 1000))]
+    got = {r.doc_id: r.class_id for r in probminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(4)
     value = rng.integers(1, 2**63, 60).astype(np.uint64)
