@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from baitscope.llm import bpe, decontam, langid, probminhash, quality, runindex, tokenstore, urlfilter, vecdup, warc
+from baitscope.llm import (
+    bpe,
+    centroids,
+    chat,
+    decontam,
+    langid,
+    probminhash,
+    quality,
+    repair,
+    runindex,
+    tokenstore,
+    urlfilter,
+    vecdup,
+    warc,
+)
 from baitscope.session import table
 
 
@@ -63,6 +77,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted, stored and read back, as digests."""
+    said = r"\### Assistant: </turn> ok"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(table(spark, sf_dir, "conversations").select(odd.columns).unionByName(odd))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of 16 centroids of every embedding after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    return repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_repeats": op2_repeats,
@@ -74,5 +105,9 @@ QUERIES = {
     "op8_vector_links": op8_vector_links,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
+    "op11_chat_format": op11_chat_format,
+    "op12_centroids": op12_centroids,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE_SQL, "op8_vector_links": vecdup.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE_SQL, "op8_vector_links": vecdup.ORACLE_SQL, "op11_chat_format": chat.ORACLE_SQL,
+                          "op12_centroids": centroids.ORACLE_SQL}
