@@ -18,8 +18,15 @@ never reach over the end of a text, and what repeats is judged on the input.
   matching statistics over the text: from one sample to the next they fall by one
   with each position.  A position whose longest match with another suffix has
   ``length`` bytes or more starts a repeated window.
-* An anchor with more than ``CROWD`` distinct contexts does not go to one task; its
-  windows are counted by their 128-bit hashes with partial sums instead.
+* One index holds at most ``CROWD`` distinct contexts of a group, so that no task holds
+  an unbounded one.  A larger group (the contexts of an anchor in a popular line) is
+  parted by more of the bytes around its anchor: of the bytes that a window has besides
+  its anchor, at least half lie on one side, and the anchor's place in the window says
+  on which.  So a context falls into at most two, each of which shares half of the open
+  bytes with every window equal to one of its own; equal ones are one again, with a
+  count, and groups are those of equal anchors and shared bytes.  This is repeated, with
+  what is still open, until every group fits (when nothing is open a group is a single
+  window), and every group of several goes through an index.
 
 Edge cases: a null text counts as empty; a text shorter than ``length`` has no
 window; rows that repeat doc_id and text are separate texts (so all of it repeats).
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 from baitscope.llm.common import arrow_map, stored, workers_import
 
 LENGTH, GRAM = 400, 32
-#: Windows of a text that are anchored at a time; distinct contexts of an anchor in one task; bytes of an index, about.
+#: Windows of a text that are anchored at a time; distinct contexts of a group in one index; bytes of an index, about.
 SEGMENT, CROWD, INDEX_BYTES = 1 << 18, 2000, 1 << 17
 #: Bits of the fixed-size maps that keep texts without a match out of shuffles.
 MAP_BITS = 20
@@ -206,7 +213,7 @@ def spans(marked: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def index_marks(rows: DataFrame, length: int) -> DataFrame:
-    """c1, c2, starts, ends: repeated windows of contexts (a, c1, c2, n, bytes)."""
+    """c1, c2, starts, ends: repeated windows of contexts (g1, g2, c1, c2, n, bytes), one index for some groups."""
     def solve(held: list[tuple]) -> pa.RecordBatch:
         index = RunIndex([x[3] for x in held])
         longest = index.statistics()
@@ -223,40 +230,74 @@ def index_marks(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for a, *row in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "n", "bytes")), strict=True):
-                if a != last and size >= INDEX_BYTES:
+            for g1, g2, *row in zip(*(batch.column(c).to_pylist() for c in ("g1", "g2", "c1", "c2", "n", "bytes")), strict=True):
+                if (g1, g2) != last and size >= INDEX_BYTES:
                     yield solve(held)
                     held, size = [], 0
                 held.append(tuple(row))
                 size += len(row[3])
-                last = a
+                last = (g1, g2)
         if held:
             yield solve(held)
 
     workers_import(rows.sparkSession)
-    return rows.repartition("a").sortWithinPartitions("a", "c1", "c2").mapInArrow(
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "c1", "c2").mapInArrow(
         run, "c1 long, c2 long, starts array<int>, ends array<int>")
 
 
-def window_marks(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts, by counting the hashes of single windows."""
+def halves(raw: bytes, at: int, core: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """A context's windows by the side on which they surely hold half of their open bytes.
+
+    Windows of ``length`` bytes of ``raw`` all hold its ``core`` bytes from
+    ``at``.  Yields side, first window, windows, and the core's place in ``raw``
+    and size, enlarged by the bytes that all of them hold there.
+    """
+    free, windows = length - core, len(raw) - length + 1
+    half = (free + 1) // 2
+    left = min(windows, at - half + 1)  # windows with half or more of the open bytes before the core
+    if left > 0:
+        yield 0, 0, left, at - half, core + half
+    first = max(left, 0)
+    if first < windows:
+        yield 1, first, windows - first, at, core + free - half + 1
+
+
+def parted(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts cut in two, with their first window (``shift``) in the context (p1, p2) they come from."""
+    names = ["p1", "p2", "shift", "g1", "g2", "c1", "c2", "n", "path", "at", "core", "bytes"]
+
     def make(batch: pa.RecordBatch) -> dict:
-        out = {c: [] for c in ("c1", "c2", "n", "i")}
-        prints = []
-        for c1, c2, n, raw in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "n", "bytes")), strict=True):
-            m = len(raw) - length + 1
-            for column, x in zip(("c1", "c2", "n"), (c1, c2, n), strict=True):
-                out[column] += [x] * m
-            out["i"] += range(m)
-            prints += [xxhash.xxh3_128_digest(raw[i:i + length]) for i in range(m)]
-        both = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-        return {**out, "w1": both[:, 0], "w2": both[:, 1]}
+        out = {x: [] for x in names}
+        for row in batch.select(["c1", "c2", "n", "path", "at", "core", "bytes"]).to_pylist():
+            raw, at = row["bytes"], row["at"]
+            if at is None:
+                at = int(next(anchored(np.frombuffer(raw, np.uint8), length))[2][0])
+            for side, first, windows, place, core in halves(raw, at, row["core"], length):
+                path, part = row["path"] * 2 + side, raw[first:first + windows + length - 1]
+                # Equal windows take equal paths, so hashes tell paths apart, and contexts by the core's place too.
+                group = np.frombuffer(xxhash.xxh3_128_digest(raw[place:place + core], seed=path), "<i8").tolist()
+                name = np.frombuffer(xxhash.xxh3_128_digest(part, seed=path << 16 | place - first), "<i8").tolist()
+                for column, x in zip(names, (row["c1"], row["c2"], first, *group, *name, row["n"], path, place - first, core, part), strict=True):
+                    out[column].append(x)
+        return out
 
-    c = F.col
-    cut = stored(arrow_map(rows, "bytes", "c1 long, c2 long, n long, i int, w1 long, w2 long", make), "windows")
-    often = cut.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    hit = cut.join(often, ["w1", "w2"]).groupBy("c1", "c2").agg(F.array_sort(F.collect_set("i")).alias("at"))
-    return hit.select("c1", "c2", c("at").alias("starts"), F.transform("at", lambda x: x + 1).alias("ends"))
+    return arrow_map(rows, "bytes", "p1 long, p2 long, shift int, g1 long, g2 long, c1 long, c2 long, n long, path long, at int, core int, bytes binary", make)
+
+
+def group_marks(rows: DataFrame, length: int, crowd: int) -> DataFrame:
+    """Repeated windows of contexts (g1, g2, m, c1, c2, n, path, at, core, bytes); groups of over ``crowd`` are parted first."""
+    found = index_marks(rows.where(F.col("m") <= crowd), length)
+    crowded = rows.where(F.col("m") > crowd)
+    if crowded.isEmpty():
+        return found
+    cut = stored(parted(crowded, length), "parted-contexts")
+    kids = stored(cut.groupBy("g1", "g2", "c1", "c2").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("path", "at", "core", "bytes")]), "parts")
+    groups = stored(kids.groupBy("g1", "g2").agg(F.count("*").alias("m")), "part-groups")
+    kids = stored(kids.join(groups, ["g1", "g2"]).where("m > 1 OR n > 1"), "open-parts")
+    whole = kids.where("m = 1").select("c1", "c2", F.array(F.lit(0)).alias("starts"), F.array(F.octet_length("bytes") - length + 1).alias("ends"))
+    marks = stored(whole.union(group_marks(kids.where("m > 1"), length, crowd)), "part-marks")
+    back = cut.select("p1", "p2", "shift", "c1", "c2").join(marks, ["c1", "c2"])
+    return found.union(back.select("p1", "p2", *(F.transform(x, lambda i: i + F.col("shift")).alias(x) for x in ("starts", "ends"))))
 
 
 def text_key():
@@ -294,7 +335,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD)
     met = stored(met.join(often, "a", "left_semi"), "shared-contexts")
     distinct = met.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min("windows").alias("windows"), F.min(F.struct("key", "p")).alias("at"))
     distinct = stored(distinct, "distinct-contexts")
-    groups = distinct.groupBy("a").agg(F.count("*").alias("m"))
+    groups = stored(distinct.groupBy("a").agg(F.count("*").alias("m")), "anchor-groups")
     alone = groups.where("m = 1").select("a")
     whole = distinct.join(alone, "a", "left_semi").select(
         "c1", "c2", F.array(F.lit(0)).alias("starts"), F.array("windows").alias("ends"))
@@ -317,7 +358,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD)
     parts = arrow_map(held, "text", "a long, m long, n long, c1 long, c2 long, bytes binary", cut)
     # Rows that repeat a key give a context more than once.
     parts = stored(parts.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in ("a", "m", "n", "bytes")]), "context-bytes")
-    marks = whole.union(index_marks(parts.where(c("m") <= crowd), length)).union(window_marks(parts.where(c("m") > crowd), length))
+    root = parts.select(c("a").alias("g1"), F.lit(0).cast("long").alias("g2"), "m", "c1", "c2", "n", F.lit(1).cast("long").alias("path"),
+                        F.lit(None).cast("int").alias("at"), F.lit(GRAM).alias("core"), "bytes")
+    marks = whole.union(group_marks(root, length, crowd))
     rows = met.select("key", "p", "c1", "c2").distinct().join(stored(marks, "marks"), ["c1", "c2"])
     return rows.groupBy("key").agg(F.collect_list(F.struct("p", "starts", "ends")).alias("runs"))
 

@@ -62,6 +62,51 @@ def test_repeats(spark, monkeypatch, length, crowd):
     assert got == brute_repeats(rows, length)
 
 
+def test_halves_part_windows_by_what_they_hold():
+    rng = random.Random(8)
+    for _ in range(500):
+        length, gram = rng.randint(40, 90), 32
+        windows = rng.randint(1, length - gram + 1)
+        at = rng.randint(windows - 1, length - gram)
+        raw = bytes(rng.randrange(256) for _ in range(length + windows - 1))
+        open_, seen = [(0, raw, at, gram)], []
+        while open_:
+            shift, part, place, core = open_.pop()
+            if core == length:
+                assert len(part) == length and place == 0
+                seen.append(shift)
+                continue
+            kids = list(runindex.halves(part, place, core, length))
+            assert sum(k[2] for k in kids) == len(part) - length + 1
+            for _, first, n, where, size in kids:
+                assert core < size <= length and where <= place and where + size >= place + core
+                assert first + n - 1 <= where and where + size <= first + length  # every window holds the core
+                open_.append((shift + first, part[first:first + n + length - 1], where - first, size))
+        assert sorted(seen) == list(range(windows))
+
+
+def test_popular_line_is_parted_not_counted(spark, monkeypatch):
+    """A common line below the length costs a few parts a context; one above it is found; every group goes through the index."""
+    rng = random.Random(9)
+    line, long_line = words(rng, 62)[:360], words(rng, 90)[:450]
+    rows = [(i, words(rng, 90) + line + words(rng, 90)) for i in range(300)]
+    rows += [(1000 + i, words(rng, 90) + long_line + words(rng, 90)) for i in range(60)]
+    made = []
+    real = runindex.parted
+
+    def counted(df, length):
+        out = real(df, length).cache()
+        made.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(runindex, "parted", counted)
+    whole = runindex.repeated_windows
+    monkeypatch.setattr(runindex, "repeated_windows", lambda t, n: whole(t, n, 50))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in runindex.repeat_digests(df).collect()), key=str) == brute_repeats(rows, 400)
+    assert 1 < len(made) <= 9 and all(out <= 2 * n for n, out in made) and sum(out for _, out in made) < 12 * len(rows)
+
+
 def test_repeats_edges(odd_docs, no_docs):
     got = runindex.repeat_digests(odd_docs).collect()
     want = brute_repeats([(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()], 400)
