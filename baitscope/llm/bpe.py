@@ -7,7 +7,10 @@ pairs it makes.  Words are independent, so what a word becomes does not depend
 on the batch.
 
 Edge cases: a null or empty text has no ids; the text of an added token (such as
-``<|endoftext|>``) becomes that token's id, as in the tokenizers library.
+``<|endoftext|>``) becomes that token's id, as in the tokenizers library.  A very
+long text is a batch of its own; a word of any length is encoded whole, and one of
+over 32 characters is not kept.  Other columns, also of the operator's own names,
+are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from baitscope.llm.common import RecentCache, arrow_map
 
 #: FIXED VALUE: the published split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Units kept per generation in a Python worker (a unit takes about 200 bytes).
+#: Units kept per generation in a Python worker (a unit takes about 200 bytes, 500 at most; longer ones are not kept).
 CACHE_UNITS = 150_000
 #: Position lists under this length are short; after so many of them the rest is merged position by position.
 SHORT_LIST, SHORT_LISTS = 40, 300
@@ -78,7 +81,8 @@ class PairIndexBpe:
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
-        self.cache, self.word_cache = RecentCache(cache_units), RecentCache(cache_units)
+        self.cache = RecentCache(cache_units, lambda unit: len(unit[0] if type(unit) is tuple else unit))
+        self.word_cache = RecentCache(cache_units, len)
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as packed little-endian 32-bit integers."""

@@ -88,15 +88,20 @@ def arrow_map(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
     return df.mapInArrow(run, struct)
 
 
+#: Keys over this many characters are cached for one batch only: a text without spaces may be one key.
+LONG_KEY = 32
+
+
 class RecentCache(dict):
     """Two-generation cache: at ``most`` entries the young generation becomes the old one.
 
     Memory is bounded by ``2 * most`` entries however long the worker lives.
+    With a ``size`` of keys, those over ``LONG_KEY`` are held for one batch.
     """
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, size: Callable[..., int] | None = None) -> None:
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size, self.old, self.brief = most, size, {}, []
 
     def __missing__(self, key):
         value = self.old[key]
@@ -107,8 +112,10 @@ class RecentCache(dict):
         """The distinct ``keys`` held by neither generation; held ones are made young.
 
         The generations change here, between two uses, so that every key of one
-        batch stays readable until the next call.
+        batch stays readable until the next call; long keys of the last batch go.
         """
+        for key in self.brief:
+            self.pop(key, None)
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
@@ -118,4 +125,5 @@ class RecentCache(dict):
                 self[key] = old[key]
             else:
                 found.append(key)
+        self.brief = [key for key in found if self.size(key) > LONG_KEY] if self.size else []
         return found

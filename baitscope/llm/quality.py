@@ -112,7 +112,7 @@ class QualityScorer:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.cache is None:
-            self.cache = RecentCache(CACHE_WORDS)
+            self.cache = RecentCache(CACHE_WORDS, len)
         rows = [tokens(t) for t in texts]
         absent = self.cache.absent(w for row in rows for w in row)
         for start in range(0, len(absent), 100_000):

@@ -14,7 +14,10 @@ All integers are little-endian.  A block is decoded by numpy table lookup: a
 control byte gives the lengths of four ids and the bytes they take together.
 
 Edge cases: a null or empty text holds the end id only; rows with a null doc_id
-come first; rows with equal ids are kept, one record each.
+come first; rows with equal ids are kept, one record each.  A very long text is a
+batch of its own; a piece without spaces may have any length and is not cached if
+it has over 32 characters.  Other columns, also of the operator's own names, are
+left out.
 """
 
 from __future__ import annotations
@@ -22,9 +25,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from baitscope.llm.bpe import byte_symbols
-from baitscope.llm.common import RecentCache, arrow_map, pieces, scratch, stored, workers_import
+from baitscope.llm.common import LONG_KEY, arrow_map, pieces, scratch, stored, workers_import
 
 MAGIC = b"SVB1"
 HEAD = struct.Struct("<4s5I")
@@ -83,6 +85,30 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+class PieceCache(dict):
+    """Ids of pieces, made when first asked for; at ``most`` entries the young generation becomes the old one.
+
+    Long pieces are not kept, so memory is bounded by ``2 * most`` short ones.
+    """
+
+    def __init__(self, most: int, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= LONG_KEY:
+            self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """The tokenizers library on pieces between spaces and line feeds, each distinct piece once.
 
@@ -113,7 +139,7 @@ class PieceEncoder:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = RecentCache(cache_pieces)
+        self.cache = PieceCache(cache_pieces, self._piece)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -136,35 +162,26 @@ class PieceEncoder:
 
     def _parts(self, piece: str) -> tuple[str, str]:
         """A piece before and from the marks at its end."""
-        if self.marks and piece[-1:] in MARKS and not any(a in piece for a in self.added):
+        if self.marks and len(piece) <= LONG_KEY and piece[-1:] in MARKS and not any(a in piece for a in self.added):
             core = piece.rstrip(MARKS)
             if core and core[-1].isascii() and core[-1].isalnum():
                 return core, piece[len(core):]
         return piece, ""
 
-    def _learn(self, absent: list[str]) -> None:
-        split = {p: parts for p in absent if (parts := self._parts(p))[1]}
-        plain = [p for p in absent if p not in split]
-        known = set(plain)
-        plain += [x for x in {x for parts in split.values() for x in parts} if x not in known and x not in self.cache]
-        rest = []
-        for piece in plain:
-            if self.whole_words and piece.isalpha() and piece.islower() and max(piece) <= "\xff":
-                self.cache[piece] = self._word(piece)
-            else:
-                rest.append(piece)
-        for start in range(0, len(rest), 20_000):
-            some = rest[start:start + 20_000]
-            self.cache.update(zip(some, self._library(some), strict=True))
-        for piece, (core, marks) in split.items():
-            self.cache[piece] = self.cache[core] + self.cache[marks]
+    def _piece(self, piece: str) -> bytes:
+        core, marks = self._parts(piece)
+        if marks:
+            return self.cache[core] + self.cache[marks]
+        if self.whole_words and piece.isalpha() and piece.islower() and max(piece) <= "\xff":
+            return self._word(piece)
+        return self._library([piece])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian ids of each text, as wide as ``width``."""
         if not self.by_piece:
             return self._library([t or "" for t in texts])
         rows = [(self._lower(t) if self.lower else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._learn(self.cache.absent(chain.from_iterable(rows)))
+        self.cache.turn()
         get = self.cache.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 

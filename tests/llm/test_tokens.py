@@ -66,6 +66,24 @@ def test_small_cache_changes_nothing(texts):
         assert cache[k] == k and len(cache) + len(cache.old) <= 8
 
 
+def test_long_pieces_are_not_kept():
+    """Texts without spaces are one piece each; no cache holds them past their batch, and results stay the library's."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("日本語テスト漢字かな") for _ in range(3000)) for _ in range(40)] + ["x" * 5000 + "!", "QUJD" * 900, "a.b," * 400]
+    for path, own in ((BYTE, bpe.PairIndexBpe(BYTE)), (WORD, tokenstore.PieceEncoder(WORD))):
+        library = Tokenizer.from_file(path)
+        width = getattr(own, "width", "<u4")
+        for text in texts:
+            (got,) = own.encode([text])
+            assert np.frombuffer(got, width).tolist() == library.encode(text, add_special_tokens=False).ids
+        own.encode(["a few short words"])
+        caches = [own.cache, *([own.word_cache] if path == BYTE else [])]
+        for cache in caches:
+            if path == BYTE:
+                cache.absent(["short"])
+            assert sum(len(k[0] if isinstance(k, tuple) else k) + len(v) for k, v in [*cache.items(), *cache.old.items()]) < 20_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1)))
 def test_pack_round_trip(ranks):
