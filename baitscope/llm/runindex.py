@@ -48,7 +48,7 @@ from baitscope.llm.common import arrow_map, stored, workers_import
 
 LENGTH, GRAM = 400, 32
 #: Windows of a text that are anchored at a time; distinct contexts of a group in one index; bytes of an index, about.
-SEGMENT, CROWD, INDEX_BYTES = 1 << 18, 2000, 1 << 17
+SEGMENT, CROWD, INDEX_BYTES = 1 << 18, 500, 1 << 17
 #: Bits of the fixed-size maps that keep texts without a match out of shuffles.
 MAP_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
