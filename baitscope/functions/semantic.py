@@ -1,8 +1,7 @@
 """Lexicon scoring as column expressions (LEX-01 .. LEX-16).
 
-All six phrase lists, brand mentions, grammar checks and the combined score
-are computed inside one projection: the lower-cased text is bound once with
-``let`` and every phrase test runs against that bound value.
+The phrases that a text holds come from one pass over it (``phrases``); whole
+words, grammar checks and the combined score are column expressions.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from baitscope.functions.core import at, dbl, let, lit_array, py_strip
+from baitscope.functions.core import at, dbl, let, py_strip
 from baitscope.resources import lexicons as L
 
 
@@ -21,21 +20,20 @@ def analysis_text(subject: Column, body: Column) -> Column:
     return py_strip(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))))
 
 
-def _phrase_test(t: Column, p: Column, phrases) -> Column:
-    """Substring test, or a word-bounded regex for acronyms and short phrases."""
+def match_phrases(t: Column, held: Column, phrases) -> Column:
+    """LEX-01: of the phrases ``held`` as substrings those that match: acronyms
+    and short phrases only as whole words of ``t``."""
     short = [ph for ph in phrases if L.is_whole_word(ph)]
-    test = None
-    for ph in short:
-        pattern = r"(?U)\b" + re.escape(ph) + r"\b"
-        test = (F.when(p == ph, t.rlike(pattern)) if test is None
-                else test.when(p == ph, t.rlike(pattern)))
-    contains = t.contains(p)
-    return contains if test is None else test.otherwise(contains)
+    if not short:
+        return held
 
+    def test(p: Column) -> Column:
+        expr = F
+        for ph in short:
+            expr = expr.when(p == ph, t.rlike(r"(?U)\b" + re.escape(ph) + r"\b"))
+        return expr.otherwise(F.lit(True))
 
-def match_phrases(t: Column, phrases) -> Column:
-    """LEX-01: matched phrases in list order."""
-    return F.filter(lit_array(phrases), lambda p: _phrase_test(t, p, phrases))
+    return F.filter(held, test)
 
 
 def count_to_score(n: Column) -> Column:
@@ -59,24 +57,13 @@ def _caps_ratio_high(text: Column) -> Column:
     return let(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), body)
 
 
-def raw_matches(text: Column) -> Column:
+def raw_matches(text: Column, lowered: Column, held: Column) -> Column:
     """One struct with every phrase list's matches, brand mentions and grammar
-    inputs; the lower-cased text is computed once per row."""
-    def with_lower(t: Column) -> Column:
-        fields = [match_phrases(t, phrases).alias(name) for name, phrases in L.CATEGORIES]
-        fields.append(F.filter(lit_array(L.BODY_BRANDS), lambda b: t.contains(b)).alias("brands"))
-        fields.append(F.filter(lit_array(L.MISSPELLINGS), lambda m: t.contains(m)).alias("misspellings"))
-        return F.struct(*fields)
-
-    def with_text(x: Column) -> Column:
-        inner = let(F.lower(x), with_lower)
-        return F.struct(
-            inner.alias("m"),
-            _caps_ratio_high(x).alias("caps"),
-            (x.contains("!!!") | x.contains("???")).alias("punct"),
-        )
-
-    return let(text, with_text)
+    inputs, from a text, the same in lower case and ``phrases.held_phrases`` of that."""
+    fields = [match_phrases(lowered, held[name], phrases).alias(name) for name, phrases in L.CATEGORIES]
+    inner = F.struct(*fields, held["brands"].alias("brands"), held["misspellings"].alias("misspellings"))
+    return F.struct(inner.alias("m"), _caps_ratio_high(text).alias("caps"),
+                    (text.contains("!!!") | text.contains("???")).alias("punct"))
 
 
 def semantic_columns(raw: Column) -> dict[str, Column]:

@@ -81,18 +81,25 @@ def domain_parts(host: Column) -> Column:
 
 
 def typosquat(domain: Column) -> Column:
-    """URL-15: nearest brand by edit distance, first brand wins ties."""
+    """URL-15: nearest brand by edit distance, first brand wins ties.
+
+    Only distances up to 2 count, so brands whose length differs by more are
+    left out, and the others are measured within a band of 2."""
     brands = lit_array(L.TYPOSQUAT_BRANDS)
-    best = F.array_min(F.transform(brands, lambda b, i: F.struct(F.levenshtein(domain, b).alias("d"), i.alias("i"))))
-    def body(bst):
-        d = bst["d"]
-        target = at(brands, bst["i"] + 1)
-        hit = (d > 0) & (d <= 2)
-        return F.struct(
-            F.when(hit, dbl(1.0) - d / F.greatest(F.length(domain), F.length(target))).otherwise(dbl(0.0)).alias("score"),
-            F.when(hit, target).alias("target"),
-        )
-    return let(best, body)
+
+    def body(x):
+        near = F.filter(brands, lambda b: F.abs(F.length(b) - x["n"]) <= 2)
+        found = F.transform(near, lambda b: F.struct(F.levenshtein(x["d"], b, 2).alias("d"), F.array_position(brands, b).alias("i"), b.alias("b")))
+        return let(F.array_min(F.filter(found, lambda f: f["d"] >= 0)), result(x["n"]))
+
+    def result(n):
+        def best(f):
+            hit = F.coalesce(f["d"] > 0, F.lit(False))
+            return F.struct(F.when(hit, dbl(1.0) - f["d"] / F.greatest(n, F.length(f["b"]))).otherwise(dbl(0.0)).alias("score"),
+                            F.when(hit, f["b"]).alias("target"))
+        return best
+
+    return let(F.struct(domain.alias("d"), F.length(domain).alias("n")), body)
 
 
 def _free_hosting(host: Column, registered: Column) -> Column:

@@ -19,6 +19,7 @@ from baitscope.functions import fusion as FU
 from baitscope.functions import semantic as S
 from baitscope.functions.headers import header_columns
 from baitscope.functions.html import html_columns
+from baitscope.functions.phrases import held_phrases
 from baitscope.functions.urls import analyze_urls, extract_urls, url_rollup
 
 c = F.col
@@ -44,11 +45,6 @@ def _opt(df: DataFrame, name: str, typ: str = "string"):
     return c(name) if name in df.columns else F.lit(None).cast(typ)
 
 
-@lru_cache(maxsize=32)
-def _raw_matches_expr(subject: str, body: str):
-    return S.raw_matches(S.analysis_text(c(subject), c(body)))
-
-
 @lru_cache(maxsize=32)
 def _semantic_exprs():
     return S.semantic_columns(c("_raw"))
@@ -67,7 +63,10 @@ def _structural_exprs(cols: EmailColumns, present: frozenset, relax_received: bo
 
 def semantic_stage(df: DataFrame, subject: str = "subject", body: str = "body_text") -> DataFrame:
     """LEX-01..16 columns added to ``df``."""
-    raw = df.withColumn("_raw", _raw_matches_expr(subject, body))
+    # Steps of their own, so that the text and the pass over it are made once.
+    text = df.withColumn("_text", S.analysis_text(c(subject), c(body)))
+    text = text.withColumn("_lower", F.lower("_text")).withColumn("_held", held_phrases(c("_lower")))
+    raw = text.withColumn("_raw", S.raw_matches(c("_text"), c("_lower"), c("_held"))).drop("_text", "_lower", "_held")
     cols = _semantic_exprs()
     out = raw.select("*", *[v.alias(k) for k, v in cols.items()]).drop("_raw")
     out = out.withColumn("semantic_score", S.combined_score(None))

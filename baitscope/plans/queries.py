@@ -7,8 +7,6 @@ compare exactly against the DuckDB twins in ``baitscope.plans.oracle``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from baitscope.operators import history as H
 from baitscope.operators import metrics as M
 from baitscope.operators import urls as U
 from baitscope.operators.scoring import EmailColumns, score_emails
-from baitscope.session import ensure_checkpoint_dir, table
+from baitscope.session import table
 from baitscope.sources import ocr as OCR
 from baitscope.resources import lexicons as L
 from baitscope.sources.fixtures import emails
@@ -28,20 +26,11 @@ SEP = " | "
 CATS = [n for n, _ in L.CATEGORIES]
 
 
-_SCORED: dict[tuple[str, str], str] = {}
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored emails, written once to a table in the shared folder for each
-    session and input; the queries over scores read their columns of it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SCORED:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scored-{uuid.uuid4().hex}"
-        # The header analysis adds a column of this name.
-        rows = emails(spark, sf_dir).withColumnRenamed("x_mailer", "raw_mailer")
-        score_emails(rows, EmailColumns(x_mailer="raw_mailer")).drop("body_html", "raw_mailer").write.parquet(path)
-        _SCORED[key] = path
-    return spark.read.parquet(_SCORED[key])
+    """The scored emails, as a plan: each query computes the columns that it reads."""
+    # The header analysis adds a column of this name.
+    rows = emails(spark, sf_dir).withColumnRenamed("x_mailer", "raw_mailer")
+    return score_emails(rows, EmailColumns(x_mailer="raw_mailer")).drop("body_html", "raw_mailer")
 
 
 def j(col) -> F.Column:

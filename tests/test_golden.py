@@ -139,3 +139,16 @@ def test_strict_brand_option(spark):
     loose = score_emails(df).first()
     strict = score_emails(df, strict_brands=True).first()
     assert loose.brand_mismatch_keyword == "best" and strict.brand_mismatch_keyword is None
+
+
+def test_phrase_pass_equals_substring_tests():
+    """The automaton finds what testing every phrase alone finds, overlaps and shared phrases included."""
+    import random
+
+    from baitscope.functions.phrases import LISTS, substrings
+    rng = random.Random(1)
+    words = [w for _, ps in LISTS for p in ps for w in p.split()]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(300)] + ["", None, "groups first irs irs1", "étéverify now日本"]
+    got = substrings(texts)
+    for (_, phrases), column in zip(LISTS, got, strict=True):
+        assert column == [[p for p in phrases if p in (t or "")] for t in texts]
