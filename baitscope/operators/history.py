@@ -1,8 +1,8 @@
 """Scan history, training samples, KPIs and exports (SNK-01..04, SRC-18,
 AGG-02..04, ORD-01..06).
 
-The history is an append-only table partitioned by ``scan_date``; every
-read below is a filter, a projection or a one-pass aggregate over it.
+Every read below is a filter, a projection or a one-pass aggregate over the
+history; ``history_table`` keeps it as files clustered by id.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ def scan_records(scored: DataFrame, input_type: str = "eml", time_col: str = "re
     """SNK-01: history rows from scored emails: whole subject, a 500-character
     preview of the body beside its SHA-256, JSON payloads, and the time of
     ``time_col`` (TIMESTAMP_NTZ in UTC, so it does not depend on the session
-    time zone)."""
+    time zone).  ``analysis_time_seconds`` is null until the rows are appended
+    to a ``HistoryTable``, which measures it."""
     ts = c(time_col)
+    embedded = c("embedding").isNotNull() if "embedding" in scored.columns else F.lit(False)
     raw = F.struct(
-        F.struct(c("semantic_score").alias("overall_score"), F.lit(False).alias("has_transformer_embedding"))
+        F.struct(c("semantic_score").alias("overall_score"), embedded.alias("has_transformer_embedding"))
         .alias("semantic"),
         F.struct(c("url_count"), c("url_score"), c("header_score"), c("html_score"),
                  c("spf_result").alias("spf"), c("dkim_result").alias("dkim"),
@@ -41,15 +43,10 @@ def scan_records(scored: DataFrame, input_type: str = "eml", time_col: str = "re
         "verdict", "confidence", "recommended_action", "explanation", "education_note",
         F.to_json(c("threat_indicators")).alias("threat_indicators"),
         F.to_json(raw).alias("raw_features"),
-        dbl(0.0).alias("analysis_time_seconds"),
+        F.lit(None).cast("double").alias("analysis_time_seconds"),
     )
 
 
-def append_scans(records: DataFrame, path: str) -> None:
-    """SNK-01 sink: append, partitioned by scan date."""
-    records.write.mode("append").partitionBy("scan_date").parquet(path)
-
-
 def indicator_score(json_col: str, key: str) -> F.Column:
     """AGG-03 value: ``{key: {score: x}}`` or ``{key: x}``; bad JSON gives 0."""
     v = F.try_parse_json(c(json_col))
@@ -96,7 +93,7 @@ def scan_by_id(history: DataFrame, scan_id: int) -> DataFrame:
 
 
 def delete_scan(history: DataFrame, scan_id: int) -> DataFrame:
-    """ORD-03: the table without one id (rewrite of the affected partition)."""
+    """ORD-03 as a filter: the rows without one id (``HistoryTable.delete`` rewrites the file that holds it)."""
     return history.filter(c("id") != scan_id)
 
 

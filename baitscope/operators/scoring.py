@@ -91,14 +91,16 @@ def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_recei
 
     Text input (no header block) is marked by a NULL hop count.  The rule
     vector and the 50-d structural vector are attached for the ML operators.
+    The heuristic is degraded where a row has no ``embedding``.
     """
     scored = structural_stage(semantic_stage(df, cols.subject, cols.body), cols, relax_received, strict_brands)
-    first, second, third = _fusion_exprs()
+    first, second, third = _fusion_exprs("embedding" in df.columns)
     return scored.select("*", *first).select("*", *second).select("*", *third)
 
 
-@lru_cache(maxsize=1)
-def _fusion_exprs():
+@lru_cache(maxsize=2)
+def _fusion_exprs(embeddings: bool):
+    embedded = c("embedding").isNotNull() if embeddings else F.lit(False)
     raw_conf = FU.heuristic_confidence(c("semantic_score"), c("url_score"), c("header_score"), c("html_score"))
     first = [
         FU.structural_score().alias("structural_score"),
@@ -110,7 +112,7 @@ def _fusion_exprs():
         FU.recommended_action(c("verdict"), c("confidence")).alias("recommended_action"),
         F.lit("heuristic").alias("method"),
         F.lit("heuristic").alias("feature_mode"),
-        F.lit(True).alias("degraded_mode"),
+        (~embedded).alias("degraded_mode"),
         FU.rule_vector().alias("rule_vector"),
         FU.structural_vector().alias("structural_vector"),
         *FU.indicator_flags(),

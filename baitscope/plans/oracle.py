@@ -530,6 +530,44 @@ _ORACLE_SELECT = {
 
 
 
+# ---------------------------------------------------------------------------
+# embedding modes
+# ---------------------------------------------------------------------------
+
+_EMB = ("emb AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS embedding FROM embeddings WHERE len(embedding) > 0 "
+        "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0 GROUP BY vec_id)")
+
+
+def _modes_sql() -> str:
+    plain, older, whole, reduced = "'rule_structural'", "'rule_only'", "'bert_structural'", "'pca_bert'"
+    cols = {"heuristic": ("'heuristic'", "NOT has"), "reduced": (f"CASE WHEN has THEN {reduced} ELSE {older} END", "NOT has"),
+            "degraded": (plain, "NOT has"), "older": (older, "true"), "padded": (older, "true"),
+            "whole": (f"CASE WHEN has THEN {whole} ELSE {plain} END", "NOT has")}
+    out = ", ".join(f"{m} AS {n}_mode, {d} AS {n}_degraded" for n, (m, d) in cols.items())
+    return f"WITH {_EMB} SELECT doc_id AS email_id, has, {out} FROM (SELECT doc_id, doc_id IN (SELECT vec_id FROM emb) AS has FROM documents)"
+
+
+def _vectors_sql() -> str:
+    rule, struct = f"[{', '.join(_rule_vec())}]", f"[{', '.join(_struct_vec())}]"
+
+    def fit(v, n):
+        return f"list_concat({v}, list_transform(range({n}), lambda i: {D(0)}))[1:{n}]"
+
+    def text(v):
+        return f"array_to_string(list_transform({v}, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',')"
+    wide = f"CASE WHEN embedding IS NOT NULL THEN list_concat(embedding, s) ELSE {fit('list_concat(r, s[1:20])', 114)} END"
+    return with_chain_plus(_EMB, f"SELECT email_id, {text('list_concat(r, s[1:20])')} AS degraded_40, {text(fit('list_concat(r, s)', 60))} AS older_60, "
+                           f"{text(fit('list_concat(r, s)', 84))} AS older_84, {text('w[1:64]')} AS whole_head, {text('w[65:114]')} AS whole_tail "
+                           f"FROM (SELECT *, {wide} AS w FROM (SELECT email_id, {rule} AS r, {struct} AS s FROM final) v LEFT JOIN emb ON vec_id = email_id)")
+
+
+# Scans of even emails first, then of odd ones, each by time and email.
+_SCANS = "(SELECT *, row_number() OVER (ORDER BY email_id % 2, email_id % (100 * 365 * 1440), email_id) AS id FROM final) scans"
+
+_FAILURES = ("SELECT reason, count(*) AS n_rows FROM (SELECT CASE WHEN doc_id % 10 IN (3, 7) THEN 'label' ELSE 'kept' END AS reason FROM documents) "
+             "GROUP BY reason")
+
+
 # ---------------------------------------------------------------------------
 # metrics, corpus, history and audit twins
 # ---------------------------------------------------------------------------
@@ -724,10 +762,13 @@ MORE_ORACLE = {
         PREDS, "SELECT 'verdict' AS kind, verdict AS value, count(*) AS n FROM preds GROUP BY verdict "
                "UNION ALL SELECT 'method', 'heuristic', count(*) FROM preds"),
     "run_summary": lambda: with_chain_plus(
-        PREDS, "SELECT count(*) AS n_total, count(*) AS n_degraded, 0::BIGINT AS n_errors, round(avg(confidence), 4) AS avg_confidence, "
+        PREDS, "SELECT count(*) AS n_total, count(*) FILTER (WHERE email_id NOT IN (SELECT vec_id FROM embeddings)) AS n_degraded, 0::BIGINT AS n_errors, round(avg(confidence), 4) AS avg_confidence, "
                "round(coalesce(avg(confidence) FILTER (WHERE pred = 1), 0.0::DOUBLE), 4) AS avg_conf_phishing, "
                "round(coalesce(avg(confidence) FILTER (WHERE pred = 0), 0.0::DOUBLE), 4) AS avg_conf_legit FROM preds"),
     "system_comparison": _system_sql,
+    "embedding_modes": _modes_sql,
+    "mode_vectors": _vectors_sql,
+    "training_failures": lambda: _FAILURES,
     "corpus_breakdown": lambda: (f"WITH {_CORPORA} SELECT corpus, count(*) AS total, CAST(sum(label) AS BIGINT) AS phishing, "
                                  "count(*) - CAST(sum(label) AS BIGINT) AS legit, "
                                  "round(CAST(sum(label) AS BIGINT) * 100.0::DOUBLE / count(*), 1) AS phishing_pct "
@@ -741,9 +782,10 @@ MORE_ORACLE = {
     "path_labels": lambda: _paths_sql(),
     "class_weights": lambda: with_chain(
         "SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight, true AS gate FROM emails GROUP BY label"),
-    "scan_lookup": lambda: with_chain(
-        "SELECT email_id AS id, verdict, 1::BIGINT AS n FROM final WHERE email_id = 17 UNION ALL "
-        "SELECT -1, 'left', count(*) FROM final WHERE email_id <> 17"),
+    "history_appended": lambda: with_chain(f"SELECT id, email_id, verdict, confidence, recommended_action FROM {_SCANS}"),
+    "scan_lookup": lambda: with_chain(f"SELECT id, verdict, 1::BIGINT AS n FROM {_SCANS} WHERE id = 18 "
+        f"UNION ALL SELECT id, verdict, 2::BIGINT FROM (SELECT * FROM {_SCANS} WHERE id <> 17 ORDER BY id DESC LIMIT 3) "
+        f"UNION ALL SELECT -1, 'left', count(*) FROM {_SCANS} WHERE id <> 17"),
     "history_page": lambda: with_chain("SELECT email_id AS id, verdict, confidence, recommended_action FROM final "
                                        "ORDER BY email_id DESC LIMIT 20 OFFSET 10"),
     "history_export": lambda: with_chain(_EXPORT),

@@ -7,16 +7,20 @@ compare exactly against the DuckDB twins in ``baitscope.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitscope.operators import audit as A
 from baitscope.operators import corpus as CO
+from baitscope.operators import embeddings as E
 from baitscope.operators import history as H
 from baitscope.operators import metrics as M
 from baitscope.operators import urls as U
+from baitscope.operators.history_table import HistoryTable
 from baitscope.operators.scoring import EmailColumns, score_emails
-from baitscope.session import table
+from baitscope.session import ensure_checkpoint_dir, table
 from baitscope.sources import ocr as OCR
 from baitscope.resources import lexicons as L
 from baitscope.sources.fixtures import emails
@@ -164,16 +168,81 @@ def distributions(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    """AGG-16/17."""
-    return M.run_summary(_preds(spark, sf_dir))
+    """AGG-16/17: degraded is a row without an embedding."""
+    return M.run_summary(M.predictions(_embedded(spark, sf_dir)))
+
+
+def _embedded(spark, sf_dir):
+    """JOI-08: emails with their embeddings (about half have one), scored."""
+    rows = E.join_embeddings(emails(spark, sf_dir).withColumnRenamed("x_mailer", "raw_mailer"), table(spark, sf_dir, "embeddings"))
+    return score_emails(rows, EmailColumns(x_mailer="raw_mailer")).drop("body_html", "raw_mailer")
+
+
+#: Lengths of models that an email's vector is asked for: none, reduced, degraded, older, and with whole embeddings.
+MODELS = {"heuristic": (False, None), "reduced": (True, 84), "degraded": (False, 40), "older": (False, 70), "padded": (False, 84), "whole": (False, 114)}
+
+
+def embedding_modes(spark, sf_dir):
+    """JOI-08, CLS-04, FUS-03: the mode of every email for each kind of model, and whether it is degraded."""
+    rows = _embedded(spark, sf_dir).select("email_id", c("embedding").isNotNull().alias("has"))
+    for name, (reduced, dims) in MODELS.items():
+        rows = rows.withColumn(name, E.feature_mode(c("has"), reduced, dims))
+    return rows.select("email_id", "has", *[c(f"{n}.{x}").alias(f"{n}_{x}") for n in MODELS for x in ("mode", "degraded")])
+
+
+def mode_vectors(spark, sf_dir):
+    """FUS-03, FUS-04: degraded vector (40), older vector cut to 60 and padded to 84, and embedding with structural features (114)."""
+    rows = _embedded(spark, sf_dir).withColumn("reduced", F.lit(None).cast("array<double>"))
+
+    def vec(name, dims):
+        reduced, length = MODELS[name]
+        return E.feature_vector(E.feature_mode(c("embedding").isNotNull(), reduced, length)["mode"], dims)
+
+    def text(v):
+        # Ten-thousandths as whole numbers, so that both engines write them alike.
+        return F.array_join(F.transform(v, lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+
+    return rows.select("email_id", text(vec("degraded", 40)).alias("degraded_40"), text(vec("older", 60)).alias("older_60"),
+                       text(vec("padded", 84)).alias("older_84"), text(F.slice(vec("whole", 114), 1, 64)).alias("whole_head"),
+                       text(F.slice(vec("whole", 114), 65, 50)).alias("whole_tail"))
+
+
+def training_failures(spark, sf_dir):
+    """CLS-13: rows whose label is not 0 or 1 are dropped from training and counted, among all rows."""
+    rows = _stored(scored(spark, sf_dir).select("email_id", "label", "rule_vector", "structural_vector"), "training")
+    rows = rows.withColumn("label", F.when(c("email_id") % 10 == 3, F.lit(2)).when(c("email_id") % 10 == 7, F.lit(None)).otherwise(c("label")))
+    kept, left_out = E.training_rows(rows)
+    return left_out.unionByName(kept.groupBy(F.lit("kept").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def _model_rows(spark, sf_dir):
+    """What training, scoring and evaluation read, computed once."""
+    return _stored(_embedded(spark, sf_dir).select(
+        "email_id", "label", "rule_vector", "structural_vector", "embedding", "semantic_score", "url_score", "header_score", "html_score",
+        "dominant_category", *L.INDICATOR_NAMES), "model-rows")
+
+
+def _trained(rows, **options):
+    """A model of the training split of (email_id, label, vectors, embedding)."""
+    keyed = rows.select(c("email_id").alias("row_id"), "label", "rule_vector", "structural_vector", "embedding")
+    return E.fit(CO.stratified_split(keyed).where("split = 'train'"), components=16, num_trees=50, max_depth=10, **options)
+
+
+def embedding_model_scores(spark, sf_dir):
+    """CLS-04/05/08, SNK-07 (rows-only): reduction and forest of the training split, stored, read back and applied to every email."""
+    rows = _model_rows(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    _trained(rows).save(path)
+    out = E.classify(rows, E.Model.load(spark, path))
+    return out.select("email_id", "label", "method", "feature_mode", "degraded_mode", "verdict", "confidence", "recommended_action")
 
 
 def mode_comparison(spark, sf_dir):
-    """AGG-20: default scoring vs the relaxed Received-chain option (HDR-07)."""
-    e = emails(spark, sf_dir)
-    full = M.evaluation_metrics(_preds(spark, sf_dir))
-    relaxed = M.evaluation_metrics(M.predictions(score_emails(e, relax_received=True)))
-    return M.mode_comparison(full, relaxed, "full", "relaxed")
+    """AGG-20 (rows-only): the model with embeddings against the pass without them."""
+    rows = _model_rows(spark, sf_dir)
+    model = _trained(rows)
+    full, plain = (M.evaluation_metrics(M.predictions(E.classify(x, model))) for x in (rows, E.without_embeddings(rows)))
+    return M.mode_comparison(full, plain, "full", "rule_only")
 
 
 def system_comparison(spark, sf_dir):
@@ -257,11 +326,41 @@ def class_weights(spark, sf_dir):
             .withColumn("gate", F.lit(gate["success"])))
 
 
+def _stored(df, name):
+    """The rows as a table of their own, for what is read several times."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _history_table(spark, sf_dir):
+    """SNK-01, WIN-06: the scans of even emails appended first, then those of odd ones."""
+    rows = _stored(_history(spark, sf_dir).withColumnRenamed("id", "email_id").select(
+        "email_id", "timestamp", "verdict", "confidence", "recommended_action", "analysis_time_seconds"), "scans")
+    history = HistoryTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}")
+    for batch in (0, 1):
+        history.append(rows.where(c("email_id") % 2 == batch), batch)
+    return history
+
+
+def history_appended(spark, sf_dir):
+    """SNK-01, WIN-06: surrogate ids after two appends."""
+    return _history_table(spark, sf_dir).read().select("id", "email_id", "verdict", "confidence", "recommended_action")
+
+
 def scan_lookup(spark, sf_dir):
-    """ORD-02, ORD-03: one scan by id, and the number of scans left without it."""
-    h = _history(spark, sf_dir)
-    left = H.delete_scan(h, 17).agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("id"), F.lit("left").alias("verdict"), "n")
-    return H.scan_by_id(h, 17).select("id", "verdict", F.lit(1).cast("long").alias("n")).union(left)
+    """ORD-02, ORD-03, ORD-01: two scans by id after one of them is deleted, the newest three, and the number of scans left."""
+    history = _history_table(spark, sf_dir)
+    history.delete(17)
+    left = history.read().agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("id"), F.lit("left").alias("verdict"), "n")
+    one = F.lit(1).cast("long").alias("n")
+    found = history.lookup(17).unionByName(history.lookup(18)).select("id", "verdict", one)
+    return found.union(history.page(3).select("id", "verdict", (one + 1).alias("n"))).union(left)
+
+
+def scan_throughput(spark, sf_dir):
+    """AGG-18 (rows-only): seconds and rate of each appended batch."""
+    return _history_table(spark, sf_dir).throughput()
 
 
 def _history(spark, sf_dir):
@@ -453,6 +552,10 @@ QUERIES = {
     "fn_by_category": fn_by_category,
     "distributions": distributions,
     "run_summary": run_summary,
+    "embedding_modes": embedding_modes,
+    "mode_vectors": mode_vectors,
+    "training_failures": training_failures,
+    "embedding_model_scores": embedding_model_scores,
     "mode_comparison": mode_comparison,
     "system_comparison": system_comparison,
     "corpus_breakdown": corpus_breakdown,
@@ -464,6 +567,8 @@ QUERIES = {
     "path_labels": path_labels,
     "class_weights": class_weights,
     "scan_lookup": scan_lookup,
+    "history_appended": history_appended,
+    "scan_throughput": scan_throughput,
     "scan_kpi": scan_kpi,
     "history_page": history_page,
     "history_export": history_export,
