@@ -204,13 +204,13 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
     the number of rows (draws: inverse CDF at every m, started ten standard
     deviations below the mean; uniforms come from a seeded hash)."""
     g = preds.groupBy("label", "predicted_label", c(score).alias("score")).agg(F.count("*").alias("m"))
-    g = g.withColumn("gid", F.xxhash64("label", "predicted_label", "score"))
     rep = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
 
-    def unif(salt):
-        h = F.xxhash64(c("gid"), c("b"), F.lit(seed), F.lit(salt))
-        return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rep = rep.withColumn("u1", unif(1))
+    # MD5 of seed, replicate and group: other engines draw the same numbers from it.
+    points = F.round(c("score") * 1_000_000_000).cast("long")
+    name = F.concat_ws(":", F.lit(str(seed)), *[x.cast("string") for x in (c("b"), c("label"), c("predicted_label"), points)])
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    rep = rep.withColumn("u1", u)
     m = c("m").cast("double")
     # Inverse CDF over the ten standard deviations around the mean (what lies outside has a probability under 1e-20).
     reach = 10 * F.sqrt(m) + 10

@@ -611,6 +611,31 @@ AUC = (f"{GSCORE}, g2 AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS
        f"CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM g2)")
 
 
+def _bootstrap_sql(n_boot: int = 1000, seed: int = 42) -> str:
+    """Poisson bootstrap: cumulative probabilities by group size, draws by their rank in it, metrics and percentiles by replicate."""
+    tp, tn, fp, fn = "CAST(tp AS DOUBLE)", "CAST(tn AS DOUBLE)", "CAST(fp AS DOUBLE)", "CAST(fn AS DOUBLE)"
+    f_ph, f_lg = _dv(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"), _dv(f"2 * {tn}", f"2 * {tn} + {fn} + {fp}")
+    hit = lambda y, p: f"CAST(sum(CASE WHEN label = {y} AND pred = {p} THEN w ELSE 0 END) AS BIGINT)"
+    extra = f"""{PREDS}, bg AS (SELECT label, pred, confidence AS score, count(*) AS m FROM preds GROUP BY ALL),
+bm AS (SELECT m, greatest(0, m - (10 * sqrt(m) + 10)) AS lo, m + 10 * sqrt(m) + 10 AS hi FROM (SELECT DISTINCT m FROM bg)),
+bk AS (SELECT m, unnest(range(CAST(floor(lo) AS BIGINT), CAST(ceil(hi) AS BIGINT))) AS k FROM bm),
+bc AS (SELECT m, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS cdf FROM bk),
+bl AS (SELECT m, min(k) AS lo, list(cdf ORDER BY k) AS cdfs FROM bc GROUP BY m),
+bu AS (SELECT label, pred, score, b, m, (CAST('0x' || substr(md5(concat_ws(':', '{seed}', b, label, pred, CAST(round(score * 1000000000) AS BIGINT))), 1, 13) AS BIGINT)
+    + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM bg, (SELECT unnest(range({n_boot})) AS b)),
+bw AS (SELECT bu.*, lo + len(list_filter(cdfs, lambda x: x < u)) AS w FROM bu JOIN bl USING (m)),
+bcm AS (SELECT b, {hit(1, 1)} AS tp, {hit(0, 0)} AS tn, {hit(0, 1)} AS fp, {hit(1, 0)} AS fn FROM bw GROUP BY b),
+bs AS (SELECT b, score, CAST(sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS BIGINT) AS pos, CAST(sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS BIGINT) AS neg
+    FROM bw GROUP BY b, score),
+bb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bs),
+ba AS (SELECT b, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg * {D(0.5)})) / (sum(pos) * sum(neg)) END AS roc_auc FROM bb GROUP BY b),
+bx AS (SELECT b, {_dv(f'{tp} + {tn}', f'{tp} + {tn} + {fp} + {fn}')} AS accuracy, ({f_ph} + {f_lg}) / 2 AS macro_f1, roc_auc,
+    {_dv(fp, f'{fp} + {tn}')} AS fpr, {_dv(fn, f'{fn} + {tp}')} AS fnr FROM bcm JOIN ba USING (b))"""
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS metric, round(quantile_cont({k}, 0.025), 4) AS ci_low, round(quantile_cont({k}, 0.975), 4) AS ci_high FROM bx"
+                              for k in ("accuracy", "macro_f1", "roc_auc", "fpr", "fnr"))
+    return with_chain_plus(extra, rows)
+
+
 def _preds_sql(select: str) -> str:
     return with_chain_plus(PREDS, select)
 
@@ -766,6 +791,7 @@ MORE_ORACLE = {
                "round(coalesce(avg(confidence) FILTER (WHERE pred = 1), 0.0::DOUBLE), 4) AS avg_conf_phishing, "
                "round(coalesce(avg(confidence) FILTER (WHERE pred = 0), 0.0::DOUBLE), 4) AS avg_conf_legit FROM preds"),
     "system_comparison": _system_sql,
+    "bootstrap_ci": _bootstrap_sql,
     "embedding_modes": _modes_sql,
     "mode_vectors": _vectors_sql,
     "training_failures": lambda: _FAILURES,

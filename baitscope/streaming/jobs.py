@@ -108,7 +108,9 @@ def rate_limit_stream(spark: SparkSession, req_dir: str, schema, out_dir: str, n
 
 def kpi_stream(spark: SparkSession, history_dir: str, schema, out_dir: str, name: str = "running_kpi"):
     """STR-04: running KPIs over the history stream.  The aggregate state is one
-    row of exact sums; each batch overwrites the one-row KPI table."""
+    row of exact sums; each batch publishes its one row under its own batch id,
+    which a replay overwrites, so readers (``latest_kpi``) never meet a table
+    that is being written."""
     src = spark.readStream.schema(schema).parquet(history_dir)
     n = F.count("*")
     agg = src.agg(n.alias("total_analyzed"),
@@ -124,25 +126,38 @@ def kpi_stream(spark: SparkSession, history_dir: str, schema, out_dir: str, name
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rate = F.round(c("phishing_count") / c("total_analyzed") * 100, 1)
-        batch.select("total_analyzed", "phishing_count", "suspicious_count", "legitimate_count", rate.alias("phishing_rate"),
-                     mean("confidence_sum").alias("avg_confidence"), *[mean(f"{k}_sum").alias(f"{k}_mean") for k in H.INDICATOR_KEYS]) \
-            .coalesce(1).write.mode("overwrite").parquet(out_dir)
+        row = batch.select("total_analyzed", "phishing_count", "suspicious_count", "legitimate_count", rate.alias("phishing_rate"),
+                     mean("confidence_sum").alias("avg_confidence"), *[mean(f"{k}_sum").alias(f"{k}_mean") for k in H.INDICATOR_KEYS])
+        _by_batch(row.withColumn("batch_id", F.lit(batch_id).cast("long")).coalesce(1), out_dir)
 
     return (agg.writeStream.foreachBatch(run).outputMode("complete")
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
 
 
+def latest_kpi(spark: SparkSession, out_dir: str) -> DataFrame:
+    """STR-04: the KPI row of the newest batch that was published whole."""
+    rows = spark.read.parquet(out_dir)
+    newest = rows.agg(F.max("batch_id").alias("_newest"))
+    return rows.join(newest, c("batch_id") == c("_newest")).drop("batch_id", "_newest")
+
+
 def retrain_trigger_stream(spark: SparkSession, samples_dir: str, schema, on_ready, min_samples: int = 6,
-                           name: str = "retrain"):
-    """STR-06: after each batch, check the accumulated samples (at least
-    ``min_samples`` rows and both classes) and call ``on_ready(samples)``."""
-    from baitscope.operators.ml import training_gate
+                           name: str = "retrain", max_files: int | None = None):
+    """STR-06: call ``on_ready(samples)`` after each batch once there are at
+    least ``min_samples`` samples and both classes.
+
+    The stream's state is one count for each label; the check reads those counts
+    and never the samples, which ``on_ready`` gets as a plan over the folder.  A
+    replayed batch calls it again."""
+    src = spark.readStream.schema(schema)
+    src = (src if max_files is None else src.option("maxFilesPerTrigger", max_files)).parquet(samples_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        all_samples = batch.sparkSession.read.schema(schema).parquet(samples_dir)
-        if training_gate(all_samples, min_samples)["success"]:
-            on_ready(all_samples)
+        n = {r["label"]: r["n"] for r in batch.collect()}  # one row a label
+        if sum(n.values()) >= min_samples and n.get(0) and n.get(1):
+            on_ready(batch.sparkSession.read.schema(schema).parquet(samples_dir))
 
-    src = spark.readStream.schema(schema).parquet(samples_dir)
-    return (src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
+    # Labels other than 0 and 1 count as samples of one further kind, so the state is three rows at most.
+    counts = src.groupBy(F.when(c("label").isin(0, 1), c("label")).alias("label")).agg(F.count("*").alias("n"))
+    return (counts.writeStream.foreachBatch(run).outputMode("complete").option("checkpointLocation", _ckpt(spark, name))
             .trigger(availableNow=True).start())

@@ -70,7 +70,38 @@ def test_kpi_stream(spark):
     out = os.path.join(d, "out")
     J.kpi_stream(spark, os.path.join(d, "in"), hist.schema, out, f"kpi{os.getpid()}").awaitTermination()
     want = scan_kpi(hist).first().asDict()
-    assert spark.read.parquet(out).first().asDict() == want
+    assert J.latest_kpi(spark, out).first().asDict() == want
+    # A newer version is being written beside it: readers see whole versions only, and the newest of them.
+    row = spark.read.parquet(out).withColumn("total_analyzed", F.lit(0).cast("long"))
+    J._by_batch(row.withColumn("batch_id", F.lit(7).cast("long")), out)
+    J._by_batch(row.withColumn("batch_id", F.lit(7).cast("long")), out)
+    assert [r.total_analyzed for r in J.latest_kpi(spark, out).collect()] == [0] and spark.read.parquet(out).count() == 2
+
+
+def test_retrain_trigger_keeps_counts(spark):
+    """Ready only with enough samples of both classes; counts are carried from batch to batch and over a restart."""
+    import time
+    d, name, ready = os.path.join(_scratch("retrain-"), "in"), f"retrain{os.getpid()}", []
+    schema = "id long, label int"
+
+    def add(labels):
+        spark.createDataFrame([(i, x) for i, x in enumerate(labels)], schema).coalesce(1).write.mode("append").parquet(d)
+        time.sleep(1.1)
+
+    def drain():
+        J.retrain_trigger_stream(spark, d, spark.read.schema(schema).parquet(d).schema, lambda s: ready.append(s.count()), 6, name, max_files=1).awaitTermination()
+
+    add([0, 0, 0, None])
+    add([0, 0, 0])
+    drain()
+    assert ready == []
+    add([1])
+    drain()
+    assert ready == [8]
+    add([1, 0])
+    add([0])
+    drain()
+    assert ready == [8, 11, 11]
 
 
 def test_times_beyond_int(spark):
