@@ -14,12 +14,18 @@ from baitscope.functions.html import strip_html_tags
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else None)
+
+
+def nfkc(s: Column | str) -> Column:
     """PRJ-01: Unicode NFKC (no built-in equivalent); Arrow-batched.
 
     NFKC folds compatibility forms (full-width letters, ligatures) but does
-    not map Cyrillic look-alikes to Latin."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) and x else ("" if x is not None else None))
+    not map Cyrillic look-alikes to Latin.  It leaves ASCII as it is, so only
+    other texts go to Python."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.coalesce(_nfkc(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
 
 
 # FIXED VALUES: label words (case-sensitive loader form, then the

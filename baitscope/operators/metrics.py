@@ -80,16 +80,37 @@ def score_label_counts(preds: DataFrame, score: str = "roc_score") -> DataFrame:
         F.count_if(c("label") == 1).alias("pos"), F.count_if(c("label") == 0).alias("neg"))
 
 
-def roc_auc(preds: DataFrame, score: str = "roc_score") -> DataFrame:
-    """AGG-10: ROC-AUC with tied scores averaged (Mann-Whitney); NaN with one class.
+#: Scores of one cell lie within one part in so many of a unit.
+SCORE_CELLS = 4096
+
+
+def _with_counts_before(g: DataFrame, descending: bool) -> DataFrame:
+    """Rows (score, pos, neg) with the counts before each in score order (pos_before, neg_before) and in all (P, N).
+
+    Sums run inside cells of neighbouring scores, on top of the sums of the
+    cells before; the one window over all of them sees a row for each cell
+    (about ``SCORE_CELLS`` for probabilities), never all distinct scores."""
+    def order(x: str) -> F.Column:
+        return c(x).desc() if descending else c(x).asc()
 
-    The window runs over distinct scores only (bounded by the score's
-    precision), not over predictions."""
-    g = score_label_counts(preds, score)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cell = F.when(F.isnan("score"), F.lit(1 << 53)).otherwise(F.floor(c("score") * SCORE_CELLS).cast("long"))
+    g = g.withColumn("_cell", cell)
+    before = Window.orderBy(order("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(order("_at")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = g.groupBy(c("_cell").alias("_at")).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    cells = cells.select("_at", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("_p", "_n")],
+                         F.sum("_p").over(every).alias("P"), F.sum("_n").over(every).alias("N"))
+    inside = Window.partitionBy("_cell").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = g.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"_{x}") for x in ("pos", "neg")])
+    return rows.join(cells, c("_cell").eqNullSafe(c("_at"))).select(
+        "score", "pos", "neg", (c("_pos") + c("_p_before")).alias("pos_before"), (c("_neg") + c("_n_before")).alias("neg_before"), "P", "N")
+
+
+def roc_auc(preds: DataFrame, score: str = "roc_score") -> DataFrame:
+    """AGG-10: ROC-AUC with tied scores averaged (Mann-Whitney); NaN with one class."""
+    g = _with_counts_before(score_label_counts(preds, score), descending=False)
     agg = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                F.sum(c("pos") * (c("neg_below") + c("neg") * dbl(0.5))).alias("U"))
+                F.sum(c("pos") * (c("neg_before") + c("neg") * dbl(0.5))).alias("U"))
     return agg.select(F.when((c("P") > 0) & (c("N") > 0), F.round(c("U") / (c("P") * c("N")), 4))
                       .otherwise(F.lit(float("nan"))).alias("roc_auc"),
                       c("P").alias("n_pos"), c("N").alias("n_neg"))
@@ -97,14 +118,10 @@ def roc_auc(preds: DataFrame, score: str = "roc_score") -> DataFrame:
 
 def roc_curve(preds: DataFrame, score: str = "roc_score") -> DataFrame:
     """AGG-12: (threshold, fpr, tpr) at every distinct score, highest first."""
-    g = score_label_counts(preds, score)
-    w = Window.orderBy(c("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(1))
-    g = g.select("score", F.sum("pos").over(w).alias("cum_pos"), F.sum("neg").over(w).alias("cum_neg"),
-                 F.sum("pos").over(tot).alias("P"), F.sum("neg").over(tot).alias("N"))
+    g = _with_counts_before(score_label_counts(preds, score), descending=True)
     return g.select(c("score").alias("threshold"),
-                    F.round(_div(c("cum_neg").cast("double"), c("N")), 6).alias("fpr"),
-                    F.round(_div(c("cum_pos").cast("double"), c("P")), 6).alias("tpr"))
+                    F.round(_div((c("neg_before") + c("neg")).cast("double"), c("N")), 6).alias("fpr"),
+                    F.round(_div((c("pos_before") + c("pos")).cast("double"), c("P")), 6).alias("tpr"))
 
 
 def indicator_fire_counts(preds: DataFrame) -> DataFrame:
