@@ -3,11 +3,18 @@
 Vectors are scaled to length one, rotated by a fixed random matrix and split into
 blocks of ``WIDTH`` coordinates.  Two vectors of cosine ``least`` or more have a
 squared distance of at most 2 - 2 * least; so in at least one block theirs is at
-most that block's proportional share.  Each block is range-joined on a grid over
-its first two coordinates: a vector stays in its cell and visits four of the eight
-cells around it, so each pair of near cells meets once.  A pair is taken up in the
+most that block's proportional share.  Each block is range-joined on the cells of
+pivots: a vector stays with its nearest pivot and visits the cells of later pivots
+that some vector within the share could lie in, so each pair of near vectors meets
+once.  That is decided exactly: the other vector is nearer to its own pivot than to
+any other, so this one lies at most the share's root beyond the plane between the two
+pivots, for each of the ``PLANES`` pivots nearest to it.  A pair is taken up in the
 first block within whose share it lies, and is checked there exactly.
 
+The pivots are a sample by hash, ``PIVOT_RATE`` for each square root of the number of
+vectors and at most ``MOST_PIVOTS``; they steer the work and never the result.  A
+length that no pivot has is one cell.
+
 Equal vectors of a label are one vector with a count.  Cells of more than
 ``CELL_ROWS`` vectors are dealt into chunks; what is compared with a chunk streams
 past it, so no task holds more than a chunk and a batch.  A task returns link counts
@@ -32,11 +39,17 @@ from baitscope.llm.common import stored, workers_import
 from baitscope.llm.graph import components, local_components
 
 LEAST, WIDTH, SEED = 0.98, 16, 11
+#: Pivots: for each square root of the number of vectors, at most, and nearest ones whose planes bound a visit.
+PIVOT_RATE, MOST_PIVOTS, PLANES = 24, 8192, 4
+#: Vectors placed among the pivots at a time.
+PLACED = 256
 #: Vectors of a chunk of a cell; vectors compared with it at a time.
 CELL_ROWS, SLAB = 4096, 512
 #: Guards the budget against rounding; the exact check decides.
 SLACK = 1e-9
-CELL = ["label", "d", "block", "c0", "c1"]
+#: The same for the distance to a plane; that between two pivots is a root, so exact to 1e-8 only.
+PLANE_SLACK = 1e-7
+CELL = ["label", "d", "block", "cell"]
 
 
 @lru_cache(maxsize=8)
@@ -62,31 +75,57 @@ def units(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """The vectors of least hash, by length; at most ``MOST_PIVOTS`` of them in all."""
+    most = min(MOST_PIVOTS, int(np.ceil(PIVOT_RATE * np.sqrt(vectors.count()))))
+    # k is a hash, so its least values are a sample.
+    raw = [np.array(v, "<f4") for v in vectors.orderBy("k").limit(most).toArrow().column("embedding").to_pylist()]
+    return {d: units([v.tobytes() for v in raw if len(v) == d]) for d in sorted({len(v) for v in raw})}
+
+
+def place(y: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest pivot, and which later pivots' cells hold points within ``r`` of it."""
+    if not len(p):
+        return np.zeros(len(y), np.int32), np.zeros((len(y), 0), bool)
+    size = (p ** 2).sum(axis=1)
+    away = (y ** 2).sum(axis=1)[:, None] + size - 2 * (y @ p.T)
+    home = away.argmin(axis=1)
+    visits = np.arange(len(p)) > home[:, None]
+    planes = min(PLANES, len(p))
+    for i in np.argpartition(away, planes - 1, axis=1)[:, :planes].T:
+        apart = np.sqrt(np.maximum(size[i][:, None] + size - 2 * (p[i] @ p.T), 0))
+        visits &= away - away[np.arange(len(y)), i][:, None] <= 2 * r * apart + PLANE_SLACK
+    return home.astype(np.int32), visits
+
+
 def cells(vectors: DataFrame, least: float) -> DataFrame:
-    """Each vector once for each block, with its grid cell; (k, label, m, embedding) in."""
+    """Each vector once for each block, with its cell and those it visits; (k, label, m, embedding) in."""
+    workers_import(vectors.sparkSession)
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots(vectors))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = {d: p @ rotation(d) for d, p in shared.value.items()}
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, PLACED):
+                batch = whole.slice(start, PLACED)
                 raw = [np.array(v, "<f4").tobytes() for v in batch.column("embedding").to_pylist()]
                 size = np.array([len(x) // 4 for x in raw])
                 for d in np.unique(size).tolist():
                     at = np.flatnonzero(size == d)
                     own = [raw[i] for i in at]
-                    x = units(own) @ rotation(d)
+                    x, p = units(own) @ rotation(d), turned.get(d, np.zeros((0, d)))
                     ids = pa.array(at)
                     for b, (lo, hi) in enumerate(bounds(d)):
-                        r = np.sqrt(budget(d, lo, hi, least))
-                        first = np.floor(x[:, lo] / r).astype(np.int32)
-                        second = np.floor(x[:, lo + 1] / r).astype(np.int32) if hi - lo > 1 else np.zeros(len(at), np.int32)
+                        home, visits = place(x[:, lo:hi], p[:, lo:hi], float(np.sqrt(budget(d, lo, hi, least))))
+                        ends = np.append(0, np.cumsum(visits.sum(axis=1))).astype(np.int32)
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("label").take(ids), pa.array(np.full(len(at), d, np.int32)),
-                             pa.array(np.full(len(at), b, np.int32)), pa.array(first), pa.array(second),
-                             batch.column("k").take(ids), batch.column("m").take(ids), pa.array(own, pa.binary())],
-                            [*CELL, "k", "m", "vec"])
+                             pa.array(np.full(len(at), b, np.int32)), pa.array(home),
+                             batch.column("k").take(ids), batch.column("m").take(ids), pa.array(own, pa.binary()),
+                             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(visits)[1].astype(np.int32)))],
+                            [*CELL, "k", "m", "vec", "visits"])
 
-    workers_import(vectors.sparkSession)
-    return vectors.mapInArrow(run, "label int, d int, block int, c0 int, c1 int, k long, m long, vec binary")
+    return vectors.mapInArrow(run, "label int, d int, block int, cell int, k long, m long, vec binary, visits array<int>")
 
 
 def meet(rows: DataFrame, least: float) -> DataFrame:
@@ -192,35 +231,48 @@ class Side:
             yield pa.RecordBatch.from_arrays([pa.array(ids[held]), pa.array(count[held]), pa.array(ids[label[held]])], ["k", "n", "other"])
 
 
-def link_rows(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """k, n, other of ``meet`` for distinct vectors (k, label, m, embedding)."""
+def meetings(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows that ``meet`` compares: vectors by cell and chunk, at home (role 0) or on a visit (1)."""
     c = F.col
     home = stored(cells(vectors, least), "cells")
-    crowded = stored(home.groupBy(*CELL).count().where(c("count") > cell_rows)
-                     .select(*CELL, F.ceil(c("count") / cell_rows * 1.25).cast("int").alias("chunks")), "crowded")
-    chunks = F.coalesce("chunks", F.lit(1))
-    own = home.join(crowded, CELL, "left").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("k"), chunks).cast("int")})
+    chunks = F.when(c("count") > cell_rows, F.ceil(c("count") / cell_rows * 1.25)).otherwise(1).cast("int")
+    occupied = stored(home.groupBy(*CELL).count().select(*CELL, chunks.alias("chunks")), "occupied")
+    own = home.join(occupied.where("chunks > 1"), CELL, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("k"), c("chunks")).cast("int"))
     stay = own.withColumn("role", F.lit(0))
     # In a dealt cell a vector also meets the chunks before its own.
     meets = own.where("chunk > 0").withColumns({"chunk": F.explode(F.sequence(F.lit(0), c("chunk") - 1)), "role": F.lit(1)})
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, -1), (1, 0), (1, 1), (0, 1))])
-    visits = (home.withColumn("step", F.explode(steps))
-              .withColumns({"c0": c("c0") + c("step.x"), "c1": c("c1") + c("step.y")}).drop("step")
-              .join(crowded, CELL, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-              .withColumn("role", F.lit(1)))
+    # A cell without vectors of the label is not visited.
+    visits = (home.withColumn("cell", F.explode("visits")).join(occupied, CELL)
+              .withColumns({"chunk": F.explode(F.sequence(F.lit(0), c("chunks") - 1)), "role": F.lit(1)}))
     names = [*CELL, "chunk", "role", "k", "m", "vec"]
-    return meet(stay.select(names).union(meets.select(names)).union(visits.select(names)), least)
+    return stay.select(names).union(meets.select(names)).union(visits.select(names))
+
+
+def link_rows(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """k, n, other of ``meet`` for distinct vectors (k, label, m, embedding)."""
+    return meet(meetings(vectors, least, cell_rows), least)
+
+
+def keyed(embeddings: DataFrame) -> DataFrame:
+    """vec_id, embedding, label, and k: the vector's key, null where it can link with nothing."""
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    return rows.withColumn("k", F.when(usable, F.xxhash64("label", "embedding")))
+
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """k, label, embedding, m (rows) and least_id of each vector."""
+    return rows.where("k IS NOT NULL").groupBy("k", "label", "embedding").agg(
+        F.count("*").alias("m"), F.min("vec_id").alias("least_id"))
 
 
 def near_vectors(embeddings: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     c = F.col
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(c("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("k", F.when(usable, F.xxhash64("label", "embedding")))
-    vectors = stored(rows.where("k IS NOT NULL").groupBy("k", "label", "embedding").agg(
-        F.count("*").alias("m"), F.min("vec_id").alias("least_id")), "vectors")
+    rows = keyed(embeddings)
+    vectors = stored(distinct_vectors(rows), "vectors")
     found = stored(link_rows(vectors.select("k", "label", "m", "embedding"), least, cell_rows), "vector-links")
     counts = found.groupBy("k").agg(F.sum("n").alias("n"))
     linked = components(found.select(c("k").alias("u"), c("other").alias("v")))

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from baitscope.llm import decontam, graph, probminhash, runindex, vecdup
 
@@ -259,6 +260,15 @@ def test_vectors(spark, cell_rows):
     assert vecdup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_cells_prune(spark):
+    vectors = vecdup.distinct_vectors(vecdup.keyed(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")))
+    met = vecdup.meetings(vectors.select("k", "label", "m", "embedding")).groupBy(*vecdup.CELL, "chunk").agg(
+        F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") == 1).alias("guests")).selectExpr(
+        "sum(own * (own - 1) / 2 + own * guests) AS pairs").first().pairs
+    every = vectors.groupBy("label").count().selectExpr("sum(count * (count - 1) / 2) AS pairs").first().pairs
+    assert met <= 0.1 * every
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (100, 102), (7, 7), (200, 150), (150, 170)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
