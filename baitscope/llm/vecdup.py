@@ -12,7 +12,7 @@ pivots, for each of the ``PLANES`` pivots nearest to it.  A pair is taken up in
 first block within whose share it lies, and is checked there exactly.
 
 The pivots are a sample by hash, ``PIVOT_RATE`` for each square root of the number of
-vectors and at most ``MOST_PIVOTS``; they steer the work and never the result.  A
+vectors within ``LEAST_PIVOTS`` and ``MOST_PIVOTS``; they steer the work and never the result.  A
 length that no pivot has is one cell.
 
 Equal vectors of a label are one vector with a count.  Cells of more than
@@ -39,16 +39,18 @@ from baitscope.llm.common import stored, workers_import
 from baitscope.llm.graph import components, local_components
 
 LEAST, WIDTH, SEED = 0.98, 16, 11
-#: Pivots: for each square root of the number of vectors, at most, and nearest ones whose planes bound a visit.
-PIVOT_RATE, MOST_PIVOTS, PLANES = 24, 8192, 4
+#: Pivots: at least (or all vectors), for each square root of the number of vectors, at most.
+LEAST_PIVOTS, PIVOT_RATE, MOST_PIVOTS = 1024, 4, 8192
+#: Nearest pivots whose planes bound a visit.
+PLANES = 4
 #: Vectors placed among the pivots at a time.
 PLACED = 256
 #: Vectors of a chunk of a cell; vectors compared with it at a time.
 CELL_ROWS, SLAB = 4096, 512
 #: Guards the budget against rounding; the exact check decides.
 SLACK = 1e-9
-#: The same for the distance to a plane; that between two pivots is a root, so exact to 1e-8 only.
-PLANE_SLACK = 1e-7
+#: The same for distances to pivots, which are in single precision.
+PIVOT_SLACK = 1e-5
 CELL = ["label", "d", "block", "cell"]
 
 
@@ -77,25 +79,29 @@ def units(raw: list[bytes]) -> np.ndarray:
 
 def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """The vectors of least hash, by length; at most ``MOST_PIVOTS`` of them in all."""
-    most = min(MOST_PIVOTS, int(np.ceil(PIVOT_RATE * np.sqrt(vectors.count()))))
+    most = max(LEAST_PIVOTS, min(MOST_PIVOTS, int(PIVOT_RATE * np.sqrt(vectors.count()))))
     # k is a hash, so its least values are a sample.
     raw = [np.array(v, "<f4") for v in vectors.orderBy("k").limit(most).toArrow().column("embedding").to_pylist()]
     return {d: units([v.tobytes() for v in raw if len(v) == d]) for d in sorted({len(v) for v in raw})}
 
 
-def place(y: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's nearest pivot, and which later pivots' cells hold points within ``r`` of it."""
+def place(y: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's nearest pivot; the rows and later pivots whose cells hold points within ``r`` of them."""
     if not len(p):
-        return np.zeros(len(y), np.int32), np.zeros((len(y), 0), bool)
-    size = (p ** 2).sum(axis=1)
-    away = (y ** 2).sum(axis=1)[:, None] + size - 2 * (y @ p.T)
+        return np.zeros(len(y), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    y, p = y.astype(np.float32), p.astype(np.float32)
+    away = (y ** 2).sum(axis=1)[:, None] + (p ** 2).sum(axis=1) - 2 * (y @ p.T)
     home = away.argmin(axis=1)
-    visits = np.arange(len(p)) > home[:, None]
+    # Nobody within r is further from its nearest pivot than this row from its own, plus r.
+    reach = (np.sqrt(np.maximum(away.min(axis=1), 0)) + 2 * r) ** 2 + PIVOT_SLACK
+    row, to = np.nonzero(away <= reach[:, None])
+    row, to = row[to > home[row]], to[to > home[row]]
     planes = min(PLANES, len(p))
-    for i in np.argpartition(away, planes - 1, axis=1)[:, :planes].T:
-        apart = np.sqrt(np.maximum(size[i][:, None] + size - 2 * (p[i] @ p.T), 0))
-        visits &= away - away[np.arange(len(y)), i][:, None] <= 2 * r * apart + PLANE_SLACK
-    return home.astype(np.int32), visits
+    for near in np.argpartition(away, planes - 1, axis=1)[:, :planes].T:
+        apart = np.sqrt(((p[near[row]] - p[to]) ** 2).sum(axis=1))
+        inside = away[row, to] - away[row, near[row]] <= 2 * r * apart + PIVOT_SLACK
+        row, to = row[inside], to[inside]
+    return home.astype(np.int32), row, to.astype(np.int32)
 
 
 def cells(vectors: DataFrame, least: float) -> DataFrame:
@@ -116,13 +122,13 @@ def cells(vectors: DataFrame, least: float) -> DataFrame:
                     x, p = units(own) @ rotation(d), turned.get(d, np.zeros((0, d)))
                     ids = pa.array(at)
                     for b, (lo, hi) in enumerate(bounds(d)):
-                        home, visits = place(x[:, lo:hi], p[:, lo:hi], float(np.sqrt(budget(d, lo, hi, least))))
-                        ends = np.append(0, np.cumsum(visits.sum(axis=1))).astype(np.int32)
+                        home, row, to = place(x[:, lo:hi], p[:, lo:hi], float(np.sqrt(budget(d, lo, hi, least))))
+                        ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("label").take(ids), pa.array(np.full(len(at), d, np.int32)),
                              pa.array(np.full(len(at), b, np.int32)), pa.array(home),
                              batch.column("k").take(ids), batch.column("m").take(ids), pa.array(own, pa.binary()),
-                             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(visits)[1].astype(np.int32)))],
+                             pa.ListArray.from_arrays(pa.array(ends), pa.array(to))],
                             [*CELL, "k", "m", "vec", "visits"])
 
     return vectors.mapInArrow(run, "label int, d int, block int, cell int, k long, m long, vec binary, visits array<int>")
@@ -235,16 +241,15 @@ def meetings(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROW
     """The rows that ``meet`` compares: vectors by cell and chunk, at home (role 0) or on a visit (1)."""
     c = F.col
     home = stored(cells(vectors, least), "cells")
-    chunks = F.when(c("count") > cell_rows, F.ceil(c("count") / cell_rows * 1.25)).otherwise(1).cast("int")
-    occupied = stored(home.groupBy(*CELL).count().select(*CELL, chunks.alias("chunks")), "occupied")
-    own = home.join(occupied.where("chunks > 1"), CELL, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("k"), c("chunks")).cast("int"))
+    crowded = stored(home.groupBy(*CELL).count().where(c("count") > cell_rows)
+                     .select(*CELL, F.ceil(c("count") / cell_rows * 1.25).cast("int").alias("chunks")), "crowded")
+    chunks = F.coalesce("chunks", F.lit(1))
+    own = home.join(crowded, CELL, "left").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("k"), chunks).cast("int")})
     stay = own.withColumn("role", F.lit(0))
     # In a dealt cell a vector also meets the chunks before its own.
     meets = own.where("chunk > 0").withColumns({"chunk": F.explode(F.sequence(F.lit(0), c("chunk") - 1)), "role": F.lit(1)})
-    # A cell without vectors of the label is not visited.
-    visits = (home.withColumn("cell", F.explode("visits")).join(occupied, CELL)
-              .withColumns({"chunk": F.explode(F.sequence(F.lit(0), c("chunks") - 1)), "role": F.lit(1)}))
+    visits = (home.withColumn("cell", F.explode("visits")).join(crowded, CELL, "left")
+              .withColumns({"chunk": F.explode(F.sequence(F.lit(0), chunks - 1)), "role": F.lit(1)}))
     names = [*CELL, "chunk", "role", "k", "m", "vec"]
     return stay.select(names).union(meets.select(names)).union(visits.select(names))
 
