@@ -77,6 +77,12 @@ def units(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def turned_units(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors and, behind each, its rotation."""
+    x = units(raw)
+    return np.hstack([x, x @ rotation(x.shape[1])])
+
+
 def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """The vectors of least hash, by length; at most ``MOST_PIVOTS`` of them in all."""
     most = max(LEAST_PIVOTS, min(MOST_PIVOTS, int(PIVOT_RATE * np.sqrt(vectors.count()))))
@@ -141,32 +147,39 @@ def meet(rows: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, home = None, None
         for whole in batches:
-            ids = list(zip(*(whole.column(c).to_pylist() for c in key), strict=True))
             roles = whole.column("role").to_numpy()
+            ids = np.stack([whole.column(x).to_numpy() for x in key])
             k, m = whole.column("k").to_numpy(), whole.column("m").to_numpy()
-            vec = whole.column("vec")
             # Runs of one cell and chunk; those of a chunk come before what visits it.
-            start = 0
-            while start < len(ids):
-                end = start + 1
-                while end < len(ids) and ids[end] == ids[start] and end - start < CELL_ROWS and (roles[end] > 0) == (roles[start] > 0):
-                    end += 1
-                part = Side(k[start:end], m[start:end], units(vec.slice(start, end - start).to_pylist()), least, ids[start][2])
-                new = ids[start] != at
-                if roles[start] > 0:
-                    if not new and home is not None:
-                        yield from part.against(home)
-                else:
-                    yield from part.within()
-                    if new or home is None:
-                        home = part
+            new_run = (ids[:, 1:] != ids[:, :-1]).any(axis=0) | (np.diff(roles) != 0)
+            cuts = np.concatenate(([0], np.flatnonzero(new_run) + 1, [whole.num_rows])).tolist()
+            of_d = ids[key.index("d")]
+            d_cuts = np.concatenate(([0], np.flatnonzero(np.diff(of_d)) + 1, [whole.num_rows])).tolist()
+            # All vectors of a stretch of one length are turned at once.
+            x: list[np.ndarray] = []
+            for start, end in zip(d_cuts[:-1], d_cuts[1:], strict=True):
+                if end > start:
+                    x.extend(turned_units(whole.column("vec").slice(start, end - start).to_pylist()))
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                for start in range(first, last, CELL_ROWS):
+                    end = min(start + CELL_ROWS, last)
+                    own = tuple(ids[:, start].tolist())
+                    part = Side(k[start:end], m[start:end], np.stack(x[start:end]), least, own[2])
+                    new = own != at
+                    if roles[start] > 0:
+                        if not new and home is not None:
+                            yield from part.against(home)
                     else:
-                        # A cell's own vectors that came in more than one batch; a chunk's size bounds them.
-                        yield from part.against(home)
-                        home = home.joined(part)
-                if new and roles[start] > 0:
-                    home = None
-                at, start = ids[start], end
+                        yield from part.within()
+                        if new or home is None:
+                            home = part
+                        else:
+                            # A cell's own vectors that came in more than one batch; a chunk's size bounds them.
+                            yield from part.against(home)
+                            home = home.joined(part)
+                    if new and roles[start] > 0:
+                        home = None
+                    at = own
 
     workers_import(rows.sparkSession)
     dealt = rows.repartition(*key).sortWithinPartitions(*key, "role", "k")
@@ -174,22 +187,23 @@ def meet(rows: DataFrame, least: float) -> DataFrame:
 
 
 class Side:
-    """Vectors of one cell, ready to be compared."""
+    """Vectors of one cell, ready to be compared; ``x`` holds the unit vectors, then the rotated ones."""
 
     def __init__(self, k: np.ndarray, m: np.ndarray, x: np.ndarray, least: float, block: int) -> None:
-        self.k, self.m, self.x, self.least, self.block = k, m, x, least, block
-        self.turned = x @ rotation(x.shape[1])
-        self.cuts = bounds(x.shape[1])[:block + 1]
-        self.lengths = [(self.turned[:, lo:hi] ** 2).sum(axis=1) for lo, hi in self.cuts]
+        self.k, self.m, self.both, self.least, self.block = k, m, x, least, block
+        d = x.shape[1] // 2
+        self.x, self.turned = x[:, :d], x[:, d:]
+        self.cuts = bounds(d)[:block + 1]
 
     def joined(self, more: Side) -> Side:
-        return Side(np.append(self.k, more.k), np.append(self.m, more.m), np.vstack([self.x, more.x]), self.least, self.block)
+        return Side(np.append(self.k, more.k), np.append(self.m, more.m), np.vstack([self.both, more.both]), self.least, self.block)
 
     def _near(self, a: slice, other: Side, b: slice, block: int) -> np.ndarray:
         lo, hi = self.cuts[block]
         most = budget(self.x.shape[1], lo, hi, self.least)
-        gap = self.lengths[block][a, None] + other.lengths[block][None, b]
-        return gap - 2 * (self.turned[a, lo:hi] @ other.turned[b, lo:hi].T) <= most
+        mine, theirs = self.turned[a, lo:hi], other.turned[b, lo:hi]
+        gap = (mine ** 2).sum(axis=1)[:, None] + (theirs ** 2).sum(axis=1)
+        return gap - 2 * (mine @ theirs.T) <= most
 
     def links(self, a: slice, other: Side, b: slice) -> np.ndarray:
         """Which pairs lie within this block's share, within no earlier block's, and are near enough."""
