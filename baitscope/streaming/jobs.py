@@ -9,9 +9,13 @@ query or a lost executor resumes from the last committed batch.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from baitscope.operators import audit as A
 from baitscope.operators import history as H
@@ -19,6 +23,8 @@ from baitscope.operators.scoring import score_emails
 from baitscope.session import ensure_checkpoint_dir
 
 c = F.col
+#: Tasks over which the submissions of one body hash are dealt.
+SALTS = 16
 
 
 def _ckpt(spark: SparkSession, name: str) -> str:
@@ -84,6 +90,82 @@ def quarantine_stream(spark: SparkSession, subs_dir: str, schema, out_dir: str,
             .trigger(availableNow=True).start())
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first (timestamp, id) of each body hash of a task's rows, so that a hash is shuffled once a task."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        rows = rows.sort_by([("timestamp", "ascending"), ("id", "ascending")])
+        kept = rows.group_by("body_hash", use_threads=False).aggregate([("timestamp", "first"), ("id", "first")])
+        kept = kept.rename_columns([x.removesuffix("_first") for x in kept.column_names]).select(batch.schema.names)
+    if kept is not None:
+        yield from kept.to_batches()
+
+
+def _hold_first(expiry_ms: int | None):
+    """Keyed state of a body hash: the submission that is held for it."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = min((t, i) for f in frames for t, i in zip(f["timestamp"], f["id"], strict=True))
+        if not state.exists:
+            state.update((int(first[1]),))
+            yield pd.DataFrame({"body_hash": [key[0]], "timestamp": [first[0]], "id": [first[1]]})
+        if expiry_ms is not None:
+            state.setTimeoutDuration(expiry_ms)
+
+    return step
+
+
+def held_stream(spark: SparkSession, subs_dir: str, schema, out_dir: str, name: str = "held",
+                max_files: int | None = None, expiry_ms: int | None = None):
+    """STR-02 on keyed state: appends (body_hash, timestamp, id) of each submission that is held, the first flagged
+    one of its hash.
+
+    A batch looks up the hashes that are in it and no others, in Spark's state store.  Flagged rows are cut to the
+    first of each hash within a task before they are shuffled, so a hash with a third of all rows sends one row a
+    task.  With ``expiry_ms`` a hash is forgotten when it was not flagged for so long (processing time); its next
+    flagged submission is held again.  A replayed batch starts from the state before it."""
+    src = spark.readStream.schema(schema)
+    src = (src if max_files is None else src.option("maxFilesPerTrigger", max_files)).parquet(subs_dir)
+    keys = "body_hash string, timestamp timestamp, id long"
+    flagged = (src.where((c("submitted_label") == 0) & (c("confidence_raw") > A.FLAG_CONFIDENCE))
+               .select("body_hash", c("timestamp").cast("timestamp").alias("timestamp"), c("id").cast("long").alias("id")))
+    timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    held = flagged.mapInArrow(_firsts, keys).groupBy("body_hash").applyInPandasWithState(
+        _hold_first(expiry_ms), keys, "held long", "append", timeout)
+    writer = (held.writeStream.format("parquet").option("path", out_dir).outputMode("append")
+              .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True))
+    # With a timeout Spark would run batches without rows for ever; a stream keeps the setting that it starts with.
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def audited_labels(subs: DataFrame, held: DataFrame) -> DataFrame:
+    """Submissions against the rows of ``held_stream``: flagged, held, confirmed at insert (flagged, and another one of
+    its hash is held), pending (flagged, and the stream has not come to its hash).
+
+    With expiry a hash may have several held rows; ``held`` is one row for each hash, or for each time it was held."""
+    first = held.groupBy("body_hash").agg(F.collect_set(F.struct(c("timestamp"), c("id"))).alias("_held"))
+    # A hash may have a third of the submissions: it is dealt over SALTS tasks, its one row copied to each.
+    salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = subs.withColumns({
+        "suspicious_flagged": F.coalesce((c("submitted_label") == 0) & (c("confidence_raw") > A.FLAG_CONFIDENCE), F.lit(False)),
+        "_salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
+    own = F.struct(c("timestamp").cast("timestamp").alias("timestamp"), c("id").cast("long").alias("id"))
+    joined = rows.join(salted, ["body_hash", "_salt"], "left")
+    is_held = c("suspicious_flagged") & F.coalesce(F.array_contains("_held", own), F.lit(False))
+    return joined.withColumns({"held": is_held, "pending": c("suspicious_flagged") & c("_held").isNull()}).withColumn(
+        "confirmed_at_insert", c("suspicious_flagged") & ~c("held") & ~c("pending")).drop("_salt", "_held")
+
+
 def confirmed_labels(audited: DataFrame) -> DataFrame:
     """JOI-07: a flagged row is confirmed once its hash was flagged again, at its insert or later."""
     often = audited.filter("suspicious_flagged").groupBy("body_hash").agg(F.count("*").alias("_n")).where("_n >= 2")
