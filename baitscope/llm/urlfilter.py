@@ -136,7 +136,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: in
     rows = rows.withColumns({"rule": rule, "decided": verdict})
     urls = rows.groupBy("url").agg(F.max("decided").alias("verdict"))
     # Each URL becomes a row for each character; dealt by count, as its bytes say nothing about that.
-    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("url"))
     scores = stored(url_scores(urls, order), "url-scores")
     classes = {r["sign"] for r in scores.where("kind != 0").select(F.signum("kind").alias("sign")).distinct().collect()}
     least = threshold(scores) if len(classes) == 2 else None
