@@ -15,11 +15,21 @@ least ``SHARE`` of the item's windows, or of those with ``LITERALS`` words, as a
 question asked again can match no others.
 
 Document windows pass a bitmap of the benchmark's window hashes (a fixed 2**22 bits,
-however large the benchmark) before they are joined; the join decides.
+however large the benchmark) before they are joined; the join decides.  Windows that
+many items share make no rows of documents times items:
+
+* Items of one template, with equal slots at the same places, are a class.  They differ
+  only in windows that hold a slot as it is; all else of a class is joined once.  A class
+  whose common windows suffice contaminates with all its items.  Where they do not but
+  the slots of some items might, those items are looked at one by one.
+* A document that covers ``SHARE`` of the windows covers one of the rarest
+  1 - ``SHARE`` of them.  Only these are joined to find documents and classes that may
+  meet, so a common first sentence meets nothing unless it is half of an item.
 
 Edge cases: an item of fewer than ``LITERALS`` tokens is never matched, one of fewer
 than ``WINDOW`` tokens is a single shorter window; null and empty texts match
-nothing; equal items are one item, named by the smallest id; an empty benchmark
+nothing; equal items are one item and items of one class are reported together, each named by
+the smallest id; an empty benchmark
 flags nothing; repeated rows get the same result.
 """
 
@@ -32,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baitscope.llm.common import arrow_map, pieces, stored, workers_import
@@ -149,13 +159,15 @@ def agreeing(matches: list[dict]) -> list[int]:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Every window of each distinct item, as it is and as a template.
 
-    item_id, size, total (windows of the item), wordy (those with ``LITERALS`` words), place, good (it is one of
-    these), typed (as a template), h, filled and spots (slot values of a template, and their places in the item).
+    item_id, class_id (smallest item of the class), members (items of the class), size, total (windows of the item),
+    wordy (those with ``LITERALS`` words), place, good (it is one of these), typed (as a template), own (as it is, with
+    slots: not all of the class have it), h, filled and spots (the slots of a template, equal ones with equal numbers, and
+    their places in the item).
     """
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("text IS NOT NULL")
-    names = ["item_id", "size", "total", "wordy", "place", "good", "typed", "h", "filled", "spots"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()),
-             pa.list_(pa.int32())]
+    names = ["item_id", "form", "size", "total", "wordy", "place", "good", "typed", "own", "h", "filled", "spots"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(),
+             pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -167,21 +179,47 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     continue
                 plain, typed, words = windows(value, kind, size)
                 wordy = int((words >= LITERALS).sum())
+                numbers: dict[int, int] = {}
+                slot = np.array([-1 if k == LITERAL else numbers.setdefault(v, len(numbers))
+                                 for v, k in zip(value.tolist(), kind.tolist(), strict=True)], np.int64)
+                shape = np.where(kind == LITERAL, value, PLACE[kind]).tobytes() + slot.tobytes()
+                form = xxhash.xxh3_128_digest(shape)
                 for at in range(len(plain)):
-                    good = bool(words[at] >= LITERALS)
-                    rows = [(False, int(plain[at].view(np.int64)), [], [])]
-                    if good and words[at] < size:
-                        rows.append((True, int(typed[at].view(np.int64)), slots(value, kind, at, size),
-                                     (at + np.flatnonzero(kind[at:at + size] != LITERAL)).tolist()))
+                    good, slotted = bool(words[at] >= LITERALS), bool(words[at] < size)
+                    rows = [(False, slotted, int(plain[at].view(np.int64)), [], [])]
+                    if good and slotted:
+                        spots = at + np.flatnonzero(kind[at:at + size] != LITERAL)
+                        rows.append((True, False, int(typed[at].view(np.int64)), slot[spots].tolist(), spots.tolist()))
                     for row in rows:
-                        for column, x in zip(out, (item, size, len(plain), wordy, at, good, *row), strict=True):
+                        for column, x in zip(out, (item, form, size, len(plain), wordy, at, good, *row), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
     workers_import(benchmark.sparkSession)
-    schema = ("item_id long, size int, total int, wordy int, place int, good boolean, typed boolean, h long, filled array<long>, "
-              "spots array<int>")
-    return stored(items.mapInArrow(run, schema), "benchmark")
+    schema = ("item_id long, form binary, size int, total int, wordy int, place int, good boolean, typed boolean, own boolean, h long, "
+              "filled array<long>, spots array<int>")
+    rows = stored(items.mapInArrow(run, schema), "benchmark")
+    # One row an item has place 0 as it is.
+    classes = rows.where("place = 0 AND NOT typed").groupBy("form").agg(F.min("item_id").alias("class_id"), F.count("*").alias("members"))
+    return stored(rows.join(classes, "form").drop("form"), "benchmark")
+
+
+def needed(n: Column, share: float) -> Column:
+    """The least number of ``n`` windows that is at least ``share`` of them, or one less where rounding might decide."""
+    return F.greatest(F.ceil(n * share - 1e-9), F.lit(1))
+
+
+def rarest(bench: DataFrame, share: float) -> DataFrame:
+    """class_id, typed, h of the windows of which every document that covers ``share`` of a class's windows has one."""
+    c = F.col
+    common = bench.groupBy("typed", "h").agg(F.count("*").alias("n"))
+    # A place is as common as its most common window; the window function sees the places of one item.
+    places = bench.join(common, ["typed", "h"]).groupBy("class_id", "total", "wordy", "place", "good").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("class_id").orderBy("n", "place").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.select("*", F.count("*").over(order).alias("rank"), F.count_if("good").over(order).alias("good_rank"))
+    kept = places.where((c("rank") <= c("total") - needed(c("total"), share) + 1)
+                        | (c("good") & (c("good_rank") <= c("wordy") - needed(c("wordy"), share) + 1)))
+    return bench.join(kept.select("class_id", "place"), ["class_id", "place"]).select("class_id", "typed", "h").distinct()
 
 
 def document_windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
@@ -221,41 +259,65 @@ def document_windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray) -> D
 
 
 def agreed(aligned: DataFrame) -> DataFrame:
-    """key, item_id, total, wordy, place, good of the agreeing windows of alignments (key, item_id, total, wordy, matches)."""
+    """The agreeing windows of alignments (key, class_id, members, total, wordy, matches), as rows with place, good and sure."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [agreeing(matches) for matches in batch.column("matches").to_pylist()]
             of = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
-            place = pa.array([x for p in places for x in p], pa.int32())
+            place, yes = pa.array([x for p in places for x in p], pa.int32()), pa.array([True] * sum(map(len, places)), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(of) for k in range(4)] + [place, pa.array([True] * len(place), pa.bool_())],
-                [*batch.schema.names[:4], "place", "good"])
+                [batch.column(k).take(of) for k in range(5)] + [place, yes, yes], [*batch.schema.names[:5], "place", "good", "sure"])
 
-    return aligned.mapInArrow(run, "key long, item_id long, total int, wordy int, place int, good boolean")
+    return aligned.mapInArrow(run, "key long, class_id long, members long, total int, wordy int, place int, good boolean, sure boolean")
+
+
+def share_of(places: Column, good: Column) -> Column:
+    """Share of the windows at ``places``, or of those with ``LITERALS`` words at ``good``."""
+    return F.greatest(F.size(places) / F.col("total"), F.size(good) / F.nullif(F.col("wordy"), F.lit(0)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """key, n_items, items, share of contaminated documents; ``key`` is ``document_key``."""
+    """key, n_items, items, share of contaminated documents; ``key`` is ``document_key``.
+
+    ``n_items`` counts items; ``items`` has the smallest item of each of their classes.  ``share`` is that of the class's
+    common windows where these suffice and the class has other items.
+    """
     c = F.col
     bench = benchmark_windows(benchmark)
     sizes = [r["size"] for r in bench.select("size").distinct().collect()]
-    # At most 2**BITS numbers.
-    marked = [r["b"] for r in bench.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().collect()]
+    # At most 2**BITS numbers, 8 bytes each.
+    marked = bench.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().toArrow()["b"].to_numpy()
     bits = np.zeros(1 << BITS, bool)
-    bits[np.array(marked, np.int64)] = True
+    bits[marked] = True
     bitmap = np.packbits(bits, bitorder="little")
     rows = docs.select(document_key().alias("key"), "text").where("text IS NOT NULL")
-    met = stored(document_windows(rows, sizes, bitmap).join(bench, ["typed", "h"]).where(F.size("found") == F.size("filled")), "met")
-    item = ["key", "item_id", "total", "wordy"]
+    found = stored(document_windows(rows, sizes, bitmap), "found")
+    of_class = ["class_id", "members", "total", "wordy"]
+    shapes = bench.select(*of_class, "place", "good", "typed", "own", "h", "filled", "spots").distinct()
+    maybe = found.select("key", "typed", "h").join(rarest(bench, share), ["typed", "h"]).select("key", "class_id").distinct()
+    met = stored(maybe.join(shapes, "class_id").join(found, ["key", "typed", "h"]).where(F.size("found") == F.size("filled")), "met")
+
+    pair = ["key", *of_class]
     # An alignment has at most one match for each place of the item.
-    aligned = met.where("typed").groupBy(*item, (c("at") - c("place")).alias("offset")).agg(
+    aligned = met.where("typed").groupBy(*pair, (c("at") - c("place")).alias("offset")).agg(
         F.collect_set(F.struct("place", "spots", "filled", "found")).alias("matches"))
-    covered = met.where("NOT typed").select(*item, "place", "good").union(agreed(aligned.select(*item, "matches")))
-    of_all = F.size(F.collect_set("place")) / c("total")
-    of_wordy = F.size(F.collect_set(F.when(c("good"), c("place")))) / F.nullif(c("wordy"), F.lit(0))
-    hits = covered.groupBy(*item).agg(F.greatest(of_all, of_wordy).alias("share")).where(c("share") >= share)
-    return hits.groupBy("key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"),
-                                   F.max("share").alias("share"))
+    plain = met.where("NOT typed").select(*pair, "place", "good", (~c("own") | (c("members") == 1)).alias("sure"))
+    covered = plain.union(agreed(aligned.select(*pair, "matches"))).groupBy(*pair).agg(
+        *[F.collect_set(F.when(when, c("place"))).alias(name) for name, when in
+          {"places": c("sure"), "wordy_places": c("sure") & c("good"), "all_places": F.lit(True), "all_wordy": c("good")}.items()])
+    covered = stored(covered.withColumns({"share": share_of(c("places"), c("wordy_places")),
+                                          "most": share_of(c("all_places"), c("all_wordy"))}), "covered")
+    whole = covered.where(c("share") >= share).select("key", "class_id", c("members").alias("n"), "share")
+    # The others count with the items' own windows, which join the few items that have them.
+    own = met.where("own").select("key", "class_id", "place", "good", "h").distinct().join(
+        covered.where((c("share") < share) & (c("most") >= share)).select(*pair, "places", "wordy_places"), ["key", "class_id"])
+    own = own.join(bench.where("own").select("class_id", "place", "h", "item_id"), ["class_id", "place", "h"])
+    single = own.groupBy(*pair, "item_id", "places", "wordy_places").agg(
+        F.collect_set("place").alias("more"), F.collect_set(F.when(c("good"), c("place"))).alias("more_wordy"))
+    single = single.withColumn("share", share_of(F.array_union("places", "more"), F.array_union("wordy_places", "more_wordy")))
+    single = single.where(c("share") >= share).groupBy("key", "class_id").agg(F.count("*").alias("n"), F.max("share").alias("share"))
+    return whole.union(single).groupBy("key").agg(
+        F.sum("n").alias("n_items"), F.array_sort(F.collect_set("class_id")).alias("items"), F.max("share").alias("share"))
 
 
 def document_key():
@@ -264,7 +326,7 @@ def document_key():
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, contaminated, n_items, items, share for every row of (doc_id, text)."""
+    """doc_id, contaminated, n_items, items, share (as ``contaminated`` has them) for every row of (doc_id, text)."""
     rows = docs.select("doc_id", "text")
     hits = stored(contaminated(rows, benchmark, share), "contaminated")
     out = rows.select("doc_id", document_key().alias("key")).join(hits, "key", "left")

@@ -337,6 +337,40 @@ def test_a_contradiction_costs_only_its_windows(spark):
     assert got == {1: [1], 2: [1], 3: [2], 4: [2], 5: []}
 
 
+def test_items_of_one_template_are_one_class(spark):
+    question = "If Alice buys {} apples for {} km each and Bob gives Alice {} more, how many dollars does Alice spend on them?"
+    n = 300
+    bench = spark.createDataFrame([(k, question.format(k + 2, 3 * k + 700, 5 * k + 9000)) for k in range(n)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "so " + question.format(k + 2, 7 * k + 1, 11 * k + 2) + " yes") for k in range(n)], "doc_id long, text string")
+    got = decontam.flag(docs, bench).collect()
+    assert len(got) == n and {(r.contaminated, r.n_items, tuple(r["items"])) for r in got} == {(True, n, (0,))}
+    assert decontam.benchmark_windows(bench).select("class_id").distinct().count() == 1
+
+
+def test_items_of_one_class_with_few_words(spark):
+    """Only the item with the document's own numbers counts; equal slots make another class."""
+    lines = [" ".join(str((13 * k + j * j) % 9973) for j in range(1, 25)) for k in range(40)]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(lines)] + [(90, " ".join(["7"] * 24))], "item_id long, text string")
+    half = " ".join(lines[3].split()[:12] + lines[8].split()[12:])
+    docs = spark.createDataFrame([(1, "sum " + lines[5] + " end"), (2, half), (3, "7 " * 24), (4, "8 " * 24), (5, lines[2] + " and " + lines[6])],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.n_items, r["items"]) for r in decontam.flag(docs, bench).collect()}
+    assert got == {1: (1, [0]), 2: (0, []), 3: (1, [90]), 4: (0, []), 5: (2, [0])}
+
+
+def test_a_common_first_sentence_meets_nothing(spark):
+    first = "Which of the following is the most likely reason for what the passage above says about it"
+    tail = lambda k: " ".join(f"{w}{chr(97 + k % 26)}{chr(97 + k // 26)}" for w in "red oak sea fog ink jet kit lap map net owl pea rim sun".split())
+    tails = [tail(k) + " " + tail(k + 300) for k in range(200)]
+    bench = spark.createDataFrame([(k, f"{first} {t}") for k, t in enumerate(tails)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{first} ? nothing else") for k in range(50)] + [(100 + k, f"{first} {tails[k]}") for k in range(50)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.flag(docs, bench).collect()}
+    assert got == {**{k: [] for k in range(50)}, **{100 + k: [k] for k in range(50)}}
+    shared = {int(h.view("int64")) for h in decontam.windows(*decontam.templates([first])[:2], decontam.WINDOW)[0]}
+    assert not shared & {r.h for r in decontam.rarest(decontam.benchmark_windows(bench), decontam.SHARE).collect()}
+
+
 def test_agreeing_windows():
     match = lambda place, *slots: dict(zip(("place", "spots", "filled", "found"), (place, *map(list, zip(*slots, strict=True))), strict=True))
     # 5 stands for 3 (at two of three places); 8 meets three values and stands for none.
