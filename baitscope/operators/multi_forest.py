@@ -1,6 +1,6 @@
 """CLS-07: one forest for many 0/1 targets, all its trees grown together.
 
-Features are binned once.  A tree level is one pass: each task routes its rows
+The input is read once and its features are binned once.  A tree level is one pass: each task routes its rows
 through the trees so far and adds up (node, feature, bin) counts for the open
 nodes of every tree of every target; Spark sums them, and a window over the
 bins of a node's feature finds its best Gini split.  Passes depend on the
@@ -126,20 +126,28 @@ def find_cuts(df: DataFrame, features: str, n_features: int) -> list[np.ndarray]
     return [np.array(sorted(c)) for c in cuts]
 
 
-def binned_table(df: DataFrame, features: str, targets: list[str], key: str, cuts: list[np.ndarray]) -> DataFrame:
-    """key (hash), bins and flags (a byte each) of every row, written once."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/multi-forest-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def training_table(df: DataFrame, features: str, targets: list[str], key: str) -> DataFrame:
+    """key (hash), x and flags (a byte for each target) of every row: the only pass over ``df``, which may cost much."""
+    flags = F.concat(*[F.when(F.col(f"`{name}`") > 0, F.lit(b"\x01")).otherwise(F.lit(b"\x00")) for name in targets])
+    return stored(df.select(F.xxhash64(key).alias("key"), F.col(features).cast("array<double>").alias("x"), flags.alias("flags")), "rows")
+
+
+def binned_table(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """key, bins and flags (a byte each) of every row, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = binned(batch.column("x").to_pylist(), cuts)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("flags")],
                                              ["key", "bins", "flags"])
 
-    flags = F.concat(*[F.when(F.col(f"`{name}`") > 0, F.lit(b"\x01")).otherwise(F.lit(b"\x00")) for name in targets])
-    rows = df.select(F.xxhash64(key).alias("key"), F.col(features).cast("array<double>").alias("x"), flags.alias("flags"))
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/multi-forest-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "key long, bins binary, flags binary").write.parquet(path)
-    return spark.read.schema("key long, bins binary, flags binary").parquet(path)
+    return stored(rows.mapInArrow(run, "key long, bins binary, flags binary"), "bins")
 
 
 def level_counts(data: DataFrame, trees: MultiForest, opened: np.ndarray, tried: np.ndarray, seed: int) -> DataFrame:
@@ -201,8 +209,9 @@ def best_splits(counts: DataFrame, least: int) -> DataFrame:
 def fit_multi_forest(df: DataFrame, targets: list[str], n_features: int, features: str = "features", key: str = "row_id",
                      num_trees: int = 100, max_depth: int = 15, least: int = 2, seed: int = 42) -> MultiForest:
     """A forest of ``num_trees`` trees for each of ``targets`` on an array column; sqrt of the features are tried a node."""
-    cuts = find_cuts(df, features, n_features)
-    data = binned_table(df, features, targets, key, cuts)
+    rows = training_table(df, features, targets, key)
+    cuts = find_cuts(rows, "x", n_features)
+    data = binned_table(rows, cuts)
     total = len(targets) * num_trees
     trees = MultiForest(list(targets), cuts, np.arange(total).reshape(len(targets), num_trees), np.full(total, -1, np.int64),
                         np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total))
