@@ -524,9 +524,9 @@ def indicator_model_accuracy(spark, sf_dir):
     """CLS-07, AGG-19 (rows-only): 20 indicator forests on the 70-d vector,
     per-indicator agreement with the rule flags."""
     from baitscope.operators import ml as ML
-    s = scored(spark, sf_dir)
-    s = ML.to_vector(s.withColumn("fv", F.concat("rule_vector", "structural_vector")), "fv", "features")
-    base = s.select("email_id", "features", *L.INDICATOR_NAMES)
+    # Scored once: every fit and the prediction read the stored rows.
+    rows = _stored(scored(spark, sf_dir).select("email_id", F.concat("rule_vector", "structural_vector").alias("fv"), *L.INDICATOR_NAMES), "indicator-rows")
+    base = ML.to_vector(rows, "fv", "features").drop("fv")
     models = ML.fit_indicator_models(base, num_trees=20, max_depth=8)
     pred = ML.predict_indicators(base, models)
     pf = pred.select("email_id", *[c(f"pred_{n}").alias(n) for n in L.INDICATOR_NAMES])
