@@ -26,12 +26,13 @@ c = F.col
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """CLS-06: balanced weights n / (k * n_class), joined back by label (the
-    weight table has one row per class)."""
+    weight table has one row per class, and is broadcast: rows dealt by label
+    would meet in one task per class)."""
     from pyspark.sql import Window
     counts = df.groupBy(label).agg(F.count("*").alias("_nc"))
     every = Window.partitionBy()  # over the per-class counts: one row per class
     w = counts.select(label, (F.sum("_nc").over(every) / (F.count("*").over(every) * c("_nc"))).alias("weight"))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)
 
 
 def training_gate(df: DataFrame, min_samples: int = 10, label: str = "label") -> dict:

@@ -489,11 +489,12 @@ def email_model_scores(spark, sf_dir):
     """CLS-04/05/09/13 (rows-only): forest on the 70-d email feature vector
     (train split), applied to every email with the heuristic as fallback."""
     from baitscope.operators import ml as ML
-    s = scored(spark, sf_dir).withColumn("row_id", c("email_id"))
-    s = s.withColumn("features", F.concat("rule_vector", "structural_vector"))
+    s = _stored(scored(spark, sf_dir).select("email_id", "label", F.concat("rule_vector", "structural_vector").alias("features")), "email-rows")
+    train = CO.stratified_split(s.select(c("email_id").alias("row_id"), "label", "features")).filter(c("split") == "train")
+    # The fit reads its rows several times: split and weights are made once.
+    train = _stored(ML.class_weights(train), "email-training")
     s = ML.to_vector(s, "features", "features")
-    train = ML.class_weights(CO.stratified_split(s.select("row_id", "label", "features")).filter(c("split") == "train"))
-    model = ML.forest(num_trees=50, max_depth=10).fit(train)
+    model = ML.forest(num_trees=50, max_depth=10).fit(ML.to_vector(train, "features", "features"))
     out = ML.classify_with_model(s.select("email_id", "label", "features"), model)
     return out.select("email_id", "label", "method", "model_verdict", "model_confidence", "model_action")
 

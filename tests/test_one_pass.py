@@ -34,3 +34,30 @@ def given(monkeypatch, owner, name, spark, query):
 def test_indicator_models_read_stored_rows(spark, monkeypatch):
     df = given(monkeypatch, ML, "fit_indicator_models", spark, "indicator_model_accuracy")
     assert "ArrowEvalPython" not in plan(df) and df.count() == 200
+
+
+def test_email_forest_reads_stored_training_rows(spark, monkeypatch):
+    seen = []
+
+    class Forest:
+        def fit(self, df):
+            seen.append(df)
+            raise Seen
+
+    monkeypatch.setattr(ML, "forest", lambda **args: Forest())
+    with pytest.raises(Seen):
+        E.queries()["email_model_scores"](spark, SF)
+    assert not any(x in plan(seen[0]) for x in ("ArrowEvalPython", "Exchange"))
+    assert 130 < seen[0].count() < 150
+
+
+def test_class_weights_do_not_deal_rows_by_label(spark):
+    df = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(100, None)], "row_id int, label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ML.class_weights(df)
+        assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+        # A null label is a class of its own in the counts, and its rows drop out.
+        assert {(r.label, round(r.weight, 6)) for r in out.collect()} == {(0, 0.673333), (1, 0.673333)} and out.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
