@@ -84,17 +84,22 @@ def score_label_counts(preds: DataFrame, score: str = "roc_score") -> DataFrame:
 SCORE_CELLS = 4096
 
 
+def _cell() -> F.Column:
+    """The cell of neighbouring scores that a score lies in, in score order."""
+    return F.when(F.isnan("score"), F.lit(1 << 53)).otherwise(F.floor(c("score") * SCORE_CELLS).cast("long"))
+
+
 def _with_counts_before(g: DataFrame, descending: bool) -> DataFrame:
     """Rows (score, pos, neg) with the counts before each in score order (pos_before, neg_before) and in all (P, N).
 
     Sums run inside cells of neighbouring scores, on top of the sums of the
     cells before; the one window over all of them sees a row for each cell
-    (about ``SCORE_CELLS`` for probabilities), never all distinct scores."""
+    (about ``SCORE_CELLS`` for probabilities), never all distinct scores.
+    ``g`` is read twice."""
     def order(x: str) -> F.Column:
         return c(x).desc() if descending else c(x).asc()
 
-    cell = F.when(F.isnan("score"), F.lit(1 << 53)).otherwise(F.floor(c("score") * SCORE_CELLS).cast("long"))
-    g = g.withColumn("_cell", cell)
+    g = g.withColumn("_cell", _cell())
     before = Window.orderBy(order("_at")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(order("_at")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = g.groupBy(c("_cell").alias("_at")).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -107,10 +112,17 @@ def _with_counts_before(g: DataFrame, descending: bool) -> DataFrame:
 
 
 def roc_auc(preds: DataFrame, score: str = "roc_score") -> DataFrame:
-    """AGG-10: ROC-AUC with tied scores averaged (Mann-Whitney); NaN with one class."""
-    g = _with_counts_before(score_label_counts(preds, score), descending=False)
-    agg = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                F.sum(c("pos") * (c("neg_before") + c("neg") * dbl(0.5))).alias("U"))
+    """AGG-10: ROC-AUC with tied scores averaged (Mann-Whitney); NaN with one class.
+
+    A cell's pairs are counted inside it, and against the negatives of the
+    cells before by a window over one row for each cell; ``preds`` is read once."""
+    inside = Window.partitionBy("_cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    rows = score_label_counts(preds, score).withColumn("_cell", _cell()).withColumn("_neg", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    cells = rows.groupBy("_cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+                                      F.sum(c("pos") * (c("_neg") + c("neg") * dbl(0.5))).alias("U"))
+    cells = cells.withColumn("U", c("U") + c("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    agg = cells.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("U").alias("U"))
     return agg.select(F.when((c("P") > 0) & (c("N") > 0), F.round(c("U") / (c("P") * c("N")), 4))
                       .otherwise(F.lit(float("nan"))).alias("roc_auc"),
                       c("P").alias("n_pos"), c("N").alias("n_neg"))

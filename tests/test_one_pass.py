@@ -61,3 +61,27 @@ def test_class_weights_do_not_deal_rows_by_label(spark):
         assert {(r.label, round(r.weight, 6)) for r in out.collect()} == {(0, 0.673333), (1, 0.673333)} and out.count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_system_comparison_scores_once(spark):
+    assert "ArrowEvalPython" not in plan(E.queries()["system_comparison"](spark, SF))
+
+
+def test_roc_auc_reads_its_input_once(spark):
+    assert plan(E.queries()["roc_auc"](spark, SF)).count("ArrowEvalPython") == 1
+
+
+def test_roc_auc_counts_every_pair(spark):
+    """Against all pairs, with ties, null and NaN scores, scores of one cell, and null labels."""
+    nan = float("nan")
+    rows = [(k * 7 % 5 % 2, (k * 37 % 23) / 22000 + k % 3 / 3) for k in range(120)]
+    rows += [(1, None), (0, None), (1, nan), (0, nan), (0, nan), (None, 0.5), (1, -0.25), (0, 3.5)]
+    spark.createDataFrame(rows, "label int, roc_score double").createOrReplaceTempView("auc_rows")
+    # Spark orders null before all numbers, and NaN after them.
+    key = "named_struct('a', {0} IS NOT NULL, 'b', coalesce({0}, 0))"
+    a, b = key.format("x.roc_score"), key.format("y.roc_score")
+    pairs = spark.sql(f"""SELECT avg(CASE WHEN {a} > {b} THEN 1 WHEN {a} = {b} THEN 0.5 ELSE 0 END) FROM auc_rows x JOIN auc_rows y
+                          ON x.label = 1 AND y.label = 0""").first()[0]
+    got = M.roc_auc(spark.table("auc_rows")).first()
+    assert abs(got.roc_auc - float(pairs)) <= 5.1e-5
+    assert (got.n_pos, got.n_neg) == (sum(r[0] == 1 for r in rows), sum(r[0] == 0 for r in rows))
