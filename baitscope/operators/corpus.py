@@ -7,8 +7,8 @@ Scale notes: no operator here puts one key's rows into one task.
 * Per-class ranks (split, sample) are computed inside (label, bucket) cells
   of a hash order, plus a prefix count of the cells before; the window over
   cells has at most ``2 * buckets`` rows.
-* Per-corpus label totals are a small aggregate joined back by corpus; the
-  planner broadcasts it where its size allows.
+* Of the per-corpus label totals only those that change labels (at most two)
+  are joined back, by broadcast.
 """
 
 from __future__ import annotations
@@ -53,11 +53,11 @@ def union_corpora(parts: list[DataFrame]) -> DataFrame:
 
 def all_phishing_rule(df: DataFrame) -> DataFrame:
     """SRC-10: in the all-phishing corpora, a corpus whose labels sum to 0 is
-    relabelled 1."""
-    totals = df.groupBy("corpus").agg(F.sum("label").alias("_label_sum"))
-    j = df.join(totals, "corpus", "left")
-    fix = c("corpus").isin(ALL_PHISHING) & (c("_label_sum") == 0)
-    return j.withColumn("label", F.when(fix, F.lit(1)).otherwise(c("label")).cast("int")).drop("_label_sum")
+    relabelled 1.  The corpora to relabel are at most the two named ones and
+    are broadcast: rows dealt by corpus would meet in one task per corpus."""
+    totals = df.where(c("corpus").isin(ALL_PHISHING)).groupBy("corpus").agg(F.sum("label").alias("_label_sum"))
+    j = df.join(F.broadcast(totals.where(c("_label_sum") == 0)), "corpus", "left")
+    return j.withColumn("label", F.when(c("_label_sum") == 0, F.lit(1)).otherwise(c("label")).cast("int")).drop("_label_sum")
 
 
 def corpus_rank(col: str = "corpus") -> F.Column:

@@ -85,3 +85,30 @@ def test_roc_auc_counts_every_pair(spark):
     got = M.roc_auc(spark.table("auc_rows")).first()
     assert abs(got.roc_auc - float(pairs)) <= 5.1e-5
     assert (got.n_pos, got.n_neg) == (sum(r[0] == 1 for r in rows), sum(r[0] == 0 for r in rows))
+
+
+def test_bootstrap_draws_once_from_stored_scores(spark, monkeypatch):
+    df = E.queries()["bootstrap_ci"](spark, SF)
+    assert "ArrowEvalPython" not in plan(df) and plan(df).count("Generate explode") == 1
+
+
+def test_all_phishing_rule_does_not_deal_rows_by_corpus(spark):
+    from baitscope.operators import corpus as CO
+    rows = [(k, ["enron", "nazario", "nigerian", None, "ling"][k % 5], int(k == 2)) for k in range(50)]
+    df = spark.createDataFrame(rows, "row_id int, corpus string, label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = CO.all_phishing_rule(df)
+        assert "SortMergeJoin" not in plan(out)
+        assert out.columns == ["corpus", "row_id", "label"] and out.count() == 50
+        assert {r.row_id for r in out.collect() if r.label == 1} == {2} | {k for k in range(50) if k % 5 == 1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ocr_shuffles_texts_not_words(spark):
+    for name in ("ocr_subject", "ocr_confidence"):
+        text = plan(E.queries()[name](spark, SF))
+        assert text.count("Exchange hashpartitioning") == 1
+        # Plans are printed from the result down: the exchange is below the explosion of words.
+        assert text.rindex("Generate posexplode") < text.index("Exchange hashpartitioning"), text
