@@ -11,11 +11,20 @@ from baitscope.session import table
 
 c = F.col
 
+#: Parts that the words of one part of the scan (up to 128 MB, compressed) are dealt to.
+PARTS = 16
+
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived OCR words from ``documents``: every word of every line,
-    conf = (word position in the document % 101) - 1."""
+    conf = (word position in the document % 101) - 1.
+
+    Whole texts are dealt by image before they are cut, so that what groups
+    words by image or line later moves no words.  There are several parts for
+    each part of the scan: the words of one must be sorted in a task's memory."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * d.rdd.getNumPartitions())
+    d = d.repartition(parts, "doc_id")
     lines = d.select(c("doc_id").alias("image_id"), F.posexplode(F.split(c("text"), "\n")).alias("line_no", "line"))
     words = lines.select("image_id", "line_no", F.posexplode(F.split(c("line"), " ")).alias("word_no", "word"))
     w = Window.partitionBy("image_id").orderBy("line_no", "word_no")
