@@ -469,7 +469,7 @@ def ocr_subject(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     """AGG-11 (rows-only): Poisson bootstrap intervals, 1000 replicates."""
-    return M.bootstrap_ci(_preds(spark, sf_dir), 1000)
+    return M.bootstrap_ci(_stored_preds(spark, sf_dir), 1000)
 
 
 def _embedding_training(spark, sf_dir):
@@ -508,7 +508,8 @@ def url_model_eval(spark, sf_dir):
     """URL-21/23 (rows-only): n-gram URL model, test-split metrics."""
     from baitscope.operators import ml as ML
     e = emails(spark, sf_dir).select("email_id", c("body_text").alias("body"), "label")
-    _, m = ML.train_url_model(U.url_training_pairs(e))
+    # Fit and test read the pairs; a coalesce over the texts themselves would cut them in few tasks.
+    _, m = ML.train_url_model(_stored(U.url_training_pairs(e), "url-pairs"))
     return m
 
 
