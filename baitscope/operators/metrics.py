@@ -234,6 +234,9 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
     deviations below the mean; uniforms come from a seeded hash)."""
     g = preds.groupBy("label", "predicted_label", c(score).alias("score")).agg(F.count("*").alias("m"))
     rep = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    # Replicates are dealt to all tasks before they are drawn: the groups are few and come in one or two parts.
+    conf = preds.sparkSession.conf
+    rep = rep.repartition(min(n_boot, int(conf.get("spark.sql.shuffle.partitions"))), "b")
 
     # MD5 of seed, replicate and group: other engines draw the same numbers from it.
     points = F.round(c("score") * 1_000_000_000).cast("long")
@@ -256,25 +259,24 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = 1000, seed: int = 42, score: st
         lambda acc: F.when(acc["k"] < 0, F.ceil(m + reach)).otherwise(acc["k"]))
     rep = rep.withColumn("w", drawn.cast("long"))
     y, p = c("label"), c("predicted_label")
-    cm = rep.groupBy("b").agg(
+    # All counts of a replicate come from its counts by score, where it was drawn.
+    sc = rep.groupBy("b", "score").agg(
+        F.sum(F.when(y == 1, c("w")).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, c("w")).otherwise(0)).alias("neg"),
         F.sum(F.when((y == 1) & (p == 1), c("w")).otherwise(0)).alias("tp"),
         F.sum(F.when((y == 0) & (p == 0), c("w")).otherwise(0)).alias("tn"),
         F.sum(F.when((y == 0) & (p == 1), c("w")).otherwise(0)).alias("fp"),
         F.sum(F.when((y == 1) & (p == 0), c("w")).otherwise(0)).alias("fn"))
+    w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sc = sc.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cm = sc.groupBy("b").agg(*[F.sum(x).alias(x) for x in ("tp", "tn", "fp", "fn")], F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                             F.sum(c("pos") * (c("neg_below") + c("neg") * dbl(0.5))).alias("U"))
     # per-replicate metrics, replicate id kept
     tp, tn, fp, fn = [c(x).cast("double") for x in ("tp", "tn", "fp", "fn")]
     n = tp + tn + fp + fn
     f_ph, f_lg = _div(2 * tp, 2 * tp + fp + fn), _div(2 * tn, 2 * tn + fn + fp)
-    per_b = cm.select("b", _div(tp + tn, n).alias("accuracy"), ((f_ph + f_lg) / 2).alias("macro_f1"),
-                      _div(fp, fp + tn).alias("fpr"), _div(fn, fn + tp).alias("fnr"))
-    sc = rep.groupBy("b", "score").agg(F.sum(F.when(y == 1, c("w")).otherwise(0)).alias("pos"),
-                                       F.sum(F.when(y == 0, c("w")).otherwise(0)).alias("neg"))
-    w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    sc = sc.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    auc = sc.groupBy("b").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                              F.sum(c("pos") * (c("neg_below") + c("neg") * dbl(0.5))).alias("U")) \
-        .select("b", F.when((c("P") > 0) & (c("N") > 0), c("U") / (c("P") * c("N"))).alias("roc_auc"))
-    allm = per_b.join(auc, "b", "left")
+    allm = cm.select("b", _div(tp + tn, n).alias("accuracy"), ((f_ph + f_lg) / 2).alias("macro_f1"),
+                     _div(fp, fp + tn).alias("fpr"), _div(fn, fn + tp).alias("fnr"),
+                     F.when((c("P") > 0) & (c("N") > 0), c("U") / (c("P") * c("N"))).alias("roc_auc"))
     out = []
     for k in ["accuracy", "macro_f1", "roc_auc", "fpr", "fnr"]:
         q = F.percentile(F.when(~F.isnan(c(k)), c(k)), F.array(F.lit(0.025), F.lit(0.975)))

@@ -90,6 +90,9 @@ def test_roc_auc_counts_every_pair(spark):
 def test_bootstrap_draws_once_from_stored_scores(spark, monkeypatch):
     df = E.queries()["bootstrap_ci"](spark, SF)
     assert "ArrowEvalPython" not in plan(df) and plan(df).count("Generate explode") == 1
+    # The draws are made behind the exchange by replicate, and nothing but whole replicates leaves it.
+    assert "REPARTITION_BY_NUM" in plan(df) and plan(df).index("md5") < plan(df).index("REPARTITION_BY_NUM")
+    assert plan(df).count("Exchange") == 2 + 1
 
 
 def test_all_phishing_rule_does_not_deal_rows_by_corpus(spark):
@@ -112,3 +115,19 @@ def test_ocr_shuffles_texts_not_words(spark):
         assert text.count("Exchange hashpartitioning") == 1
         # Plans are printed from the result down: the exchange is below the explosion of words.
         assert text.rindex("Generate posexplode") < text.index("Exchange hashpartitioning"), text
+
+
+def test_url_model_is_fitted_on_few_parts(spark, monkeypatch):
+    """Gradients of all features come from each part: their number must not follow the input's."""
+    seen = []
+
+    class Model:
+        def fit(self, df):
+            seen.append(df)
+            raise Seen
+
+    monkeypatch.setattr(ML, "url_model", Model)
+    pairs = spark.createDataFrame([(f"http://a.example/{k}", k % 2) for k in range(2000)], "url string, label int").repartition(500)
+    with pytest.raises(Seen):
+        ML.train_url_model(pairs)
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and 1700 < seen[0].count() < 1900
