@@ -118,5 +118,6 @@ def html_columns(html: Column) -> Column:
         F.lit(0).alias("base64_content_count"), dbl(0.0).alias("html_score"),
         F.array(F.lit("No HTML content to analyze")).alias("html_details"),
     )
-    blank = F.coalesce(py_strip(html), F.lit("")) == ""
+    # The first character that is no space ends this search; stripping would go through the whole page.
+    blank = ~F.coalesce(html, F.lit("")).rlike(r"(?U)\S")
     return F.when(blank, empty).otherwise(let(html, body))

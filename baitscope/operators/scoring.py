@@ -74,26 +74,34 @@ def semantic_stage(df: DataFrame, subject: str = "subject", body: str = "body_te
         .withColumn("dominant_category", S.dominant_category())
 
 
+STRUCTURAL = ("urls", "headers", "html")
+
+
 def structural_stage(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False,
-                     strict_brands: bool = False) -> DataFrame:
+                     strict_brands: bool = False, parts: tuple[str, ...] = STRUCTURAL) -> DataFrame:
     """URL, header and HTML columns added to ``df`` (URL-*, HDR-*, HTM-*).
     ``strict_brands`` also skips the very common brand words (one, app, best,
-    home) in the sender check (HDR-03 option)."""
+    home) in the sender check (HDR-03 option).  ``parts`` names the analyses to make."""
     urls, hdr, htm, rollup = _structural_exprs(cols, frozenset(df.columns), relax_received, strict_brands)
-    step = df.select("*", urls.alias("urls"), hdr.alias("_hdr"), htm.alias("_htm"))
-    step = step.select("*", rollup.alias("_url"))
-    return step.select("*", "_url.*", "_hdr.*", "_htm.*").drop("_url", "_hdr", "_htm")
+    first = {"urls": urls.alias("urls"), "headers": hdr.alias("_hdr"), "html": htm.alias("_htm")}
+    packed = {"urls": "_url", "headers": "_hdr", "html": "_htm"}
+    step = df.select("*", *[first[x] for x in STRUCTURAL if x in parts])
+    if "urls" in parts:
+        step = step.select("*", rollup.alias("_url"))
+    names = [packed[x] for x in STRUCTURAL if x in parts]
+    return step.select("*", *[f"{x}.*" for x in names]).drop(*names)
 
 
 def score_emails(df: DataFrame, cols: EmailColumns = EmailColumns(), relax_received: bool = False,
-                 strict_brands: bool = False) -> DataFrame:
+                 strict_brands: bool = False, analyzed: bool = False) -> DataFrame:
     """CLS-12: every analysis column, the heuristic verdict and explanations.
+    Rows that carry the columns of both stages (``analyzed``) are not analyzed again.
 
     Text input (no header block) is marked by a NULL hop count.  The rule
     vector and the 50-d structural vector are attached for the ML operators.
     The heuristic is degraded where a row has no ``embedding``.
     """
-    scored = structural_stage(semantic_stage(df, cols.subject, cols.body), cols, relax_received, strict_brands)
+    scored = df if analyzed else structural_stage(semantic_stage(df, cols.subject, cols.body), cols, relax_received, strict_brands)
     first, second, third = _fusion_exprs("embedding" in df.columns)
     return scored.select("*", *first).select("*", *second).select("*", *third)
 

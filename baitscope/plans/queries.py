@@ -19,7 +19,7 @@ from baitscope.operators import history as H
 from baitscope.operators import metrics as M
 from baitscope.operators import urls as U
 from baitscope.operators.history_table import HistoryTable
-from baitscope.operators.scoring import EmailColumns, score_emails
+from baitscope.operators.scoring import STRUCTURAL, EmailColumns, score_emails, semantic_stage, structural_stage
 from baitscope.session import ensure_checkpoint_dir, table
 from baitscope.sources import ocr as OCR
 from baitscope.resources import lexicons as L
@@ -516,15 +516,29 @@ def url_model_eval(spark, sf_dir):
 def adversarial_evaluation(spark, sf_dir):
     """AGG-22 (rows-only): signal-stripping variants of the given emails
     (subject removed, HTML removed, header block removed) against the baseline."""
-    e = emails(spark, sf_dir)
-    base = M.predictions(scored(spark, sf_dir))
-    parts = []
-    for name, v in [("no_subject", e.withColumn("subject", F.lit(""))),
-                    ("no_html", e.withColumn("body_html", F.lit(""))),
-                    ("no_headers", e.withColumn("received_hops", F.lit(None).cast("int")))]:
-        parts.append(M.predictions(score_emails(v)).select("email_id", F.lit(name).alias("technique"),
-                                                           "predicted_label"))
-    return M.adversarial_evaluation(base, CO.union_corpora(parts))
+    # What a variant does not change is analyzed once for all, and only the small results of the analyses are stored.
+    cols = EmailColumns(x_mailer="raw_mailer")
+    e = emails(spark, sf_dir).withColumnRenamed("x_mailer", "raw_mailer")
+    made = {"semantic": semantic_stage(e)} | {x: structural_stage(e, cols, parts=(x,)) for x in STRUCTURAL}
+    made = {x: [n for n in df.columns if n not in e.columns] for x, df in made.items()}
+
+    def pack(df, variant, names):
+        given = [n for x in names for n in made[x]]
+        return df.select("*", *[F.struct(*made[x]).alias(f"{x}_{variant}") for x in names]).drop(*given)
+
+    rows = pack(structural_stage(semantic_stage(e), cols), "base", list(made))
+    rows = pack(semantic_stage(rows.withColumn("subject", F.lit(""))), "no_subject", ["semantic"])
+    rows = pack(structural_stage(rows.withColumn("body_html", F.lit("")), cols, parts=("urls", "html")), "no_html", ["urls", "html"])
+    rows = pack(structural_stage(rows.withColumn("received_hops", F.lit(None).cast("int")), cols, parts=("headers",)), "no_headers", ["headers"])
+    changed = {"no_subject": ["semantic"], "no_html": ["urls", "html"], "no_headers": ["headers"]}
+    rows = _stored(rows.select("email_id", "label", *[f"{x}_{v}" for v, names in [("base", made), *changed.items()] for x in names]), "analyzed")
+
+    def predicted(name, names):
+        analyses = [f"{x}_{name}.*" if x in names else f"{x}_base.*" for x in made]
+        return M.predictions(score_emails(rows.select("email_id", "label", *analyses), analyzed=True))
+
+    parts = [predicted(name, names).select("email_id", F.lit(name).alias("technique"), "predicted_label") for name, names in changed.items()]
+    return M.adversarial_evaluation(predicted("base", []), CO.union_corpora(parts))
 
 
 def indicator_model_accuracy(spark, sf_dir):

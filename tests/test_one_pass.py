@@ -131,3 +131,21 @@ def test_url_model_is_fitted_on_few_parts(spark, monkeypatch):
     with pytest.raises(Seen):
         ML.train_url_model(pairs)
     assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and 1700 < seen[0].count() < 1900
+
+
+def test_adversarial_variants_share_their_analyses(spark):
+    """Texts are read for two stored analyses; the counts are those of four separate scorings, also where ids repeat."""
+    from pyspark.sql import functions as F
+
+    from baitscope.operators.scoring import EmailColumns, score_emails
+    from baitscope.sources.fixtures import emails
+
+    df = E.queries()["adversarial_evaluation"](spark, SF)
+    assert "ArrowEvalPython" not in plan(df) and "documents.parquet" not in plan(df)
+    e = emails(spark, SF).withColumnRenamed("x_mailer", "raw_mailer")
+    variants = {"base": e, "no_subject": e.withColumn("subject", F.lit("")), "no_html": e.withColumn("body_html", F.lit("")),
+                "no_headers": e.withColumn("received_hops", F.lit(None).cast("int"))}
+    hits = {n: {r.email_id for r in score_emails(v, EmailColumns(x_mailer="raw_mailer")).where("verdict = 'phishing'").select("email_id").collect()}
+            for n, v in variants.items()}
+    want = {(n, 200, len(hits["base"]), len(hits[n]), len(hits["base"] - hits[n])) for n in variants if n != "base"}
+    assert {tuple(r)[:5] for r in df.collect()} == want
